@@ -22,6 +22,18 @@ def op2_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=16)
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.maxscore import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op5_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.block_ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.packing import pack_documents
 
@@ -35,8 +47,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring, op8_packing, op10_bpe)}
+    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op8_packing, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from phenospark.llm.sql import ORACLE
+
+    return dict(ORACLE)
