@@ -40,6 +40,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary(), capacity=4096, end_id=2)
 
 
+def op9_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.recompress import digest
+
+    return digest(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.bpe_codec import digest
 
@@ -47,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op8_packing, op10_bpe)}
+    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op8_packing, op9_recompress, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,4 +28,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 10
 """
 
-ORACLE = {"op4_maxscore": OP4, "op5_block_join": OP5}
+OP9 = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h2
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)),
+f AS MATERIALIZED (SELECT h2, min(doc_id) AS first_doc FROM g GROUP BY h2),
+gone AS MATERIALIZED (
+  SELECT DISTINCT g.doc_id, g.i + j AS k
+  FROM g JOIN f ON g.h2 = f.h2 AND f.first_doc < g.doc_id, LATERAL (SELECT unnest(range(13)) AS j)),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS MATERIALIZED (
+  SELECT x.doc_id, count(*) FILTER (gone.k IS NOT NULL) AS n_removed,
+         string_agg(x.word, ' ' ORDER BY x.k) FILTER (gone.k IS NULL) AS t
+  FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.k = x.k GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLE = {"op4_maxscore": OP4, "op5_block_join": OP5, "op9_recompress": OP9}
