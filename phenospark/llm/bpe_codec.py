@@ -17,12 +17,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.llm.textkernel import slices
-from phenospark.llm.tokens import WordEncoder
+from phenospark.llm.tokens import WordEncoder, encoder
 
 
 class _TextEncoder(WordEncoder):
@@ -30,15 +31,17 @@ class _TextEncoder(WordEncoder):
 
     def reset(self) -> None:
         super().reset()
+        self.names = {i: t.encode() for i, t in self.tree.strings.items()} | {i: t.encode() for t, i in self.tree.specials}
         self.id_text: list[bytes] = []
         self.token_text: list[bytes] = []
 
-    def added(self, found, first_new) -> None:
-        name = self.tree.strings
-        specials = {i: c for c, i in self.tree.specials}
-        for ids in found:
-            self.id_text.append(b" ".join(b"%d" % i for i in ids))
-            self.token_text.append(" ".join(specials.get(i) or name[i] for i in ids).encode())
+    def added(self, flat, lengths) -> None:
+        ends = np.cumsum(lengths).tolist()
+        ids, tokens, a = list(map(b"%d".__mod__, flat.tolist())), list(map(self.names.__getitem__, flat.tolist())), 0
+        for b in ends:
+            self.id_text.append(b" ".join(ids[a:b]))
+            self.token_text.append(b" ".join(tokens[a:b]))
+            a = b
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,13 +49,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(path)
+        coder = encoder(WordEncoder, path)
         for batch in batches:
             keys = batch.column(0)
             for s in slices(batch.column(1)):
-                w, slot = coder.slots_of(s)
+                first, slot = coder.slots_of(s)
                 ids, begin = coder.ids(slot)
-                bounds = begin[w.first]
+                bounds = begin[first]
                 yield pa.RecordBatch.from_arrays([keys.slice(s.lo, s.rows), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
@@ -77,31 +80,23 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _TextEncoder(path)
+        coder = encoder(_TextEncoder, path)
         for batch in batches:
             keys = batch.column(0)
             for s in slices(batch.column(1)):
-                w, slot = coder.slots_of(s)
-                count = (coder.starts[1:] - coder.starts[:-1])[slot]
-                some = slot[count > 0] if (count == 0).any() else slot
-                first = w.first if len(some) == len(slot) else _kept(w.first, count > 0)
-                at, id_text, token_text = some.tolist(), coder.id_text, coder.token_text
-                bounds = first.tolist()
-                n, a, b = [], [], []
-                totals = [0, *count.cumsum().tolist()]
-                before = w.first.tolist()
+                first, slot = coder.slots_of(s)
+                count = coder.counts(slot)
+                n = np.diff(np.concatenate([[0], np.cumsum(count)])[first])
+                some = count > 0
+                if not some.all():  # units without ids leave no space behind
+                    first, slot = np.concatenate([[0], np.cumsum(some)])[first], slot[some]
+                id_text, token_text, bounds = coder.id_text, coder.token_text, first.tolist()
+                at, a, b = slot.tolist(), [], []
                 for i in range(s.rows):
                     own = at[bounds[i] : bounds[i + 1]]
-                    n.append(totals[before[i + 1]] - totals[before[i]])
                     a.append(hashlib.sha256(b" ".join([id_text[j] for j in own])).hexdigest())
                     b.append(hashlib.sha256(b" ".join([token_text[j] for j in own])).hexdigest())
                 yield pa.RecordBatch.from_arrays([keys.slice(s.lo, s.rows), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def _kept(first, keep):
-    """Row bounds after words without ids are left out."""
-    import numpy as np
-
-    return np.concatenate([[0], np.cumsum(keep)])[first]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from phenospark.llm.common import written
 from phenospark.llm.textkernel import slices
-from phenospark.llm.tokens import WordEncoder
+from phenospark.llm.tokens import WordEncoder, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -72,13 +72,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2) ->
     """The pieces of each document: full sequences from its start, then the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(path)
+        coder = encoder(WordEncoder, path)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for s in slices(batch.column(1)):
-                w, slot = coder.slots_of(s)
+                first, slot = coder.slots_of(s)
                 ids, begin = coder.ids(slot)
-                bounds, small = begin[w.first].tolist(), ids.astype("<u4")
+                bounds, small = begin[first].tolist(), ids.astype("<u4")
                 rows: list[tuple] = []
                 for i in range(s.rows):
                     own = np.append(small[bounds[i] : bounds[i + 1]], np.uint32(end_id))

@@ -122,14 +122,17 @@ def words(s: Slice, lower: bool = False, breaks: np.ndarray = IS_SPACE, hashes:
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | begin[1:])) + 1
     first = np.searchsorted(start, offs)
-    if not hashes:
-        return Words(start, end, np.zeros(0, np.uint64), first)
+    return Words(start, end, span_hash(s, start, end, lower) if hashes else np.zeros(0, np.uint64), first)
+
+
+def span_hash(s: Slice, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of stretches of bytes (start below the slice's length), A-Z as a-z if lower."""
+    n = len(s.data)
     value = BYTE_VALUE[LOWER] if lower else BYTE_VALUE
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[data] * _power("up", n), out=total[1:])
+    np.cumsum(value[s.data] * _power("up", n), out=total[1:])
     # the length enters too
-    got = (total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(np.uint64)
-    return Words(start, end, mix(got), first)
+    return mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(np.uint64))
 
 
 def whole_hash(s: Slice, seed: int = 0) -> np.ndarray:
