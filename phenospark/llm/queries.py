@@ -34,6 +34,12 @@ def op5_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.chosen_path import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), threshold=0.8, n=5, recall=0.999)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.packing import pack_documents
 
@@ -53,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op8_packing, op9_recompress, op10_bpe)}
+    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

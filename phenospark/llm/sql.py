@@ -48,4 +48,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLE = {"op4_maxscore": OP4, "op5_block_join": OP5, "op9_recompress": OP9}
+OP7 = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'),
+         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS s
+  FROM d, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS name FROM g GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT u, v, x.name AS xn, y.name AS yn FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+  WHERE c >= 0.8 * (x.n + y.n - c)),
+r(u, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.u WHERE r.root < l.v),
+k AS (SELECT u, min(root) AS class_id FROM r GROUP BY u),
+m AS (SELECT u, count(*) AS n_links, count(DISTINCT yn) FILTER (xn <> yn) AS n_set_links FROM l GROUP BY u)
+SELECT d.doc_id, k.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_set_links, 0) AS n_set_links
+FROM d JOIN k ON k.u = d.doc_id LEFT JOIN m ON m.u = d.doc_id
+"""
+
+ORACLE = {"op4_maxscore": OP4, "op5_block_join": OP5, "op7_chosen_path": OP7, "op9_recompress": OP9}
