@@ -34,6 +34,12 @@ def op5_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
 
 
+def op6_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.backoff_lm import score
+
+    return score(documents(spark, sf_dir), parts=7, part=2)
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.chosen_path import near_duplicates
 
@@ -59,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
+    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op6_backoff, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
