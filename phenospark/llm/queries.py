@@ -16,12 +16,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.pii import digest
+
+    return digest(documents(spark, sf_dir))
+
+
 def op2_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.ring import shard
 
     return shard(documents(spark, sf_dir), shards=16)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.kn_toxicity import judged
+
+    return judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), parts=3, part=1, cut=0.7)
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phenospark.llm.maxscore import search
 
@@ -65,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring, op4_maxscore, op5_block_join, op6_backoff, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_ring, op3_kneser_ney, op4_maxscore, op5_block_join, op6_backoff, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
