@@ -333,3 +333,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     rows = every.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("name")).alias("name"))
     out = rows.join(classes, "name", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("set_links", F.lit(0)).cast("long").alias("n_set_links"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with the row of the smallest doc_id of each class; rows with a null doc_id stay."""
+    found = near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
+    found = written(found.where((F.col("class_id") != F.col("doc_id")) | (F.col("rows") > 1)).select(F.col("doc_id").alias("dup_id"), "class_id", "rows"), "losers")
+    losers, repeated = found.where(F.col("class_id") != F.col("dup_id")).select("dup_id"), found.where(F.col("class_id") == F.col("dup_id")).select("dup_id")
+    is_one = docs["doc_id"].cast("long") == F.col("dup_id")
+    kept = docs.join(losers, is_one, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, is_one, "left_anti").unionByName(kept.join(repeated, is_one, "left_semi").dropDuplicates(["doc_id"]))

@@ -231,3 +231,16 @@ def judged(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, cu
     """doc_id, held_out, score, predicted."""
     scored = score(docs, learn(docs, labels, parts, part))
     return scored.select("doc_id", F.coalesce(crc_of_id() % parts == part, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
+    """docs without the rows whose text scores ``cut`` or more; in one pass, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(s) for s in slices(batch.column(place))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
