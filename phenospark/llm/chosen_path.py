@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import partitions, written
+from phenospark.llm.common import free_name, partitions, written
 from phenospark.llm.components import components
 from phenospark.llm.textkernel import Slice, grams, mix, slices, words
 
@@ -337,11 +337,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with the row of the smallest doc_id of each class; rows with a null doc_id stay."""
+    dup = free_name(docs, "dup_id")
     found = near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
-    found = written(found.where((F.col("class_id") != F.col("doc_id")) | (F.col("rows") > 1)).select(F.col("doc_id").alias("dup_id"), "class_id", "rows"), "losers")
-    losers, repeated = found.where(F.col("class_id") != F.col("dup_id")).select("dup_id"), found.where(F.col("class_id") == F.col("dup_id")).select("dup_id")
-    is_one = docs["doc_id"].cast("long") == F.col("dup_id")
+    found = written(found.where((F.col("class_id") != F.col("doc_id")) | (F.col("rows") > 1)).select(F.col("doc_id").alias(dup), "class_id", "rows"), "losers")
+    losers, repeated = found.where(F.col("class_id") != F.col(dup)).select(dup), found.where(F.col("class_id") == F.col(dup)).select(dup)
+    is_one = docs["doc_id"].cast("long") == F.col(dup)
     kept = docs.join(losers, is_one, "left_anti")
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, is_one, "left_anti").unionByName(kept.join(repeated, is_one, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(repeated, is_one, "left_anti").unionByName(kept.join(repeated, is_one, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +34,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blob(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
-
-
-def unblob(parts, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it while df has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

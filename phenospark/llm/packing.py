@@ -19,8 +19,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +101,14 @@ def pack(items: DataFrame, capacity: int = 4096, group_size: int = 16384) -> Dat
     groups = max(1, round(items.count() / group_size))
     dealt = items.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(17), "doc_id", "ids_crc32"), F.lit(groups)))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"], na_position="first", ignore_index=True)
-        sequence, offset = first_fit_decreasing(frame["length"].to_numpy(), np.arange(len(frame)), capacity)
-        return frame.drop(columns="pack_group").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")], null_placement="at_start")
+        table = table.take(order)
+        sequence, offset = first_fit_decreasing(table.column("length").to_numpy(), np.arange(table.num_rows), capacity)
+        kept = table.select([f.split()[0] for f in PIECES.split(", ")])
+        return kept.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("pack_group").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    return dealt.groupBy("pack_group").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, group_size: int = 16384) -> DataFrame:

@@ -27,12 +27,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import written
+from phenospark.llm.common import free_name, written
 from phenospark.llm.textkernel import IS_BREAK, Slice, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -240,15 +241,14 @@ def rewritten(text: str, listed: str, remove: bool) -> str:
 
 def sanitise(docs: DataFrame, remove: bool = False, reach: int = REACH, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
     """docs with the spans of text generalised, or removed; rows without spans as they were."""
+    doc, key, found = (free_name(docs, x) for x in ("pii_doc", "pii_key", "pii_spans"))
     got = spans(docs.select("doc_id", "text"), reach, tolerance, least)
     listed = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms")))
-    got = got.where(F.col("base") != "").groupBy(F.col("doc_id").alias("pii_doc"), F.col("text_key").alias("pii_key")).agg(F.max(listed).alias("pii_spans"))
-    joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col("pii_doc")) & (F.xxhash64("text") == F.col("pii_key")), "left")
+    got = got.where(F.col("base") != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found))
+    joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
 
     @F.pandas_udf("string")
-    def rewrite(text, listed):
-        import pandas as pd
-
+    def rewrite(text: pd.Series, listed: pd.Series) -> pd.Series:
         return pd.Series([t if not x else rewritten(t, x, remove) for t, x in zip(text, listed, strict=True)])
 
-    return joined.withColumn("text", F.when(F.col("pii_spans").isNotNull(), rewrite("text", "pii_spans")).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(found).isNotNull(), rewrite("text", found)).otherwise(F.col("text"))).select(*docs.columns)

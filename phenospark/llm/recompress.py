@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenospark.llm.chunks import SENT, answers, bucket_count, chunked, expand, opened, others, send, told
+from phenospark.llm.common import free_name
 from phenospark.llm.textkernel import Slice, Words, mix, words
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -187,7 +188,8 @@ def kept_bytes(s: Slice, w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """docs with the repeated words taken out of text_col, and dedup_words, dedup_removed.
+    """docs with the repeated words taken out of text_col, and dedup_words, dedup_removed
+    (with underscores behind them if docs has such columns).
 
     A word goes if a window of n consecutive words covers it whose words also
     start in a row with a smaller id. What stays is joined by single spaces.
@@ -213,8 +215,9 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     earlier = answers(known.mapInArrow(verify, SENT), _smaller_elsewhere).withColumnRenamed("found", "earlier").withColumnRenamed("chunk", "chunk_e")
     judged = known.join(earlier.hint("shuffle_hash"), known["chunk"] == earlier["chunk_e"], "left").drop("chunk_e")
     kept_name = "kept_sha256" if digest else text_col
+    total_name, removed_name = free_name(docs, "dedup_words"), free_name(docs, "dedup_removed")
     out = T.StructType([f for f in docs.schema if f.name != text_col])
-    out = T.StructType([*out.fields, T.StructField(kept_name, T.StringType()), T.StructField("dedup_words", T.LongType()), T.StructField("dedup_removed", T.LongType())])
+    out = T.StructType([*out.fields, T.StructField(kept_name, T.StringType()), T.StructField(total_name, T.LongType()), T.StructField(removed_name, T.LongType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +239,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
                     kept = pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(bounds, bounds[1:], strict=False)], pa.string())
                 else:
                     kept = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(raw))
-                yield pa.RecordBatch.from_arrays([*c.rest.columns, kept, pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64))], [*c.rest.schema.names, kept_name, "dedup_words", "dedup_removed"])
+                yield pa.RecordBatch.from_arrays([*c.rest.columns, kept, pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64))], [*c.rest.schema.names, kept_name, total_name, removed_name])
 
     return judged.mapInArrow(remove, out)
 
