@@ -72,17 +72,14 @@ def dip_statistic(v: np.ndarray) -> float:
         convex, concave = hull(x[own], low[own], 1), hull(x[own], high[own], -1)
         gap = concave - convex
         at = int(np.argmax(gap))
-        d = gap[at]
-        # the gaps outside the modal interval
-        left = np.max(np.abs(high[own][: at + 1] - convex[: at + 1]), initial=0)
-        right = np.max(np.abs(concave[at:] - low[own][at:]), initial=0)
-        if d <= 2 * best:
+        if gap[at] <= 2 * best:
             return float(best)
-        best = max(best, left / 2 if at else 0, right / 2 if at < hi - lo else 0)
-        touch_low = np.flatnonzero(np.isclose(convex, low[own]))
-        touch_high = np.flatnonzero(np.isclose(concave, high[own]))
-        new_lo = lo + (touch_low[touch_low <= at].max() if (touch_low <= at).any() else 0)
-        new_hi = lo + (touch_high[touch_high >= at].min() if (touch_high >= at).any() else hi - lo)
+        # the modal interval: from the last touch of the minorant before the widest gap to the first of the majorant behind it
+        below, above = np.flatnonzero(np.isclose(convex[: at + 1], low[own][: at + 1])), np.flatnonzero(np.isclose(concave[at:], high[own][at:])) + at
+        left, right = int(below.max(initial=0)), int(above.min(initial=hi - lo))
+        outside = np.concatenate([(high[own] - convex)[: left + 1], (concave - low[own])[right:]])
+        best = max(best, float(outside.max()) / 2)
+        new_lo, new_hi = lo + left, lo + right
         if (new_lo, new_hi) == (lo, hi) or new_hi <= new_lo:
             return float(best)
         lo, hi = new_lo, new_hi
