@@ -2,7 +2,7 @@
 
 Texts are read straight from Arrow buffers: words, their 64-bit hashes and
 their document boundaries come from whole-array NumPy passes, so no Python
-object is made for a word. All work goes in slices of about a megabyte, which
+object is made for a word. All work goes in slices of about half a megabyte, which
 bounds a worker's memory whatever the batch holds (a longer text is one slice).
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a single longer text is handled whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20260101)
 #: A random 64-bit value for each byte, and an odd base with its inverse.

@@ -19,7 +19,7 @@ from phenospark.llm.bpe_tree import TreeEncoder
 from phenospark.llm.textkernel import Slice, span_hash, words
 
 #: Distinct units that a worker keeps; beyond it the cache starts anew.
-CACHE_UNITS = 1 << 20
+CACHE_UNITS = 1 << 19
 #: Units of more bytes are encoded by halves.
 LONG_BYTES = 2048
 
