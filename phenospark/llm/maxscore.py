@@ -10,7 +10,8 @@ k are merged by Spark. Bounds only skip work: the result is exact.
 
 Ties go to the smaller id. Rows with the query's id are its own and are left
 out; identical query rows count once. Fewer candidates than k: all of them.
-Unusable vectors (see :mod:`vectors`) and components beyond 2^31 take no part.
+Unusable vectors (see :mod:`vectors`) and those with components beyond 2^31 take no
+part; scores are exact to 2^53.
 Empty table: no rows. Extra columns are not read.
 """
 
@@ -36,6 +37,8 @@ def shard_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     order = np.argsort(bound, axis=1)
     rising = np.cumsum(np.take_along_axis(bound, order, 1), 1)
     n = len(q)
+    # single precision where all sums are whole numbers that it holds
+    kind = np.float32 if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2.0**24 else np.float64
     best_score = np.full((n, k), -np.inf)
     best_id = np.full((n, k), np.iinfo(np.int64).max)
     for lo in range(0, len(c), RUN):
@@ -45,19 +48,27 @@ def shard_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
         weak = np.zeros(q.shape, bool)
         np.put_along_axis(weak, order, weak_sorted, 1)
         rest = np.where(weak_sorted, np.take_along_axis(bound, order, 1), 0).sum(1)
-        score = np.where(weak, 0, q) @ part.T
+        score = (np.where(weak, 0, q).astype(kind) @ part.astype(kind).T).astype(np.float64)
         live = score + rest[:, None] >= floor
         live &= q_ids[:, None] != ids[None, :]
-        at, row = np.nonzero(live)
+        if not live.any():
+            continue
+        # the probe: row by row where few compete, all at once where many do
+        if 16 * np.count_nonzero(live) < live.size:
+            at, row = np.nonzero(live)
+            dense = np.full(live.shape, -np.inf)
+            dense[at, row] = score[at, row] + np.einsum("ij,ij->i", np.where(weak[at], q[at], 0), part[row])
+        else:
+            if weak.any():
+                score += np.where(weak, q, 0).astype(kind) @ part.astype(kind).T
+            dense = np.where(live, score, -np.inf)
+        # no more than the run's own best k of a query, and ties with them, can come in
+        most = min(k, dense.shape[1])
+        cut = np.maximum(floor[:, 0], np.partition(dense, -most, 1)[:, -most]) if most == k else floor[:, 0]
+        at, row = np.nonzero((dense >= cut[:, None]) & live)
         if not len(at):
             continue
-        probed = score[at, row]
-        some = weak.any(1)[at]
-        if some.any():
-            a, r = at[some], row[some]
-            probed[some] += np.einsum("ij,ij->i", np.where(weak[a], q[a], 0), part[r])
-        keep = probed >= floor[at, 0]
-        at, row, probed = at[keep], row[keep], probed[keep]
+        probed = dense[at, row]
         queries = np.concatenate([np.repeat(np.arange(n), k), at])
         scores = np.concatenate([best_score.ravel(), probed])
         numbers = np.concatenate([best_id.ravel(), ids[row]])
@@ -78,8 +89,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 width = max(t["q_dims"], t["c_dims"])
                 q_ids, q = unpack(t["q_ids"], t["q_dims"], t["q_data"], width)
                 c_ids, c = unpack(t["c_ids"], t["c_dims"], t["c_data"], width)
-                if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(width, 1) >= 2.0**53:
-                    q, c = q.astype(np.int64), c.astype(np.int64)  # beyond exact doubles
                 for lo in range(0, len(q), QUERIES):
                     at, ids, score = shard_top(q[lo : lo + QUERIES], q_ids[lo : lo + QUERIES], c, c_ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo : lo + QUERIES][at]), pa.array(ids), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
