@@ -29,6 +29,13 @@ BUCKET_BYTES = 16 << 20
 CHUNKED = "chunk long, bytes long, offs binary, texts binary, others binary"
 
 
+def drop_chunks(spark) -> None:
+    """Drops the tables of all chunks; for when no DataFrame made of them is needed any more."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("chunks_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+
+
 def press(x: np.ndarray | bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes() if isinstance(x, np.ndarray) else x)
 
