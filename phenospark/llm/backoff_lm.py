@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.chunks import bucket_count, chunked, dealt, expand, opened, others, press
+from phenospark.llm.chunks import bucket_count, chunked, expand, opened, others, press
 from phenospark.llm.common import written
 from phenospark.llm.textkernel import Words, mix, words
 
@@ -83,51 +83,69 @@ class _Sequence:
         return np.bincount(self.inverse, learns[rows], len(self.key)).astype(np.int64)
 
 
-SENT = "bucket int, chunk long, low binary, high binary, counts binary"
+SENT = "bucket int, chunk long, keys binary, counts binary"
 COUNTED = "chunk long, bucket int, totals binary, tokens long, types long"
 
 
+def _bits(buckets: int, wide: bool) -> int:
+    """Bits of a key that travel: all (wide), or 40 besides those that name the bucket."""
+    return 64 if wide else 40 + (buckets - 1).bit_length()
+
+
+def _cuts(key: np.ndarray, buckets: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys cut to their bits, the buckets' least keys, and where each bucket's keys begin."""
+    bits = _bits(buckets, wide)
+    least = np.array([-(-(b << bits) // buckets) for b in range(buckets)], np.uint64)
+    key = key >> np.uint64(64 - bits)
+    return key, least, np.append(np.searchsorted(key, least), len(key))
+
+
 def _send(chunk: int, key: np.ndarray, count: np.ndarray, buckets: int, wide: bool) -> pa.RecordBatch:
-    """Sorted distinct keys, of 64 bits (wide) or 40, with their counts in the chunk."""
-    order, first = dealt(key, buckets)
+    """Sorted distinct keys with their counts in the chunk; a bucket's keys travel as steps from one to the next."""
+    key, least, first = _cuts(key, buckets, wide)
     full = np.flatnonzero(np.diff(first))
-    cols: list[list[bytes]] = [[], [], []]
+    keys, counts = [], []
     for b in full.tolist():
-        p = order[first[b] : first[b + 1]]
-        high = (key[p] >> np.uint64(32)).astype(np.uint32 if wide else np.uint8)
-        for c, x in zip(cols, (key[p].astype(np.uint32).tobytes(), high.tobytes(), press(count[p])), strict=True):
-            c.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "low", "high", "counts"])
+        own = slice(first[b], first[b + 1])
+        step = np.diff(key[own], prepend=least[b : b + 1])
+        keys.append(press(step.astype(np.uint32) if step.max() < 1 << 32 else step))
+        counts.append(press(count[own]))
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "chunk", "keys", "counts"])
 
 
-def _counted(sent: DataFrame, wide: bool) -> DataFrame:
+def _counted(sent: DataFrame, buckets: int, wide: bool) -> DataFrame:
     """COUNTED: the corpus counts of what each chunk sent; a bucket's first row has its sums."""
+    bits = _bits(buckets, wide)
 
     def run(table: pa.Table) -> pa.Table:
-        low, high, count = ([x.as_py() for x in table.column(c)] for c in ("low", "high", "counts"))
-        key = np.frombuffer(b"".join(high), np.uint32 if wide else np.uint8).astype(np.uint64)
-        key <<= np.uint64(32)
-        key |= np.frombuffer(b"".join(low), np.uint32)
+        least = np.uint64(-(-(table.column("bucket")[0].as_py() << bits) // buckets))
+        counts = [expand(x.as_py(), np.int64) for x in table.column("counts")]
+        keys = []
+        for raw, n in zip(table.column("keys"), map(len, counts), strict=True):
+            raw = expand(raw.as_py())
+            keys.append(np.cumsum(raw.view(np.uint32 if len(raw) == 4 * n else np.uint64), dtype=np.uint64) + least)
+        ends = np.cumsum([len(x) for x in counts])
+        key = np.concatenate(keys)
+        del keys
         order = np.argsort(key)
         key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         del key
-        total = np.add.reduceat(np.concatenate([expand(c, np.int64) for c in count])[order], np.flatnonzero(new))
+        total = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new))
         got = np.empty(len(order), np.int64)
         got[order] = total[np.cumsum(new) - 1]
         sums = [[int(x)] + [0] * (table.num_rows - 1) for x in (total.sum(), (total > 0).sum())]
-        ends = np.cumsum([len(x) // 4 for x in low])
         return pa.table({"chunk": table.column("chunk").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int32()), "totals": pa.array([press(x) for x in np.split(got, ends[:-1])], pa.binary()), "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
 
     return sent.groupBy("bucket").applyInArrow(run, COUNTED)
 
 
-def _told(found: list[dict] | None, key: np.ndarray, buckets: int) -> np.ndarray:
-    order, first = dealt(key, buckets)
+def _told(found: list[dict] | None, key: np.ndarray, buckets: int, wide: bool) -> np.ndarray:
+    _, _, first = _cuts(key, buckets, wide)
     out = np.zeros(len(key), np.int64)
     for x in found or ():
-        out[order[first[x["bucket"]] : first[x["bucket"] + 1]]] = expand(x["totals"], np.int64)
+        out[first[x["bucket"]] : first[x["bucket"] + 1]] = expand(x["totals"], np.int64)
     return out
 
 
@@ -152,13 +170,13 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, discount: float = DISC
                 got = _Sequence(c.words)
                 yield _send(row["chunk"], got.key, got.counts(~held_out(c.ids, parts, part)), many, False)
 
-    singles = written(_counted(chunks.mapInArrow(send_words, SENT), True), "words")
+    singles = written(_counted(chunks.mapInArrow(send_words, SENT), buckets, True), "words")
     sums = singles.agg(F.sum("tokens"), F.sum("types")).first()
     ends = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != part, F.lit(True))).count()
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
     base_size = float(n + v + 1)
     known = chunks
-    for name, counted in (("ones", singles), ("more", _counted(chunks.mapInArrow(send_ngrams, SENT), False))):
+    for name, counted in (("ones", singles), ("more", _counted(chunks.mapInArrow(send_ngrams, SENT), many, False))):
         told = counted.groupBy(F.col("chunk").alias(f"chunk_{name}")).agg(F.collect_list(F.struct("bucket", "totals")).alias(name))
         known = known.join(told.hint("shuffle_hash"), F.col("chunk") == F.col(f"chunk_{name}"), "left").drop(f"chunk_{name}")
 
@@ -166,9 +184,9 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, discount: float = DISC
         for batch in batches:
             for row in batch.to_pylist():
                 c = _Words(row)
-                count = _told(row["ones"], c.key, buckets)
+                count = _told(row["ones"], c.key, buckets, True)
                 q = _Sequence(c.words)
-                own = _told(row["more"], q.key, many)[q.inverse]
+                own = _told(row["more"], q.key, many, False)[q.inverse]
                 one, two, three = np.full(len(q.token), float(ends)), np.zeros(len(q.token)), np.zeros(len(q.token))
                 one[q.word_at] = count[c.inverse]
                 two[q.two], three[q.three] = own[: len(q.two)], own[len(q.two) :]
