@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import crc_of_id
-from phenospark.llm.textkernel import IS_BREAK, Slice, mix, slices, words
+from phenospark.llm.textkernel import IS_BREAK, Slice, Words, mix, slices, words
 
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE = 1500
@@ -108,37 +108,52 @@ def _look(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _slice(texts: list[str]) -> list[Slice]:
-    return list(slices(pa.array(texts, pa.large_string()), 1 << 40))
+    """All texts as one slice."""
+    return list(slices(pa.array(texts, pa.large_string()), 1 << 40, 1 << 40))
 
 
-def _counts(texts: list[str]) -> tuple[dict, dict]:
-    """Counts and document frequencies of words, and of pairs with the hashes of their two words."""
-    singles, twos = {}, {}
-    for s in _slice(texts):
+@dataclass
+class _Table:
+    """Sorted n-grams of a class with counts and document frequencies; of pairs also their two words."""
+
+    key: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+    one: np.ndarray | None = None
+    two: np.ndarray | None = None
+
+    def of(self, column: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The column's values of the keys, 0 where there are none."""
+        return _look(self.key, column.astype(float), keys)
+
+
+def _counts(texts: list[str]) -> tuple[_Table, _Table]:
+    """The words and the pairs of a class."""
+    w = Words(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(1, int))
+    for s in _slice(texts):  # one slice, whatever its size
         w = words(s, lower=True, breaks=IS_BREAK)
-        at, pair = _pairs(w.hash, w.first)
-        row = w.row
-        for key, rows, out, parts in ((w.hash, row, singles, None), (pair, row[at], twos, at)):
-            names, where, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            docs = np.bincount(np.unique(np.stack([inverse, rows], 1), axis=0)[:, 0], minlength=len(names)) if len(names) else n
-            value = zip(n.tolist(), docs.tolist(), strict=True)
-            if parts is not None:
-                value = zip(n.tolist(), docs.tolist(), w.hash[at[where] - 1].tolist(), w.hash[at[where]].tolist(), strict=True)
-            out.update(zip(names.tolist(), value, strict=True))
-    return singles, twos
-
-
-def _telling(one: dict, other: dict, n_one: int, n_other: int, evidence: float) -> list[int]:
+    row = w.row
+    at, pair = _pairs(w.hash, w.first)
+
+    def table(key: np.ndarray, rows: np.ndarray, place: np.ndarray | None) -> _Table:
+        names, where, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        in_docs = np.unique(inverse * max(1, len(texts)) + rows) // max(1, len(texts))
+        docs = np.bincount(in_docs, minlength=len(names))
+        return _Table(names, n, docs) if place is None else _Table(names, n, docs, w.hash[place[where] - 1], w.hash[place[where]])
+
+    return table(w.hash, row, None), table(pair, row[at], at)
+
+
+def _telling(one: _Table, other: _Table, n_one: int, n_other: int, evidence: float) -> np.ndarray:
     """The n-grams whose document frequencies differ by more than chance."""
-    keys = list(one.keys() | other.keys())
-    a = np.array([one[k][1] if k in one else 0 for k in keys], float)
-    b = np.array([other[k][1] if k in other else 0 for k in keys], float)
+    keys = np.union1d(one.key, other.key)
+    a, b = one.of(one.docs, keys), other.of(other.docs, keys)
     share = (a + b) / (n_one + n_other)
     g = np.zeros(len(keys))
     for seen, n in ((a, n_one), (b, n_other)):
         for x, mean in ((seen, n * share), (n - seen, n * (1 - share))):
             g += 2 * x * np.log(np.maximum(x, 1e-9) / np.maximum(mean, 1e-9))
-    return [k for k, x in zip(keys, g.tolist(), strict=True) if x >= evidence]
+    return keys[g >= evidence]
 
 
 def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Model:
@@ -147,37 +162,33 @@ def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, evide
     classes = [_counts(x) for x in learns]
     sizes = [max(1, len(x)) for x in learns]
     # the shared continuation counts: in how many distinct pairs of either class a word comes second
-    shared: dict[int, int] = {}
-    for _, _, _, b in (classes[0][1] | classes[1][1]).values():
-        shared[b] = shared.get(b, 0) + 1
-    total = sum(shared.values()) + len(shared) + 1
-    base, never = {w: (c + 1) / total for w, c in shared.items()}, 1 / total
+    _, where = np.unique(np.concatenate([c[1].key for c in classes]), return_index=True)
+    base_key, base_n = np.unique(np.concatenate([c[1].two for c in classes])[where], return_counts=True)
+    total = base_n.sum() + len(base_n) + 1
+    base = lambda h: (_look(base_key, base_n.astype(float), h) + 1) / total
     known = _telling(classes[0][0], classes[1][0], *sizes, evidence)
     pairs = _telling(classes[0][1], classes[1][1], *sizes, evidence)
-    second = {k: (classes[0][1].get(k) or classes[1][1][k])[2:] for k in pairs}
-    p_word, p_pair, left_word = [], [], []
+    first, second = np.zeros(len(pairs), np.uint64), np.zeros(len(pairs), np.uint64)
+    for _, t in classes:
+        if len(t.key):
+            at = np.minimum(np.searchsorted(t.key, pairs), len(t.key) - 1)
+            hit = t.key[at] == pairs
+            first[hit], second[hit] = t.one[at[hit]], t.two[at[hit]]
+    _, group = np.unique(first, return_inverse=True)
+    word_p, pair_p, left_p = [], [], []
     for singles, twos in classes:
-        n = max(1, sum(c for c, _ in singles.values()))
-        own = {w: max(0.0, singles[w][0] - discount) / n if w in singles else 0.0 for w in known}
-        left = 1 - sum(own.values())
+        own = np.maximum(singles.of(singles.n, known) - discount, 0) / max(1, singles.n.sum())
+        left = 1 - own.sum()
         # what is left goes to the shared counts; a word that isn't telling has the same share of it in both classes
-        p_word.append({w: x + left * base.get(w, never) for w, x in own.items()})
-        left_word.append(left)
-        mass: dict[int, float] = {}
-        arc: dict[int, float] = {}
-        for k, (a, _) in second.items():
-            arc[k] = max(0.0, twos[k][0] - discount) / singles[a][0] if k in twos else 0.0
-            mass[a] = mass.get(a, 0.0) + arc[k]
-        p_pair.append({k: arc[k] + (1 - mass[a]) * p_word[-1].get(b, left * base.get(b, never)) for k, (a, b) in second.items()})
-    level = float(np.log(left_word[0]) - np.log(left_word[1]))
-    word_log = {w: float(np.log(p_word[0][w]) - np.log(p_word[1][w])) - level for w in known}
-    pair_log = {k: float(np.log(p_pair[0][k]) - np.log(p_pair[1][k])) - level - word_log.get(second[k][1], 0.0) for k in pairs}
-
-    def arrays(d: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        key = np.array(sorted(d), np.uint64)
-        return key, np.array([d[k] for k in key.tolist()])
-
-    model = Model(*arrays(word_log), *arrays(pair_log), np.zeros(5), np.zeros(4), np.ones(4))
+        word_p.append(own + left * base(known))
+        arc = np.maximum(twos.of(twos.n, pairs) - discount, 0) / np.maximum(singles.of(singles.n, first), 1)
+        mass = np.bincount(group, arc, len(pairs))[group] if len(pairs) else arc
+        pair_p.append(arc + (1 - mass) * (_look(known, own, second) + left * base(second)))
+        left_p.append(left)
+    level = np.log(left_p[0]) - np.log(left_p[1])
+    word_log = np.log(word_p[0]) - np.log(word_p[1]) - level
+    pair_log = np.log(pair_p[0]) - np.log(pair_p[1]) - level - _look(known, word_log, second)
+    model = Model(known, word_log, pairs, pair_log, np.zeros(5), np.zeros(4), np.ones(4))
     x = [np.concatenate([np.zeros((0, 4)), *(model.features(s) for s in _slice(t[1::2]))]) for t in (toxic, ordinary)]
     y = np.concatenate([np.ones(len(x[0])), np.zeros(len(x[1]))])
     x = np.concatenate(x)

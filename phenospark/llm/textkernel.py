@@ -89,7 +89,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[Slice]:
     """The rows of a string column; null counts as an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -100,7 +100,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     lo, n = 0, len(texts)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-        hi = min(hi, n, lo + (1 << 16))
+        hi = min(hi, n, lo + rows)
         yield Slice(lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
 
