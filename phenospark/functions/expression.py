@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,42 +59,62 @@ def center_scale(columns: DataFrame, by: tuple[str, ...] = ("side", "col")) -> D
     return dev.withColumn("value", unit(F.col("value"), F.col("mean"), F.col("dev"))).drop("mean", "dev")
 
 
+#: Entries of a block of scaled samples that is sent to all tasks (64 MB); more samples go in more blocks.
+BLOCK_ENTRIES = 8_000_000
+
+
 def correlation(scaled: DataFrame) -> DataFrame:
     """cell, x: the Pearson correlations of a cell with all samples, in the order of their columns.
 
-    The bulk side is the samples' own table, of n_sample x n_gene values: it is
-    gathered once, in a row for each gene, and joined with the cells by gene.
+    Samples are sent to the cells in blocks of a checked size, genes x samples;
+    a cell's values meet in one task, as they do for scaling, and a batch of cells
+    is one matrix product.
     """
     bulk = scaled.where("side = 'bulk'")
-    wide = bulk.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("s")).select("gene", F.col("s.value").alias("b"))
+    genes, samples = (sorted(r[0] for r in bulk.select(c).distinct().collect()) for c in ("gene", "col"))
+    width = max(1, BLOCK_ENTRIES // max(1, len(genes)))
     cells = scaled.where("side = 'cell'").select("gene", F.col("col").alias("cell"), "value")
-    packed = cells.join(wide, "gene").repartition("cell").sortWithinPartitions("cell", "gene")
+    out = None
+    for lo in range(0, max(1, len(samples)), width):
+        part = _against(cells, bulk, genes, samples[lo : lo + width])
+        out = part if out is None else out.join(part.withColumnRenamed("x", "y"), "cell").select("cell", F.concat("x", "y").alias("x"))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_cell, total, genes = None, None, 0
 
-        def done() -> pa.RecordBatch:
-            x = np.nan_to_num(total / max(1, genes - 1), nan=0.0, posinf=0.0, neginf=0.0)
-            return pa.RecordBatch.from_arrays([pa.array([open_cell], pa.int64()), pa.array([x], pa.list_(pa.float64()))], ["cell", "x"])
+def _against(cells: DataFrame, bulk: DataFrame, genes: list[str], samples: list[int]) -> DataFrame:
+    z = np.zeros((len(genes), len(samples)))
+    own = bulk.where(F.col("col").isin(samples)).toPandas()  # BLOCK_ENTRIES at most
+    index = pd.Index(genes)
+    z[index.get_indexer(own["gene"]), np.searchsorted(samples, own["col"])] = own["value"]
+    shared = cells.sparkSession.sparkContext.broadcast((genes, z))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, z = shared.value
+        index = pd.Index(names)
+
+        def product(cell: np.ndarray, gene: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, row, n = np.unique(cell, return_inverse=True, return_counts=True)
+            for lo in range(0, len(ids), 1024):
+                mine = (row >= lo) & (row < lo + 1024) & (gene >= 0)
+                m = np.zeros((min(1024, len(ids) - lo), len(names)))
+                m[row[mine] - lo, gene[mine]] = value[mine]
+                x = m @ z / np.maximum(n[lo : lo + 1024, None] - 1, 1)
+                x[~np.isfinite(x)] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1024]), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * z.shape[1], pa.int32()), pa.array(x.ravel()))], ["cell", "x"])
+
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, value = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            b = np.asarray(batch.column(2).flatten()).reshape(len(cell), -1)
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            sums, counts = np.add.reduceat(b * value[:, None], first), np.diff(np.append(first, len(cell)))
-            for c, s, n in zip(cell[first].tolist(), sums, counts.tolist(), strict=True):
-                if c == open_cell:
-                    total, genes = total + s, genes + n
-                else:
-                    if open_cell is not None:
-                        yield done()
-                    open_cell, total, genes = c, s, n
-        if open_cell is not None:
-            yield done()
-
-    return packed.select("cell", "value", "b").mapInArrow(run, "cell long, x array<double>")
+            coded = batch.column(1).dictionary_encode()
+            gene = index.get_indexer(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if batch.num_rows else rest[1][:0]
+            now = [np.concatenate([a, np.asarray(b)]) for a, b in zip(rest, (batch.column(0), gene, batch.column(2)), strict=True)]
+            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last cell may go on
+            if last:
+                yield from product(*(a[:last] for a in now))
+            rest = [a[last:] for a in now]
+        if len(rest[0]):
+            yield from product(*rest)
+
+    return cells.select("cell", "gene", "value").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, x array<double>")
 
 
 def long_x(x: DataFrame, samples: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def pca(scaled: DataFrame, genes: DataFrame, k: int = 50) -> DataFrame:
 PACKED = "block int, cells binary, dims int, data binary"
 
 
-def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """src, rank, dst, score: each cell's k largest inner products with other cells, ties to the smaller cell.
+def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096, metric: str = "inner") -> DataFrame:
+    """src, rank, dst, score: each cell's k best other cells, ties to the smaller cell.
 
+    score: the inner product, or minus the squared distance (metric="euclidean").
     vectors: cell, v. Blocks of cells meet as packed rows; NumPy takes each pair
     of blocks and keeps k a cell; Spark merges the blocks.
     """
@@ -134,6 +135,8 @@ def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
                 ids[1], other = ids[1][by], other[by]
                 for lo in range(0, len(own), 512):
                     score = own[lo : lo + 512] @ other.T
+                    if metric == "euclidean":
+                        score = 2 * score - (own[lo : lo + 512] ** 2).sum(1)[:, None] - (other**2).sum(1)[None, :]
                     score[ids[0][lo : lo + 512, None] == ids[1][None, :]] = -np.inf
                     top = np.argsort(-score, 1, kind="stable")[:, :k]
                     value = np.take_along_axis(score, top, 1)

@@ -44,25 +44,28 @@ def guanrank_elf(patients: DataFrame, unit_time: bool = False) -> DataFrame:
 def guanrank(patients: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds survival_rate and rank: pairwise risk ranks, the largest being 1.
 
-    Each sum over pairs is a range window over time with a conditional input.
+    Patients of one time share all sums over pairs. So they are added up by time
+    first; each sum over pairs is then a range window over the distinct times with
+    a conditional input, and the patients are joined with their time's row.
     """
     keys = list(by)
-    r = F.col("survival_rate")
-    up = Window.partitionBy(*keys).orderBy("time")
-    down = Window.partitionBy(*keys).orderBy(F.desc("time"))
-    same = Window.partitionBy(*keys, "time")
-    zero = F.lit(0.0)
-    inverse = F.when(F.col("status") == 0, 1 / F.nullif(r, zero)).otherwise(zero)
-    until, ties = F.sum(inverse).over(up), F.sum(inverse).over(same)
-    event_ties = F.sum(F.when(F.col("status") == 1, 1.0).otherwise(0.0)).over(same)
-    later = F.count("*").over(down) - F.count("*").over(same)
-    n0, n1 = (F.sum(F.when(F.col("status") == s, 1.0).otherwise(0.0)).over(down) for s in (0, 1))
-    r0, r1 = (F.sum(F.when(F.col("status") == s, r).otherwise(0.0)).over(down) for s in (0, 1))
-    event = later + r * until + 0.5 * event_ties
-    censored = n0 - 0.5 * r0 / F.nullif(r, zero) + n1 - r1 / F.nullif(r, zero) + 0.5 * r * (until - ties)
-    raw = F.when(F.col("status") == 1, event).when(F.col("status") == 0, censored).otherwise(zero) - 0.5
-    t = km_curve(patients, by).withColumn("raw", raw)
-    return t.withColumn("rank", F.col("raw") / F.max("raw").over(Window.partitionBy(*keys))).drop("raw")
+    at = patients.groupBy(*keys, "time").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("status") == s, 1)).cast("double").alias(f"n{s}") for s in (0, 1)), F.sum("status").alias("events"))
+    up, down = Window.partitionBy(*keys).orderBy("time"), Window.partitionBy(*keys).orderBy(F.desc("time"))
+    r, zero = F.col("survival_rate"), F.lit(0.0)
+    at = at.withColumn("risk", F.sum("n").over(down)).withColumn("survival_rate", F.product(1 - F.col("events") / F.col("risk")).over(up))
+    at = at.withColumn("inverse", F.when(F.col("n0") > 0, F.col("n0") / F.nullif(r, zero)).otherwise(zero))
+    for name, value, over in (("until", F.col("inverse"), up), ("m0", F.col("n0"), down), ("m1", F.col("n1"), down), ("r0", F.col("n0") * r, down), ("r1", F.col("n1") * r, down)):
+        at = at.withColumn(name, F.sum(value).over(over))
+    event = F.col("risk") - F.col("n") + r * F.col("until") + 0.5 * F.col("n1")
+    censored = F.col("m0") - 0.5 * F.col("r0") / F.nullif(r, zero) + F.col("m1") - F.col("r1") / F.nullif(r, zero) + 0.5 * r * (F.col("until") - F.col("inverse"))
+    at = at.select(*keys, "time", "survival_rate", (event - 0.5).alias("event"), (censored - 0.5).alias("censored"), "n0", "n1", "n")
+    # patients of another status stay at the start, -0.5
+    highest = F.greatest(F.max(F.when(F.col("n1") > 0, F.col("event"))), F.max(F.when(F.col("n0") > 0, F.col("censored"))), F.max(F.when(F.col("n") > F.col("n0") + F.col("n1"), -0.5)))
+    top = at.groupBy(*keys).agg(highest.alias("highest"))
+    at = at.join(top, keys) if keys else at.crossJoin(top)  # one row a key
+    raw = F.when(F.col("status") == 1, F.col("event")).when(F.col("status") == 0, F.col("censored")).otherwise(F.lit(-0.5))
+    joined = patients.join(at.drop("n0", "n1", "n"), [*keys, "time"])
+    return joined.withColumn("rank", raw / F.col("highest")).drop("event", "censored", "highest")
 
 
 def coerce_phenotype(labels: DataFrame) -> DataFrame:

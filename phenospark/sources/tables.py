@@ -66,6 +66,14 @@ def row_view(x: DataFrame, rows: list[int] | None = None, scale: float = 1.0) ->
     return x.select("cell", v.alias("x"))
 
 
+def max_difference(x: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: the largest absolute difference of two X, infinite where just one has a cell or a sample."""
+    one = x.select("cell", F.posexplode("x").alias("pos", "a"))
+    two = other.select("cell", F.posexplode("x").alias("pos", "b"))
+    d = F.coalesce(F.abs(F.col("a") - F.col("b")), F.lit(float("inf")))
+    return one.join(two, ["cell", "pos"], "full").agg(F.coalesce(F.max(d), F.lit(0.0)).alias("max_difference"))
+
+
 def x_dim(x: DataFrame) -> DataFrame:
     """One row: n_sample, n_cell."""
     return x.agg(F.coalesce(F.max(F.size("x")), F.lit(0)).cast("long").alias("n_sample"), F.count("*").alias("n_cell"))

@@ -256,6 +256,30 @@ def test_correlation(spark):
     assert all(got[j] == pytest.approx(want[:, j].tolist()) for j in range(6))
 
 
+def test_correlation_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    bulk, cells = tables_of(spark, rng.normal(size=(9, 5)), rng.normal(size=(9, 6)))
+    whole = create.similarity(bulk, cells).persist()
+    monkeypatch.setattr(ex, "BLOCK_ENTRIES", 20)
+    assert tables.max_difference(whole, create.similarity(bulk, cells)).first()[0] < 1e-12
+    assert tables.max_difference(whole, whole.where("cell > 0")).first()[0] == float("inf")
+
+
+def test_prepare(spark):
+    from phenospark.plans.prepare import prepare
+
+    rng = np.random.default_rng(13)
+    m = rng.poisson(2.0, (30, 24))
+    counts = spark.createDataFrame([(f"g{i}", c, float(v)) for i, row in enumerate(m) for c, v in enumerate(row) if v], "gene string, col long, value double")
+    for method, selection in (("LogNormalize", "vst"), ("RC", "mvp"), ("CLR", "disp")):
+        got = prepare(counts, method, selection=selection, n_genes=10, dims=4, neighbours=5)
+        assert got.genes.count() == 10 and got.components.count() == 24
+        w = got.graph.toPandas()["w"]
+        assert len(w) and w.between(1 / 15, 1).all()
+    with pytest.raises(ValueError):
+        prepare(counts, "other")
+
+
 def test_create(spark):
     rng = np.random.default_rng(8)
     bulk, cells = tables_of(spark, rng.random((9, 4)), rng.random((9, 6)))
@@ -357,6 +381,9 @@ def test_neighbours(spark):
         for r in preprocess.knn_graph(frame, 5, block).orderBy("src", "rank").collect():
             got.setdefault(r.src, []).append(r.dst)
         assert got == want
+    near = preprocess.knn_graph(frame, 1, metric="euclidean").where("src = 0").first()
+    gap = ((v - v[0]) ** 2).sum(1)
+    assert near.dst == np.argsort(gap)[1] and near.score == pytest.approx(-np.sort(gap)[1])
     snn = {(r.src, r.dst): r.w for r in preprocess.snn_graph(preprocess.knn_graph(frame, 5), 5).collect()}
     for (i, j), w in snn.items():
         a, b = {i, *want[i]}, {j, *want[j]}
