@@ -63,15 +63,15 @@ def center_scale(columns: DataFrame, by: tuple[str, ...] = ("side", "col")) -> D
 BLOCK_ENTRIES = 8_000_000
 
 
-def correlation(scaled: DataFrame) -> DataFrame:
+def correlation(scaled: DataFrame, genes: list[str] | None = None, samples: list[int] | None = None) -> DataFrame:
     """cell, x: the Pearson correlations of a cell with all samples, in the order of their columns.
 
     Samples are sent to the cells in blocks of a checked size, genes x samples;
     a cell's values meet in one task, as they do for scaling, and a batch of cells
-    is one matrix product.
+    is one matrix product. genes, samples: the bulk side's, where they are known.
     """
     bulk = scaled.where("side = 'bulk'")
-    genes, samples = (sorted(r[0] for r in bulk.select(c).distinct().collect()) for c in ("gene", "col"))
+    genes, samples = (sorted(r[0] for r in bulk.select(c).distinct().collect()) if known is None else sorted(known) for c, known in (("gene", genes), ("col", samples)))
     width = max(1, BLOCK_ENTRIES // max(1, len(genes)))
     cells = scaled.where("side = 'cell'").select("gene", F.col("col").alias("cell"), "value")
     out = None

@@ -31,8 +31,10 @@ def similarity(bulk: DataFrame, cells: DataFrame, quantile: bool = True) -> Data
     """cell, x: correlations over the common genes, after quantile normalisation of all columns together."""
     columns = ex.side_by_side(bulk, cells)
     if quantile:
-        columns = ex.quantile_normalize(columns, ex.quantile_target(columns))
-    return ex.correlation(ex.center_scale(columns))
+        # a row for each gene, read by both sides
+        columns = ex.quantile_normalize(columns, cut(ex.quantile_target(columns), "target"))
+    genes, samples = ([r[0] for r in t.collect()] for t in (ex.common_genes(bulk, cells), bulk.select("col").distinct()))
+    return ex.correlation(ex.center_scale(columns), genes, samples)
 
 
 def samples_of(bulk: DataFrame) -> DataFrame:

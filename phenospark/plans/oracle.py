@@ -162,7 +162,7 @@ ORACLE = {
     "phenotype_s": sql("SELECT 'survival' AS method, col, round(1 - rank, 6) + 0.0 AS s FROM ranks UNION ALL SELECT 'binary', col, 1 - label FROM labelled", "patients", "labelled", more=km("patients") + ", " + ranked()),
     "concordance": sql("SELECT count(*) AS n_pairs, round(avg(CASE WHEN b.p > a.p THEN 1.0::DOUBLE WHEN b.p = a.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS concordance FROM q a JOIN q b ON a.col <> b.col AND a.status = 1 AND (a.time < b.time OR (a.time = b.time AND b.status = 0))", "patients", more="q AS (SELECT *, col * 37 % 11 AS p FROM patients)"),
     "nmf_steps": sql(FITTED, "pos", "h", "w", more=steps(2, False)),
-    "scab_steps": sql(FITTED, "pos", "h", "w", "e", "patients", more=steps(2, True)),
+    "regularised_steps": sql(FITTED, "pos", "h", "w", "e", "patients", more=steps(2, True)),
     "gram_h": sql("SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS value FROM h a JOIN h b USING (cell) GROUP BY ALL", "h"),
     "xht": sql("SELECT sample, CAST(k AS INTEGER) AS k, round(sum(value * v), 6) + 0.0 AS value FROM x JOIN h USING (cell) GROUP BY ALL", "x", "h"),
     "recon_loss": sql("SELECT round(sum((x.value - p.v) * (x.value - p.v)), 6) AS loss FROM x JOIN p USING (sample, cell)", "x", "h", "w", more="p AS (SELECT sample, cell, sum(w.v * h.v) AS v FROM w JOIN h USING (k) GROUP BY ALL)"),

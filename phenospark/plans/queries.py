@@ -289,7 +289,7 @@ def nmf_steps(spark, sf_dir):
 
 
 @query
-def scab_steps(spark, sf_dir):
+def regularised_steps(spark, sf_dir):
     return fixed_fit(spark, sf_dir, True)
 
 
