@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenospark.operators.factorise import LOCAL_ENTRIES, fit, fit_local, pinv_project, seed_for
+from phenospark.functions.expression import fro_norm
+from phenospark.operators import factorise
+from phenospark.operators.factorise import fit, fit_local, pinv_project, project, seed_for
 from phenospark.operators.survival import concordance_of, cox_fit
+from phenospark.sources.tables import row_view
 
 
 def elbow(losses: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ class KChoice:
 def _local_x(x: DataFrame) -> np.ndarray | None:
     """X as samples x cells in cell order if it is within LOCAL_ENTRIES."""
     size = x.agg(F.max(F.size("x")), F.count("*")).first()
-    if (size[0] or 0) * size[1] > LOCAL_ENTRIES:
+    if (size[0] or 0) * size[1] > factorise.LOCAL_ENTRIES:
         return None
     return np.array(x.orderBy("cell").toPandas()["x"].tolist()).T
 
@@ -125,6 +128,29 @@ def rank_array(time: np.ndarray, status: np.ndarray) -> np.ndarray:
     return out / out.max()
 
 
+CV = "alpha1 double, alpha2 double, fold int, cindex double, iter int, loss double"
+
+
+def _judged(time: np.ndarray, status: np.ndarray, test: np.ndarray, train_w: np.ndarray, test_w: np.ndarray, reverse: bool) -> float:
+    """The concordance of the test rows under a Cox model of the train rows."""
+    b = cox_fit(time[~test], status[~test], train_w)
+    score = (test_w - train_w.mean(0)) @ b
+    return concordance_of(time[test], status[test], -score if reverse else score)
+
+
+def _far_task(x: DataFrame, people: pd.DataFrame, fold: int, k: int, edges: DataFrame | None, d: DataFrame | None, alpha1: float, alpha2: float, maxiter: int, seed: int | None, reverse: bool) -> tuple[float, int, float]:
+    """One task of the grid where X stays distributed: lazy views of the train and test rows."""
+    test = (people["fold"] == fold).to_numpy()
+    time, status = people["time"].to_numpy(float), people["status"].to_numpy(int)
+    train_rows, test_rows = (np.flatnonzero(m).tolist() for m in (~test, test))
+    train = row_view(x, train_rows)
+    norm = fro_norm(train).first()[0] or 0.0
+    if 0 < norm < float("inf"):
+        train = row_view(x, train_rows, 1 / norm)
+    got = fit(train, k, 1 - rank_array(time[~test], status[~test]), edges, d, alpha1, alpha2, maxiter, seed=7 if seed is None else seed)
+    return _judged(time, status, test, got.w, project(row_view(x, test_rows), got.h, k), reverse), got.iter, got.loss
+
+
 def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | None = None, d: DataFrame | None = None, alpha1: tuple[float, ...] = (0.01, 0.005, 0.001), alpha2: tuple[float, ...] = (0.01, 0.005, 0.001), cross_k: int = 5, seed: int = 0, model_seed: int | None = None, method: str = "survival", maxiter: int = 2000, reverse: bool = False) -> DataFrame:
     """alpha1, alpha2, fold, cindex, iter, loss of every task of the grid.
 
@@ -135,11 +161,13 @@ def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | N
     """
     spark = x.sparkSession
     array = _local_x(x)
-    if array is None:
-        raise ValueError("cross-validation fits each task in one worker: X is beyond LOCAL_ENTRIES")
     people = hashed_folds(patients, cross_k, seed).orderBy("col").toPandas()
-    if len(people) != array.shape[0]:
+    if len(people) != (x.agg(F.max(F.size("x"))).first()[0] or 0):
         raise ValueError("phenotype and X differ in their samples")
+    start = seed_for(method, model_seed)
+    if array is None:
+        rows = [(a, b, f, *_far_task(x, people, f, k, edges, d, a, b, maxiter, start, reverse)) for f in range(1, cross_k + 1) for a in alpha1 for b in alpha2]
+        return spark.createDataFrame(rows, CV)
     cells = np.sort(np.array([r.cell for r in x.select("cell").collect()]))
     links = degree = None
     if edges is not None:
@@ -147,7 +175,6 @@ def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | N
         links = (np.searchsorted(cells, e["src"]), np.searchsorted(cells, e["dst"]), e["w"].to_numpy())
         degree = d.orderBy("cell").toPandas()["d"].to_numpy()
     shared = spark.sparkContext.broadcast((array, people, links, degree))  # within LOCAL_ENTRIES
-    start = seed_for(method, model_seed)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         array, people, links, degree = shared.value
@@ -159,12 +186,9 @@ def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | N
             norm = np.sqrt((train**2).sum())
             train = train / norm if np.isfinite(norm) and norm > 0 else train
             got = fit_local(train, k, 1 - rank_array(time[~test], status[~test]), links, degree, t.alpha1, t.alpha2, maxiter, seed=start)
-            w = pinv_project(array[test] @ got.h.T, got.h @ got.h.T)
-            b = cox_fit(time[~test], status[~test], got.w)
-            score = (w - got.w.mean(0)) @ b
-            c = concordance_of(time[test], status[test], -score if reverse else score)
+            c = _judged(time, status, test, got.w, pinv_project(array[test] @ got.h.T, got.h @ got.h.T), reverse)
             out.append((t.alpha1, t.alpha2, t.fold, c, got.iter, got.loss))
         return pd.DataFrame(out, columns=["alpha1", "alpha2", "fold", "cindex", "iter", "loss"])
 
     tasks = grid(spark, list(alpha1), list(alpha2), cross_k)
-    return tasks.groupBy("alpha1", "alpha2", "fold").applyInPandas(run, "alpha1 double, alpha2 double, fold int, cindex double, iter int, loss double")
+    return tasks.groupBy("alpha1", "alpha2", "fold").applyInPandas(run, CV)

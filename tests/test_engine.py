@@ -211,7 +211,7 @@ def test_cv_tables(spark):
     assert selection.pivoted(means, [0.2, 0.3]).where("alpha1 = 0.2").first()["0.3"] is None
 
 
-def test_select_alpha(spark):
+def test_select_alpha(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.abs(rng.normal(size=(24, 30)))
     frame = spark.createDataFrame([(c, x[:, c].tolist()) for c in range(30)], "cell long, x array<double>")
@@ -222,6 +222,10 @@ def test_select_alpha(spark):
     assert sorted(1 - flipped["cindex"]) == pytest.approx(sorted(cv[cv["alpha2"] == 0]["cindex"]))
     with pytest.raises(ValueError):
         selection.select_alpha(frame, people.where("col > 0"), 2)
+    monkeypatch.setattr(factorise, "LOCAL_ENTRIES", 0)  # X stays distributed
+    far = selection.select_alpha(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=2, maxiter=3).toPandas()
+    assert len(far) == 2 and far["cindex"].between(0, 1).all() and (far["iter"] <= 4).all()
+    assert selection.select_k(frame, k_max=3, repeats=1, maxiter=2).selected == 2
 
 
 def long(m, side, first=0):
