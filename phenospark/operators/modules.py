@@ -31,7 +31,7 @@ def find_module(h: DataFrame, tred: float = 2.0, dip: bool = False) -> DataFrame
         return pd.DataFrame({"factor": [frame["factor"].iloc[0]], "antimode": [at]})
 
     cuts = long.groupBy("factor").applyInPandas(run, "factor int, antimode double")
-    bound = F.when(F.isnan("antimode"), limit).otherwise(F.col("antimode"))
+    bound = F.when(F.col("antimode").isNull() | F.isnan("antimode"), limit).otherwise(F.col("antimode"))
     return long.join(stats, "factor").join(cuts, "factor").where(F.col("value") > bound).select("factor", "cell")
 
 

@@ -326,6 +326,13 @@ def test_scans(spark, tmp_path):
 def test_modules(spark):
     h = spark.createDataFrame([(i, [10.0 if i == 9 else 0.0, 1.0]) for i in range(10)], "cell long, h array<double>")
     assert [tuple(r) for r in modules.find_module(h).collect()] == [(1, 9)]  # a constant row has none
+    rng = np.random.default_rng(14)
+    two = np.concatenate([rng.normal(-4, 1, 150), rng.normal(4, 1, 150)])
+    mixed = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(zip(rng.normal(size=300), two, strict=True))], "cell long, h array<double>")
+    plain = {tuple(r) for r in modules.find_module(mixed, 1.0).collect()}
+    dip = {tuple(r) for r in modules.find_module(mixed, 1.0, dip=True).collect()}
+    assert {r for r in dip if r[0] == 1} == {r for r in plain if r[0] == 1} != set()
+    assert {c for f, c in dip if f == 2} == set(range(150, 300))  # cut between the two modes
     got = columns_of(modules.find_subset(h, 2), "cell", "selected", "subset1", "subset2", "subset1_loading")
     assert got[9] == ("selected", "selected", "Other cells", 10.0) and got[0][0] == "Other cells"
 
