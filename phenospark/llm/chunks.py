@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from phenospark.llm.common import partitions
 from phenospark.llm.textkernel import Slice, slices
 
+#: Bytes of text in a chunk; phenospark.chunkBytes in the session's settings goes before it.
 CHUNK_BYTES = 2 << 20
-#: Bytes of text for each bucket of an exchange.
+#: Bytes of text for each bucket of an exchange; phenospark.bucketBytes goes before it.
 BUCKET_BYTES = 16 << 20
 
 CHUNKED = "chunk long, bytes long, offs binary, texts binary, others binary"
@@ -47,12 +48,13 @@ def expand(x: bytes, kind=np.uint8) -> np.ndarray:
 def chunked(docs: DataFrame, text_col: str) -> DataFrame:
     """The chunks of docs as a table bucketed by chunk, in the shared warehouse."""
     others = [c for c in docs.columns if c != text_col]
+    most = int(docs.sparkSession.conf.get("phenospark.chunkBytes", str(CHUNK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             rest = batch.select(others)
-            for s in slices(batch.column(batch.schema.get_field_index(text_col)), CHUNK_BYTES):
+            for s in slices(batch.column(batch.schema.get_field_index(text_col)), most):
                 own = rest.slice(s.lo, s.rows)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as writer:
@@ -80,7 +82,7 @@ def others(row: dict) -> pa.RecordBatch:
 
 def bucket_count(chunks: DataFrame) -> int:
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    return max(12, -(-total // BUCKET_BYTES))
+    return max(12, -(-total // int(chunks.sparkSession.conf.get("phenospark.bucketBytes", str(BUCKET_BYTES)))))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -262,6 +262,12 @@ def test_recompress(docs, rows, empty):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sorted((tuple(r) for r in recompress.digest(docs).collect()), key=key) == sorted(want, key=key)
+    spark = docs.sparkSession
+    spark.conf.set("phenospark.chunkBytes", "2000")  # many small chunks and buckets
+    spark.conf.set("phenospark.bucketBytes", "1000")
+    assert sorted((tuple(r) for r in recompress.digest(docs).collect()), key=key) == sorted(want, key=key)
+    spark.conf.unset("phenospark.chunkBytes")
+    spark.conf.unset("phenospark.bucketBytes")
     whole = recompress.remove_repeats(docs)
     assert whole.columns[-3:] == ["text", "dedup_words_", "dedup_removed"]  # dedup_words was there
     assert sorted((hashlib.sha256(r.text.encode()).hexdigest() for r in whole.collect())) == sorted(x[3] for x in want)
