@@ -109,23 +109,19 @@ def pivoted(means: DataFrame, alpha2: list[float]) -> DataFrame:
 
 
 def rank_array(time: np.ndarray, status: np.ndarray) -> np.ndarray:
-    """:func:`survival.guanrank` of arrays, for the patients of one fold."""
-    survival, rate, risk = np.empty(len(time)), 1.0, len(time)
-    for t in np.unique(time):
-        own = time == t
-        rate *= 1 - status[own].sum() / risk
-        risk -= own.sum()
-        survival[own] = rate
-    out = np.zeros(len(time))
-    dead, censored = status == 1, status == 0
-    for i, (t, s, r) in enumerate(zip(time, status, survival, strict=True)):
-        if s == 1:
-            out[i] = (time > t).sum() + (r / survival[(time <= t) & censored]).sum() + 0.5 * ((time == t) & dead).sum()
-        elif s == 0:
-            late = time >= t
-            out[i] = (1 - 0.5 * survival[late & censored] / r).sum() + (1 - survival[late & dead] / r).sum() + (0.5 * r / survival[(time < t) & censored]).sum()
-    out -= 0.5
-    return out / out.max()
+    """:func:`survival.guanrank` of arrays, for the patients of one fold: a matrix of what each pair adds."""
+    _, at, n = np.unique(time, return_inverse=True, return_counts=True)
+    risk = np.cumsum(n[::-1])[::-1]
+    r = np.cumprod(1 - np.bincount(at, status, len(n)) / risk)[at]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = r[:, None] / r[None, :]  # own survival over the other's
+        back = r[None, :] / r[:, None]
+    later, tie = time[None, :] > time[:, None], time[None, :] == time[:, None]
+    dead = np.broadcast_to(status == 1, later.shape)
+    of_dead = np.select([later, ~dead, tie], [1.0, ratio, 0.5], 0.0)
+    of_censored = np.select([(later | tie) & dead, later | tie, ~dead], [1 - back, 1 - 0.5 * back, 0.5 * ratio], 0.0)
+    raw = np.select([status == 1, status == 0], [of_dead.sum(1), of_censored.sum(1)], 0.0) - 0.5
+    return raw / raw.max()
 
 
 CV = "alpha1 double, alpha2 double, fold int, cindex double, iter int, loss double"
