@@ -73,7 +73,7 @@ def correlation(scaled: DataFrame, genes: list[str] | None = None, samples: list
     bulk = scaled.where("side = 'bulk'")
     genes, samples = (sorted(r[0] for r in bulk.select(c).distinct().collect()) if known is None else sorted(known) for c, known in (("gene", genes), ("col", samples)))
     width = max(1, BLOCK_ENTRIES // max(1, len(genes)))
-    cells = scaled.where("side = 'cell'").select("gene", F.col("col").alias("cell"), "value")
+    cells = scaled.where("side = 'cell'")
     out = None
     for lo in range(0, max(1, len(samples)), width):
         part = _against(cells, bulk, genes, samples[lo : lo + width])
@@ -114,7 +114,9 @@ def _against(cells: DataFrame, bulk: DataFrame, genes: list[str], samples: list[
         if len(rest[0]):
             yield from product(*rest)
 
-    return cells.select("cell", "gene", "value").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, x array<double>")
+    # the window asks for a cell's rows together and in order, which scaling has brought about: no further shuffle
+    place = F.row_number().over(Window.partitionBy("side", "col").orderBy("gene"))
+    return cells.select("col", "gene", "value", place.alias("place")).mapInArrow(run, "cell long, x array<double>")
 
 
 def long_x(x: DataFrame, samples: DataFrame) -> DataFrame:
