@@ -30,21 +30,27 @@ class TreeEncoder:
 
     def __init__(self, tokenizer, leaf: int = LEAF, window: int = WINDOW):
         self.tokenizer, self.leaf, self.window = tokenizer, leaf, window
-        spec = json.loads(tokenizer.to_str())
-        self.specials = [(t["content"], t["id"]) for t in spec["added_tokens"]]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.right_starts = {right[0] for _, right in merges}
-        self.guard: str | None = None
+        added = tokenizer.get_added_tokens_decoder()
+        self.specials = [(t.content, i) for i, t in sorted(added.items())]
+        self.strings = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.loaded = False
+
+    def _load(self) -> None:
+        """The merges on their own, and the guard; only long words need them."""
         from tokenizers import models
 
-        self.model = models.BPE(vocab=spec["model"]["vocab"], merges=[tuple(m) for m in merges], end_of_word_suffix=spec["model"]["end_of_word_suffix"]) if spec["model"]["end_of_word_suffix"] else None
-        vocab = spec["model"]["vocab"]
+        spec = json.loads(self.tokenizer.to_str())["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
+        right_starts = {right[0] for _, right in merges}
+        self.model = models.BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"]) if spec["end_of_word_suffix"] else None
         # a byte symbol that no merge has at the start of its right side can never merge leftwards
-        self.guard = next((c for c in sorted(vocab) if len(c) == 1 and c not in self.right_starts), None)
-        self.strings = {i: t for t, i in vocab.items()}
+        self.guard = next((c for c in sorted(spec["vocab"]) if len(c) == 1 and c not in right_starts), None)
+        self.loaded = True
 
     def encode(self, text: str) -> list[int]:
         """The ids of ``text``; special tokens' strings become their ids, as in the library."""
+        if not self.loaded:
+            self._load()
         parts: list[str | int] = [text]
         for content, number in self.specials:
             split: list[str | int] = []
