@@ -1,20 +1,27 @@
 """Personal data, and the terms that reveal it (operator 1).
 
 Base spans, of e-mail addresses, IP addresses, card and phone numbers, follow
-fixed patterns over whole texts. Each distinct value is a protected entity. The
-terms within ``reach`` terms of an entity are its context. Over the corpus, a
+fixed patterns over whole texts. Each distinct value is a protected entity. A
 term t reveals an entity e as far as it foretells it: with documents as events,
 
     PMI(e; t) = log2 p(e, t) / (p(e) p(t))   and   IC(e) = -log2 p(e),
 
 t discloses e when PMI(e; t) >= IC(e) - tolerance bits, that is p(e | t) >=
 2^-tolerance, and they occur together in ``least`` documents or more (a term
-seen once foretells everything). Such terms become spans of kind ``term`` in the
-contexts of that entity; documents without an entity are left alone. In the text
-spans are generalised to the name of their kind, or removed.
-
-Counts cover all documents. Nothing is broadcast; texts aren't shuffled to find
-spans. Matching is linear in the text, for long runs of digits or letters too.
+seen once foretells everything). A term counts for a document wherever it stands
+outside the base spans; digits alone are no term. Every occurrence of a term that
+discloses some entity becomes a span of kind ``term``: in all documents with base
+spans, and in those without if the pair is more than chance, that is if fewer than
+CHANCE of all pairs of such an entity and a term beside one would be expected to
+meet so often by chance (a word seen four times meets an entity three times by
+chance in a small corpus). In the text spans are generalised to the name of their
+kind, or removed.
+
+Counts cover all documents, copies too. Texts are read three times and never
+shuffled: for the entities and the terms beside them, for the documents of those
+terms, and for the spans. Only bit maps of SLOTS slots are broadcast, which spare
+rows that no join would keep.
+Matching is linear in the text, for long runs of digits or letters too.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 Repeated rows each come back; rows of one doc_id with other texts stay apart.
@@ -23,6 +30,7 @@ Repeated rows each come back; rows of one doc_id with other texts stay apart.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,12 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import free_name, written
-from phenospark.llm.textkernel import IS_BREAK, Slice, slices, words
+from phenospark.llm.textkernel import IS_BREAK, Slice, Words, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 6
 TOLERANCE = 1.0
 LEAST = 3
+#: Pairs expected by chance, of all that are tried, up to which a pair counts where no base span is.
+CHANCE = 0.05
+#: Slots of a bit map of terms.
+SLOTS = 1 << 22
 
 # fixed values: the patterns of the base spans
 _LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+")
@@ -119,62 +130,72 @@ def _marks(s: Slice) -> dict[str, np.ndarray]:
     return out
 
 
-FOUND = "rid long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<entity:long,term:long,start:int,stop:int>>"
+def _spans_of(s: Slice) -> dict[int, list[tuple[str, int, int]]]:
+    """The base spans of the rows that have some."""
+    marks = _marks(s)
+    out = {}
+    for i in np.flatnonzero(np.any([*marks.values()], 0)).tolist():
+        if found := base_spans(s.text(i), {k: bool(v[i]) for k, v in marks.items()}):
+            out[i] = found
+    return out
+
 
+def _terms_of(s: Slice, spans: dict[int, list[tuple[str, int, int]]]) -> tuple[Words, np.ndarray]:
+    """The words, and which of them are terms: those that no base span covers and that aren't digits alone."""
+    w = words(s, lower=True, breaks=IS_BREAK)
+    other = np.zeros(len(s.data) + 1, np.int64)
+    np.cumsum((s.data < 48) | (s.data > 57), out=other[1:])
+    ok = other[w.end] > other[w.start]
+    if spans:
+        covered = np.zeros(len(s.data) + 1, np.int32)
+        for i, found in spans.items():
+            for _, a, b in found:
+                covered[s.offs[i] + a] += 1
+                covered[s.offs[i] + b] -= 1
+        ok &= np.cumsum(covered)[w.start] == 0
+    return w, ok
+
+
+def _bits(terms: DataFrame) -> np.ndarray:
+    """A bit map in which each term's slot is set; SLOTS / 64 rows at most come to the driver."""
+    place = F.col("term").bitwiseAND(F.lit(SLOTS - 1))
+    got = terms.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(term & 63 AS int)))").alias("bits")).collect()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[[r["at"] for r in got]] = [r["bits"] for r in got]
+    return out
 
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """FOUND for each row: the base spans, and the terms around each entity."""
-    struct = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+def _table(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+
+
+def entity_documents(docs: DataFrame) -> DataFrame:
+    """entities, terms: the distinct ones of each row that has entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for s in slices(batch.column(2)):
-                marks = _marks(s)
-                counts, base, contexts = np.zeros((s.rows, 4), np.int64), [""] * s.rows, [[] for _ in range(s.rows)]
-                for i in np.flatnonzero(np.any([*marks.values()], 0)).tolist():
+            for s in slices(batch.column(0)):
+                entities, terms = [], []
+                spans = _spans_of(s)
+                for i, found in spans.items():
                     text = s.text(i)
-                    spans = base_spans(text, {k: bool(v[i]) for k, v in marks.items()})
-                    if not spans:
-                        continue
-                    point = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    for kind, _, _ in spans:
-                        counts[i, KINDS.index(kind)] += 1
-                    base[i] = ",".join(f"{k}:{point[a]}:{point[b]}" for k, a, b in spans)
-                    contexts[i] = _contexts(text, spans, point, reach)
-                n = s.rows
-                columns = [pa.array(rid + np.arange(n)), batch.column(0).slice(s.lo, n), batch.column(1).slice(s.lo, n), *(pa.array(counts[:, k]) for k in range(4)), pa.array(base, pa.string()), pa.array(contexts, pa.list_(struct))]
-                rid += n
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+                    w, ok = _terms_of(Slice(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)])), {0: found})
+                    entities.append(sorted({int.from_bytes(hashlib.blake2b(kind.encode() + b":" + text[a:b].lower(), digest_size=8).digest(), "little", signed=True) for kind, a, b in found}))
+                    terms.append(np.unique(w.hash[ok]).view(np.int64))
+                if spans:
+                    many = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(entities, many), pa.array(terms, many)], ["entities", "terms"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, FOUND)
-
-
-def _contexts(text: bytes, spans: list[tuple[str, int, int]], point: np.ndarray, reach: int) -> list[dict]:
-    """The terms within reach of each entity that no base span covers; digits alone are no term."""
-    s = Slice(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    w = words(s, lower=True, breaks=IS_BREAK)
-    covered = np.zeros(len(text) + 1, np.int32)
-    for _, a, b in spans:
-        covered[a] += 1
-        covered[b] -= 1
-    covered = np.cumsum(covered) > 0
-    out = []
-    for kind, a, b in spans:
-        entity = int.from_bytes(hashlib.blake2b(kind.encode() + b":" + text[a:b].lower(), digest_size=8).digest(), "little", signed=True)
-        left, right = np.searchsorted(w.end, a, "right"), np.searchsorted(w.start, b)
-        for i in [*range(max(0, left - reach), left), *range(right, min(len(w.start), right + reach))]:
-            x, y = int(w.start[i]), int(w.end[i])
-            if not covered[x] and not text[x:y].isdigit():
-                out.append({"entity": entity, "term": int(w.hash[i].view(np.int64)), "start": int(point[x]), "stop": int(point[y])})
-    return out
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "entities array<long>, terms array<long>")
 
 
-def term_documents(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """term, n: in how many rows each term of the corpus is; tasks add up before they send."""
+def term_documents(docs: DataFrame, bits: np.ndarray, most: int = 1 << 20) -> DataFrame:
+    """term, n: in how many rows of the corpus each term is, of those in the bit map; tasks add up before they send."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, held = [], [], 0
+        table = _table(shared.value)
 
         def total() -> tuple[np.ndarray, np.ndarray]:
             t, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]), return_inverse=True)
@@ -182,9 +203,11 @@ def term_documents(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
 
         for batch in batches:
             for s in slices(batch.column(0)):
-                w = words(s, lower=True, breaks=IS_BREAK)
-                order = np.lexsort((w.row, w.hash))
-                h, r = w.hash[order], w.row[order]
+                w, ok = _terms_of(s, _spans_of(s))
+                ok &= table[w.hash & np.uint64(SLOTS - 1)]
+                h, r = w.hash[ok], w.row[ok]
+                order = np.lexsort((r, h))
+                h, r = h[order], r[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
                 t, n = np.unique(h[new], return_counts=True)
@@ -203,17 +226,83 @@ def term_documents(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def spans(docs: DataFrame, reach: int = REACH, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
-    """FOUND without contexts, and terms: the revealing terms' spans as text, joined like base."""
-    found = written(find(docs, reach), "found")
-    near = found.where(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("c")).select("rid", "c.*")
-    together = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
-    together = written(together, "together")
+def _log_chance(both: np.ndarray, n: np.ndarray, df: np.ndarray, rows: int) -> np.ndarray:
+    """Natural log of the expected number of sets of ``both`` rows, of a term's n, that all have an entity of df rows."""
+    log = np.vectorize(lambda b, n, d: math.lgamma(n + 1) - math.lgamma(n - b + 1) - math.lgamma(b + 1) + math.lgamma(d + 1) - math.lgamma(d - b + 1) - math.lgamma(rows + 1) + math.lgamma(rows - b + 1), otypes=[float])
+    return log(both, n, df)
+
+
+def revealing_terms(docs: DataFrame, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
+    """term, sure: those that disclose an entity, and whether by more than chance."""
+    beside = written(entity_documents(docs), "beside")
+    often = beside.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    # rows are numbered once they are written, as other runs may number them otherwise
+    each = written(beside.select(F.monotonically_increasing_id().alias("rid"), "entities", "terms"), "beside")
+    pairs = written(each.select("rid", F.explode("entities").alias("entity")).join(often, "entity"), "pairs")
+    inside = each.join(pairs.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode("terms").alias("term"))
+    # both <= m, the rows with some entity of those and the term: m bounds p(e | t) for every e
+    near = written(inside.groupBy("term").agg(F.count("*").alias("m")), "near")
+    might = near.where(F.col("m") >= least)
     # p(e | t) = p(e, t) / p(t): PMI(e; t) - IC(e) = log2(both / n)
-    revealing = together.join(term_documents(docs), "term").where(F.log2(F.col("both") / F.col("n")) >= -tolerance).select("entity", "term")
-    shown = near.join(revealing, ["entity", "term"]).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("at"))
+    known = written(might.join(term_documents(docs, _bits(might)), "term").where(F.log2(F.col("m") / F.col("n")) >= -tolerance).select("term", "n"), "known")
+    together = inside.join(known, "term").join(pairs, "rid").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("df").alias("df"))
+    rows, tried = docs.count(), max(1, near.count()) * max(1, pairs.select("entity").distinct().count())
+
+    @F.pandas_udf("boolean")
+    def sure(both: pd.Series, n: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(_log_chance(both, n, df, rows) + math.log(tried) <= math.log(CHANCE))
+
+    found = together.where((F.col("both") >= least) & (F.log2(F.col("both") / F.col("n")) >= -tolerance))
+    return written(found.select("term", sure("both", "n", "df").alias("sure")).groupBy("term").agg(F.bool_or("sure").alias("sure")), "revealing")
+
+
+FOUND = "rid long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, at array<struct<term:long,start:int,stop:int>>"
+
+
+def find(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """FOUND for each row: the base spans, and where terms of the bit map stand."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 33
+        table = _table(shared.value)
+        any_term = table.any()
+        for batch in batches:
+            for s in slices(batch.column(2)):
+                n = s.rows
+                spans = _spans_of(s)
+                term, start, stop, per_row = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(n, int)
+                point = np.zeros(len(s.data) + 1, np.int64)
+                if spans or any_term:
+                    np.cumsum((s.data & 0xC0) != 0x80, out=point[1:])
+                if any_term:
+                    w, ok = _terms_of(s, spans)
+                    ok &= table[w.hash & np.uint64(SLOTS - 1)]
+                    row, before = w.row[ok], point[s.offs[:-1]]
+                    term, start, stop = w.hash[ok].view(np.int64), (point[w.start[ok]] - before[row]).astype(np.int32), (point[w.end[ok]] - before[row]).astype(np.int32)
+                    per_row = np.bincount(row, minlength=n)
+                counts, base = np.zeros((n, 4), np.int64), [""] * n
+                for i, found in spans.items():
+                    for kind, _, _ in found:
+                        counts[i, KINDS.index(kind)] += 1
+                    lo = s.offs[i]
+                    base[i] = ",".join(f"{k}:{point[lo + a] - point[lo]}:{point[lo + b] - point[lo]}" for k, a, b in found)
+                at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), pa.StructArray.from_arrays([pa.array(term), pa.array(start), pa.array(stop)], ["term", "start", "stop"]))
+                columns = [pa.array(rid + np.arange(n)), batch.column(0).slice(s.lo, n), batch.column(1).slice(s.lo, n), *(pa.array(counts[:, k]) for k in range(4)), pa.array(base, pa.string()), at]
+                rid += n
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+
+
+def spans(docs: DataFrame, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
+    """FOUND without at, and terms: the revealing terms' spans as text, joined like base."""
+    revealing = revealing_terms(docs, tolerance, least)
+    found = written(find(docs, _bits(revealing)), "found")
+    near = found.where(F.size("at") > 0).select("rid", "base", F.explode("at").alias("c")).select("rid", "base", "c.*")
+    shown = near.join(revealing, "term").where(F.col("sure") | (F.col("base") != "")).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("at"))
     shown = shown.select(F.col("rid").alias("r"), F.concat_ws(",", F.transform("at", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["stop"].cast("string")))).alias("terms"))
-    return found.drop("contexts").join(shown, F.col("rid") == F.col("r"), "left").drop("r", "rid").withColumn("terms", F.coalesce("terms", F.lit("")))
+    return found.drop("at").join(shown, F.col("rid") == F.col("r"), "left").drop("r", "rid").withColumn("terms", F.coalesce("terms", F.lit("")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -239,12 +328,12 @@ def rewritten(text: str, listed: str, remove: bool) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, remove: bool = False, reach: int = REACH, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
+def sanitise(docs: DataFrame, remove: bool = False, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
     """docs with the spans of text generalised, or removed; rows without spans as they were."""
     doc, key, found = (free_name(docs, x) for x in ("pii_doc", "pii_key", "pii_spans"))
-    got = spans(docs.select("doc_id", "text"), reach, tolerance, least)
+    got = spans(docs.select("doc_id", "text"), tolerance, least)
     listed = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms")))
-    got = got.where(F.col("base") != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found))
+    got = got.where(listed != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found))
     joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
 
     @F.pandas_udf("string")

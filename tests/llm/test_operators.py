@@ -79,6 +79,22 @@ def test_sanitise(docs, rows, empty):
     assert pii.rewritten("abcdef", "email:1:3,term:2:4", False) == "a<email>ef" and pii.rewritten("abcdef", "email:1:3", True) == "adef"
 
 
+def test_pii_whole_documents(spark):
+    """A term is revealing however far it stands from its address, and is masked there and where no address is."""
+    far = " ".join(f"p{i}" for i in range(30))
+    texts = [f"secretname x{i} {far} bob@corp.example.com {far} y{i} Secretname" for i in range(4)]
+    texts += ["é secretname alone, secretname", far, *[f"{far} z{i}" for i in range(60)]]
+    # near the address in three rows, but in five rows without it: 3 of 8 is too little
+    texts += [f"{far} often ann@corp.example.com" for _ in range(3)] + [f"often {far}" for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(docs).collect()}
+    terms = {i: [texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for i, r in got.items()}
+    assert all(terms[i] == ["secretname", "Secretname"] and got[i].n_term == 2 for i in range(4))
+    assert terms[4] == ["secretname"] * 2 and not any(terms[i] for i in range(5, len(texts)))
+    masked = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert masked[4] == "é <term> alone, <term>" and masked[5] == far and "ecretname" not in masked[0]
+
+
 def test_ring(docs, rows, empty):
     got = ring.shard(docs, shards=4, vnodes=8).collect()
     assert sorted((key((r.doc_id, r.text_crc32, r.size)) for r in got)) == sorted(key((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1)) for i, t in rows)
