@@ -3,16 +3,20 @@
 Two bigram models, of toxic and of ordinary texts, are fitted on labelled rows.
 Both back off in the same way: a bigram to its word, weighted by the discounted
 mass of its context, a word to one shared continuation distribution over the
-words of both classes. A word or pair has counts of its own in the classes only
-if its document frequencies differ by more than chance (G-squared); the rest,
-rare expressions above all, are left to the shared counts and say nothing
-either way. Copies of a text are one document of the fit.
+words of both classes. All words and pairs of the labelled rows count, by
+documents and less the discount; the words' shared pairs stand between a class's
+pairs and the words, so rare evidence is weighed by smoothing and not cut off.
+Beside that comparison stands a second one, of the telling n-grams alone (document
+frequencies that differ by more than chance, G-squared), as many faint
+differences drown a few strong ones. Words that neither class has say nothing.
+Copies of a text are one document of the fit.
 
 A text is scored in windows of ``window`` words (the last one begins earlier if
 it would be short) and as a whole: the length-normalised toxic less the
-length-normalised ordinary log-likelihood. The largest window, the mean of the
-text and the number of windows (the maximum of many windows is larger by chance)
-go into a logistic curve, which is fitted on other labelled rows than the models.
+length-normalised ordinary log-likelihood. Of both comparisons the largest window
+and the mean of the text, and the number of windows (the maximum of many windows is larger by chance)
+go into a logistic curve. The models are fitted on all labelled rows; the curve
+sees each row through models that were fitted without its part of the rows.
 
 The fit takes ``sample`` labelled rows a class at most (those with the smallest
 hash of doc_id): the documented bound of the classifier, and so of the model
@@ -41,8 +45,11 @@ from phenospark.llm.textkernel import IS_BREAK, Slice, Words, mix, slices, words
 SAMPLE = 1500
 WINDOW = 24
 DISCOUNT = 0.9
-#: Least G-squared of an n-gram with counts of its own; chance gives it to one in a million.
+#: Least G-squared of a telling n-gram; chance gives it to one in a million.
 EVIDENCE = 24.0
+FEATURES = 6
+#: Parts of the labelled rows, for the curve.
+PARTS = 4
 
 
 def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,44 +61,60 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Model:
-    """Log-likelihood differences, toxic less ordinary: of words, and of pairs beyond their word; the curve."""
+class Ratios:
+    """Log-likelihood differences, toxic less ordinary: of words, of the backoff weights
+    of words as contexts, and of pairs beyond both."""
 
     word_key: np.ndarray
     word_log: np.ndarray
+    left_log: np.ndarray
     pair_key: np.ndarray
     pair_log: np.ndarray
-    curve: np.ndarray
-    middle: np.ndarray
-    spread: np.ndarray
 
     def log_ratio(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        out = _look(self.word_key, self.word_log, h)
+        if not len(self.word_key):
+            return np.zeros(len(h))
+        place = np.minimum(np.searchsorted(self.word_key, h), len(self.word_key) - 1)
+        known = self.word_key[place] == h
+        out = np.where(known, self.word_log[place], 0.0)
         at, pair = _pairs(h, first)
-        out[at] += _look(self.pair_key, self.pair_log, pair)
+        # a pair of the models has words of theirs
+        both = known[at - 1] & known[at]
+        out[at] += np.where(known[at - 1], self.left_log[place[at - 1]], 0.0)
+        out[at[both]] += _look(self.pair_key, self.pair_log, pair[both])
         return out
 
+
+@dataclass
+class Model:
+    """The telling and all n-grams; the curve."""
+
+    telling: Ratios
+    complete: Ratios
+    curve: np.ndarray
+    middle: np.ndarray
+    spread: np.ndarray
+
     def features(self, s: Slice, window: int = WINDOW) -> np.ndarray:
-        """Of each row: the best window, the mean, log of the windows, whether it has words."""
+        """Of each row: the best window, the mean, log of the windows, whether it has words; best and mean of all n-grams."""
         w = words(s, lower=True, breaks=IS_BREAK)
-        ratio = self.log_ratio(w.hash, w.first)
-        whole = np.concatenate([[0], np.cumsum(ratio)])
         n = np.diff(w.first)
-        out = np.zeros((s.rows, 4))
         some = n > 0
-        out[:, 1] = np.where(some, (whole[w.first[1:]] - whole[w.first[:-1]]) / np.maximum(n, 1), 0)
+        out = np.zeros((s.rows, FEATURES))
         out[:, 2] = np.log1p(n / window)
         out[:, 3] = some
         # windows that begin at every fourth word, and the one that ends the text
         last = np.repeat(np.maximum(w.first[1:] - window, w.first[:-1]), n)
-        start = np.arange(len(ratio))
+        start = np.arange(len(w.hash))
         start = start[((start - np.repeat(w.first[:-1], n)) % 4 == 0) & (start <= last) | (start == last)]
         row = np.searchsorted(w.first, start, "right") - 1
         stop = np.minimum(start + window, w.first[row + 1])
-        value = (whole[stop] - whole[start]) / np.maximum(stop - start, 8)
-        best = np.full(s.rows, -np.inf)
-        np.maximum.at(best, row, value)
-        out[:, 0] = np.where(some, best, 0)
+        for ratios, at in ((self.telling, 0), (self.complete, 4)):
+            whole = np.concatenate([[0], np.cumsum(ratios.log_ratio(w.hash, w.first))])
+            best = np.full(s.rows, -np.inf)
+            np.maximum.at(best, row, (whole[stop] - whole[start]) / np.maximum(stop - start, 8))
+            out[:, at] = np.where(some, best, 0)
+            out[:, at + 1] = np.where(some, (whole[w.first[1:]] - whole[w.first[:-1]]) / np.maximum(n, 1), 0)
         return out
 
     def score(self, s: Slice) -> np.ndarray:
@@ -156,11 +179,8 @@ def _telling(one: _Table, other: _Table, n_one: int, n_other: int, evidence: flo
     return keys[g >= evidence]
 
 
-def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, evidence: float = EVIDENCE) -> Model:
-    """The two models on the even rows of each class, the curve on the odd ones."""
-    learns = [list(dict.fromkeys(x[::2])) for x in (toxic, ordinary)]
-    classes = [_counts(x) for x in learns]
-    sizes = [max(1, len(x)) for x in learns]
+def _telling_ratios(classes: list[tuple[_Table, _Table]], sizes: list[int], discount: float, evidence: float = EVIDENCE) -> Ratios:
+    """The comparison by telling n-grams alone."""
     # the shared continuation counts: in how many distinct pairs of either class a word comes second
     _, where = np.unique(np.concatenate([c[1].key for c in classes]), return_index=True)
     base_key, base_n = np.unique(np.concatenate([c[1].two for c in classes])[where], return_counts=True)
@@ -188,10 +208,59 @@ def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, evide
     level = np.log(left_p[0]) - np.log(left_p[1])
     word_log = np.log(word_p[0]) - np.log(word_p[1]) - level
     pair_log = np.log(pair_p[0]) - np.log(pair_p[1]) - level - _look(known, word_log, second)
-    model = Model(known, word_log, pairs, pair_log, np.zeros(5), np.zeros(4), np.ones(4))
-    x = [np.concatenate([np.zeros((0, 4)), *(model.features(s) for s in _slice(t[1::2]))]) for t in (toxic, ordinary)]
-    y = np.concatenate([np.ones(len(x[0])), np.zeros(len(x[1]))])
-    x = np.concatenate(x)
+    return Ratios(known, word_log, np.zeros(len(known)), pairs, pair_log)
+
+
+def _all_ratios(classes: list[tuple[_Table, _Table]], discount: float) -> Ratios:
+    """The comparison by all n-grams, counted by documents: a text that repeats itself is one event."""
+    # the shared continuation counts, and the words of each pair
+    pairs, where = np.unique(np.concatenate([c[1].key for c in classes]), return_index=True)
+    first, second = (np.concatenate([getattr(c[1], side) for c in classes])[where] for side in ("one", "two"))
+    base_key, base_n = np.unique(second, return_counts=True)
+    known = np.union1d(classes[0][0].key, classes[1][0].key)
+    base = (_look(base_key, base_n.astype(float), known) + 1) / (base_n.sum() + len(base_n) + 1)
+    one, two = np.searchsorted(known, first), np.searchsorted(known, second)
+
+    def rate(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted shares of the pairs in their contexts; the contexts' backoff weights, 1 for one without pairs."""
+        arc = np.maximum(n - discount, 0) / np.maximum(np.bincount(one, n, len(known)), 1)[one]
+        return arc, 1 - np.bincount(one, arc, len(known))
+
+    of_pairs = [twos.of(twos.docs, pairs) for _, twos in classes]
+    arc, left = rate(of_pairs[0] + of_pairs[1])
+    shared = arc + left[one] * base[two]
+    word, pair, weight = [], [], []
+    for (singles, _), n in zip(classes, of_pairs, strict=True):
+        own = np.maximum(singles.of(singles.docs, known) - discount, 0) / max(1, singles.docs.sum())
+        # a word that neither class has gets what its class leaves; less that, it says nothing
+        word.append(np.log(own / (1 - own.sum()) + base))
+        arc, left = rate(n)
+        weight.append(np.log(left))
+        pair.append(np.log(arc + left[one] * shared))
+    word_log, left_log = word[0] - word[1], weight[0] - weight[1]
+    # a pair of neither class backs off to its word by its context's weights
+    return Ratios(known, word_log, left_log, pairs, pair[0] - pair[1] - word_log[two] - left_log[one])
+
+
+def _models(toxic: list[str], ordinary: list[str], discount: float) -> Model:
+    """The two models, without a curve."""
+    classes = [_counts(x) for x in (toxic, ordinary)]
+    sizes = [max(1, len(x)) for x in (toxic, ordinary)]
+    return Model(_telling_ratios(classes, sizes, discount), _all_ratios(classes, discount), np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+
+
+def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, parts: int = PARTS) -> Model:
+    """The two models on all rows; the curve on each part's rows by the models of the other parts."""
+    classes = [list(dict.fromkeys(x)) for x in (toxic, ordinary)]
+    model = _models(*classes, discount)
+    x, y = [np.zeros((0, FEATURES))], [np.zeros(0)]
+    for part in range(parts if min(map(len, classes)) > 1 else 0):
+        rest = _models(*([t for i, t in enumerate(c) if i % parts != part] for c in classes), discount)
+        for label, c in zip((1.0, 0.0), classes, strict=True):
+            got = [rest.features(s) for s in _slice(c[part::parts])]
+            x += got
+            y += [np.full(len(g), label) for g in got]
+    x, y = np.concatenate(x), np.concatenate(y)
     if len(x) and 0 < y.sum() < len(y):
         model.middle, model.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
         model.curve = _logistic((x - model.middle) / model.spread, y)

@@ -137,6 +137,28 @@ def test_toxicity(spark, empty):
     assert kn_toxicity.reject(docs, model).count() == 403  # nothing is learnt, nothing goes
 
 
+def test_toxicity_of_rare_expressions():
+    """Each expression is in about 8 of 200 toxic rows: too few to stand out alone, together enough."""
+    rng = np.random.default_rng(3)
+    vocab, bad = [f"w{i}" for i in range(300)], [f"bad{i}" for i in range(100)]
+
+    def text(toxic):
+        words = list(rng.choice(vocab, 60))
+        for j in rng.choice(60, 4, replace=False) if toxic else []:
+            words[j] = str(rng.choice(bad))
+        return " ".join(words)
+
+    model = kn_toxicity.fit(*([text(toxic) for _ in range(200)] for toxic in (True, False)))
+    held = [np.concatenate([model.score(s) for s in kn_toxicity._slice([text(toxic) for _ in range(200)])]) for toxic in (True, False)]
+    assert (held[0] >= 0.7).mean() > 0.95 and (held[1] >= 0.7).mean() < 0.02
+    # an unseen pair has its context's backoff weights
+    known = kn_toxicity._models(["a b", "a b f", "a c"], ["a d e"], 0.9).complete
+    h = {x: kn_toxicity.words(kn_toxicity._slice([x])[0], lower=True, breaks=kn_toxicity.IS_BREAK).hash[0] for x in "abe"}
+    ratio = known.log_ratio(np.array([h["a"], h["e"]]), np.array([0, 2]))
+    alone = known.log_ratio(np.array([h["e"]]), np.array([0, 1]))[0]
+    assert np.isclose(ratio[1] - alone, np.log(1 - (1.1 + 0.1) / 3) - np.log(1 - 0.1 / 1))  # a b twice, a c once; a d once
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 16)).round(1)
