@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,21 @@ def gene_stats(values: DataFrame, n_cells: int) -> DataFrame:
 
 
 def scale_data(values: DataFrame, n_cells: int, clip: float = 10.0) -> DataFrame:
-    """Rows centred and scaled by gene, clipped above. A cell without a row has -mean / deviation."""
+    """Rows centred and scaled by gene, clipped above. Only stored rows come back: a cell
+    without one has the gene's value of :func:`scaled_zeros`, which pca() takes for it."""
     stats = gene_stats(values, n_cells)
+    return values.join(stats, "gene").select("gene", "col", _scaled(F.col("value"), clip).alias("value"))
+
+
+def _scaled(value: Column, clip: float) -> Column:
+    """By mean and variance of the row; a deviation of 0 counts as 1."""
     dev = F.sqrt(F.greatest("variance", F.lit(0.0)))
-    z = (F.col("value") - F.col("mean")) / F.coalesce(F.nullif(dev, F.lit(0.0)), F.lit(1.0))
-    return values.join(stats, "gene").select("gene", "col", F.least(z, F.lit(clip)).alias("value"))
+    return F.least((value - F.col("mean")) / F.coalesce(F.nullif(dev, F.lit(0.0)), F.lit(1.0)), F.lit(clip))
+
+
+def scaled_zeros(values: DataFrame, n_cells: int, clip: float = 10.0) -> DataFrame:
+    """gene, zero: what an absent row of values is after scale_data, -mean / deviation."""
+    return gene_stats(values, n_cells).select("gene", _scaled(F.lit(0.0), clip).alias("zero"))
 
 
 def variable_genes(values: DataFrame, n_cells: int, n: int = 3000, method: str = "vst") -> DataFrame:
@@ -89,15 +99,27 @@ def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     return np.interp(x, at, out)
 
 
-def pca(scaled: DataFrame, genes: DataFrame, k: int = 50) -> DataFrame:
-    """col, pc array of k: principal components of the cells over the given genes."""
+def pca(scaled: DataFrame, genes: DataFrame, k: int = 50, zeros: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """col, pc array of k: principal components of the cells over the given genes.
+
+    zeros: gene, zero, the value of a gene that a cell has no row of (0 where it
+    isn't given); cells: col of all cells, also of those without a row.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = genes.count()
     numbered = genes.select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("i"))  # a few thousand genes
+    fill = [0.0] * n
+    if zeros is not None:
+        for r in numbered.join(zeros, "gene").select("i", "zero").collect():  # a row for each gene
+            fill[r.i] = r.zero
     wide = scaled.join(numbered, "gene").groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
-    dense = wide.select("col", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("f"))
+    if cells is not None:
+        wide = cells.select("col").distinct().join(wide, "col", "left")
+    spark = scaled.sparkSession
+    default = spark.createDataFrame([(fill,)], "zero array<double>")  # one row
+    dense = wide.crossJoin(F.broadcast(default)).select("col", array_to_vector(F.transform("zero", lambda z, i: F.coalesce(F.try_element_at("m", i), z))).alias("f"))
     model = PCA(k=min(k, n), inputCol="f", outputCol="p").fit(dense)
     return model.transform(dense).select("col", vector_to_array("p").alias("pc"))
 

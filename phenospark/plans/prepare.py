@@ -33,7 +33,7 @@ def prepare(counts: DataFrame, method: str = "LogNormalize", scale: float = 10_0
     # the variance trend is that of counts, dispersions are of normalised values
     genes = cut(preprocess.variable_genes(counts if selection == "vst" else values, n_cells, n_genes, selection), "genes")
     chosen = values.join(genes.select("gene"), "gene", "left_semi")
-    components = cut(preprocess.pca(preprocess.scale_data(chosen, n_cells), genes, dims), "pc")
+    components = cut(preprocess.pca(preprocess.scale_data(chosen, n_cells), genes, dims, preprocess.scaled_zeros(chosen, n_cells), values.select("col")), "pc")
     knn = cut(preprocess.knn_graph(components.select(F.col("col").alias("cell"), F.col("pc").alias("v")), neighbours - 1, metric="euclidean"), "knn")
     return Prepared(values, genes, components, preprocess.snn_graph(knn, neighbours))
 

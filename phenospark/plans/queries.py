@@ -458,9 +458,10 @@ def variable_genes_vst(spark, sf_dir):
 @query
 def pca(spark, sf_dir):
     values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
-    n = suppliers(spark, sf_dir).count()
+    cells = suppliers(spark, sf_dir)
+    n = cells.count()
     genes = preprocess.variable_genes(values, n, 50, "disp")
-    return preprocess.pca(preprocess.scale_data(values, n), genes, 5)
+    return preprocess.pca(preprocess.scale_data(values, n), genes, 5, preprocess.scaled_zeros(values, n), cells)
 
 
 @query

@@ -269,6 +269,28 @@ def test_correlation_in_blocks(spark, monkeypatch):
     assert tables.max_difference(whole, whole.where("cell > 0")).first()[0] == float("inf")
 
 
+def test_pca_of_sparse_counts(spark):
+    """Absent rows are zeros before scaling; a cell without a chosen gene is a cell too."""
+    from phenospark.plans.prepare import prepare
+
+    rng = np.random.default_rng(11)
+    m = rng.poisson(0.6, (30, 6)) * rng.random((30, 6))
+    m[4, :5] = 0
+    m[4, 5] = 1.0
+    rows = [(f"g{j}", i, float(m[i, j])) for i in range(30) for j in range(6) if m[i, j]]
+    values = spark.createDataFrame(rows, "gene string, col long, value double")
+    genes = spark.createDataFrame([(f"g{j}",) for j in range(5)], "gene string")
+    got = preprocess.pca(preprocess.scale_data(values, 30), genes, 3, preprocess.scaled_zeros(values, 30), spark.range(30).withColumnRenamed("id", "col"))
+    pc = {r["col"]: r["pc"] for r in got.collect()}
+    assert sorted(pc) == list(range(30))
+    pc = np.array([pc[i] for i in range(30)])
+    z = (m[:, :5] - m[:, :5].mean(0)) / m[:, :5].std(0, ddof=1)
+    want = z @ np.linalg.svd(z, full_matrices=False)[2][:3].T
+    assert np.allclose(pc * np.sign((pc * want).sum(0)), want, atol=1e-6)
+    ready = prepare(values, selection="disp", n_genes=2, dims=2, neighbours=3)
+    assert ready.components.count() == len({i for _, i, _ in rows})
+
+
 def test_prepare(spark):
     from phenospark.plans.prepare import prepare
 
