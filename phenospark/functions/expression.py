@@ -1,4 +1,4 @@
-"""Functions over expression tables in long form: gene, col, value."""
+"""Functions over expression tables in long form: gene, col, value. An absent row is 0 and is never made."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,33 +16,72 @@ def common_genes(bulk: DataFrame, cells: DataFrame) -> DataFrame:
     return bulk.select("gene").distinct().join(cells.select("gene"), "gene", "left_semi")
 
 
-def side_by_side(bulk: DataFrame, cells: DataFrame) -> DataFrame:
-    """Both tables' columns over their common genes, marked by side."""
-    genes = common_genes(bulk, cells)
-    parts = [t.join(genes, "gene", "left_semi").select(F.lit(s).alias("side"), "gene", "col", "value") for s, t in (("bulk", bulk), ("cell", cells))]
+def gene_table(spark: SparkSession, genes: list[str]) -> DataFrame:
+    """gene: a row for each of a list of genes."""
+    return spark.createDataFrame([(g,) for g in genes], "gene string")
+
+
+def side_by_side(bulk: DataFrame, cells: DataFrame, genes: list[str] | None = None) -> DataFrame:
+    """The stored rows of both tables' columns over their common genes, marked by side."""
+    common = common_genes(bulk, cells) if genes is None else gene_table(bulk.sparkSession, genes)
+    parts = [t.join(common, "gene", "left_semi").select(F.lit(s).alias("side"), "gene", "col", "value") for s, t in (("bulk", bulk), ("cell", cells))]
     return parts[0].unionByName(parts[1])
 
 
-def quantile_target(columns: DataFrame) -> DataFrame:
-    """rank, target: the mean over all columns of each order statistic."""
+def shape(columns: DataFrame) -> tuple[int, int]:
+    """How many genes and how many columns (of either side) the rows name."""
+    got = columns.agg(F.count_distinct("gene"), F.count_distinct("side", "col")).first()
+    return got[0], got[1]
+
+
+def _absent(n_genes: int) -> Column:
+    """The genes that a column has no row of; each is a 0."""
+    return F.lit(n_genes) - F.count("*").over(Window.partitionBy("side", "col"))
+
+
+def quantile_target(columns: DataFrame, n_genes: int | None = None, n_columns: int | None = None) -> DataFrame:
+    """rank, target: the mean over all columns of each order statistic, absent rows being zeros.
+
+    Zeros add nothing, so only stored rows are ranked: those above 0 stand behind
+    the column's absent genes. n_genes, n_columns: all of them, counted in the
+    rows where they aren't given.
+    """
+    if n_genes is None or n_columns is None:
+        n_genes, n_columns = (known or got for known, got in zip((n_genes, n_columns), shape(columns), strict=True))
     by = Window.partitionBy("side", "col").orderBy("value", "gene")
-    return columns.withColumn("rank", F.row_number().over(by)).groupBy("rank").agg(F.avg("value").alias("target"))
+    ranked = columns.withColumn("rank", F.row_number().over(by) + F.when(F.col("value") > 0, _absent(n_genes)).otherwise(0))
+    sums = ranked.groupBy("rank").agg(F.sum("value").alias("total"))
+    every = columns.sparkSession.range(1, n_genes + 1).select(F.col("id").cast("int").alias("rank"))  # a row for each gene
+    return every.join(sums, "rank", "left").select("rank", (F.coalesce("total", F.lit(0.0)) / n_columns).alias("target"))
 
 
-def quantile_normalize(columns: DataFrame, target: DataFrame) -> DataFrame:
-    """Columns with the target's values by rank.
+def quantile_normalize(columns: DataFrame, target: DataFrame, n_genes: int | None = None) -> DataFrame:
+    """Columns with the target's values by rank, and zero: what the column's absent rows become.
 
     Ties have their mean rank. Where it ends in a half, the value is the mean of
-    the two neighbouring targets; else the target of that rank.
+    the two neighbouring targets; else the target of that rank. A column's absent
+    genes are ties at 0, so they share one value, which goes with each of its
+    rows (null in a column that has all genes).
     """
+    n_genes = n_genes if n_genes is not None else shape(columns)[0]
     by = Window.partitionBy("side", "col")
-    low = F.rank().over(by.orderBy("value"))
-    many = F.count("*").over(Window.partitionBy("side", "col", "value"))
-    ranked = columns.withColumn("low", low).withColumn("many", many)
-    ranked = ranked.withColumn("rank", F.floor(F.col("low") + (F.col("many") - 1) / 2).cast("int")).withColumn("half", F.col("many") % 2 == 0)
+    is_zero, low = F.col("value") == 0, F.rank().over(by.orderBy("value"))
+    below, zeros = F.count(F.when(F.col("value") < 0, 1)).over(by), F.count(F.when(is_zero, 1)).over(by)
+    ranked = columns.withColumn("absent", _absent(n_genes)).withColumn("low", low + F.when(F.col("value") > 0, F.col("absent")).otherwise(0))
+    ranked = ranked.withColumn("many", F.count("*").over(Window.partitionBy("side", "col", "value")) + F.when(is_zero, F.col("absent")).otherwise(0))
+    ranked = ranked.withColumn("zero_many", zeros + F.col("absent")).withColumn("zero_low", below + 1)
+
+    def place(first: str, many: str) -> Column:
+        return F.floor(F.col(first) + (F.col(many) - 1) / 2).cast("int")
+
     pairs = target.withColumn("next", F.lead("target").over(Window.orderBy("rank")))  # one row for each gene
-    value = F.when(F.col("half"), (F.col("target") + F.col("next")) / 2).otherwise(F.col("target"))
-    return ranked.join(pairs, "rank").select("side", "gene", "col", value.alias("value"))
+    pairs = pairs.select("rank", "target", F.coalesce((F.col("target") + F.col("next")) / 2, "target").alias("between"))
+    at_zero = pairs.select(F.col("rank").alias("zero_rank"), F.col("target").alias("zero_target"), F.col("between").alias("zero_between"))
+    ranked = ranked.withColumn("rank", place("low", "many")).withColumn("zero_rank", F.when(F.col("absent") > 0, place("zero_low", "zero_many")))
+    joined = ranked.join(pairs, "rank").join(at_zero, "zero_rank", "left")
+    value = F.when(F.col("many") % 2 == 0, F.col("between")).otherwise(F.col("target"))
+    zero = F.when(F.col("zero_many") % 2 == 0, F.col("zero_between")).otherwise(F.col("zero_target"))
+    return joined.select("side", "gene", "col", value.alias("value"), zero.alias("zero"))
 
 
 def unit(value: Column, mean: Column, deviation: Column) -> Column:
@@ -50,13 +89,20 @@ def unit(value: Column, mean: Column, deviation: Column) -> Column:
     return (value - mean) / F.coalesce(F.nullif(deviation, F.lit(0.0)), F.lit(1.0))
 
 
-def center_scale(columns: DataFrame, by: tuple[str, ...] = ("side", "col")) -> DataFrame:
-    """Each column with mean 0 and sample deviation 1."""
-    w = Window.partitionBy(*by)
-    mean = columns.withColumn("mean", F.avg("value").over(w))
-    d = F.col("value") - F.col("mean")
-    dev = mean.withColumn("dev", F.sqrt(F.sum(d * d).over(w) / F.nullif(F.count("*").over(w) - 1, F.lit(0))))
-    return dev.withColumn("value", unit(F.col("value"), F.col("mean"), F.col("dev"))).drop("mean", "dev")
+def center_scale(columns: DataFrame, n_genes: int | None = None) -> DataFrame:
+    """Each column with mean 0 and sample deviation 1 over all genes, and zero: what its absent rows become.
+
+    Absent rows are 0, or the column's ``zero`` if columns has that.
+    """
+    n_genes = n_genes if n_genes is not None else shape(columns)[0]
+    w = Window.partitionBy("side", "col")
+    before = columns if "zero" in columns.columns else columns.withColumn("zero", F.lit(0.0))
+    before = before.withColumn("absent", _absent(n_genes)).withColumn("zero", F.coalesce("zero", F.lit(0.0)))
+    mean = before.withColumn("mean", (F.sum("value").over(w) + F.col("absent") * F.col("zero")) / n_genes)
+    d, gap = F.col("value") - F.col("mean"), F.col("zero") - F.col("mean")
+    dev = mean.withColumn("dev", F.sqrt((F.sum(d * d).over(w) + F.col("absent") * gap * gap) / (F.lit(n_genes - 1) if n_genes > 1 else F.lit(None))))
+    scaled = [unit(F.col(c), F.col("mean"), F.col("dev")) for c in ("value", "zero")]
+    return dev.select("side", "gene", "col", scaled[0].alias("value"), F.when(F.col("absent") > 0, scaled[1]).alias("zero"))
 
 
 #: Entries of a block of scaled samples that is sent to all tasks (64 MB); more samples go in more blocks.
@@ -66,47 +112,54 @@ BLOCK_ENTRIES = 8_000_000
 def correlation(scaled: DataFrame, genes: list[str] | None = None, samples: list[int] | None = None) -> DataFrame:
     """cell, x: the Pearson correlations of a cell with all samples, in the order of their columns.
 
-    Samples are sent to the cells in blocks of a checked size, genes x samples;
-    a cell's values meet in one task, as they do for scaling, and a batch of cells
-    is one matrix product. genes, samples: the bulk side's, where they are known.
+    scaled: rows of :func:`center_scale`; absent rows have the column's zero, so
+    a cell adds value - zero for its stored genes alone, and zero times the
+    sample's sum (0 once it is centred) for all. Samples are sent to the cells in
+    blocks of a checked size, genes x samples; a cell's values meet in one task,
+    as they do for scaling, and a batch of cells is one matrix product. genes,
+    samples: the bulk side's, where they are known.
     """
     bulk = scaled.where("side = 'bulk'")
     genes, samples = (sorted(r[0] for r in bulk.select(c).distinct().collect()) if known is None else sorted(known) for c, known in (("gene", genes), ("col", samples)))
     width = max(1, BLOCK_ENTRIES // max(1, len(genes)))
     cells = scaled.where("side = 'cell'")
+    numbers = scaled.sparkSession.createDataFrame(list(enumerate(genes)), "num int, gene string")  # a row for each gene
     out = None
     for lo in range(0, max(1, len(samples)), width):
-        part = _against(cells, bulk, genes, samples[lo : lo + width])
+        part = _against(cells, bulk.join(numbers, "gene"), genes, samples[lo : lo + width])
         out = part if out is None else out.join(part.withColumnRenamed("x", "y"), "cell").select("cell", F.concat("x", "y").alias("x"))
     return out
 
 
 def _against(cells: DataFrame, bulk: DataFrame, genes: list[str], samples: list[int]) -> DataFrame:
     z = np.zeros((len(genes), len(samples)))
-    own = bulk.where(F.col("col").isin(samples)).toPandas()  # BLOCK_ENTRIES at most
-    index = pd.Index(genes)
-    z[index.get_indexer(own["gene"]), np.searchsorted(samples, own["col"])] = own["value"]
+    # a sample is one row of numbers; BLOCK_ENTRIES numbers at most in all
+    own = bulk.where(F.col("col").isin(samples)).groupBy("col").agg(F.collect_list("num").alias("num"), F.collect_list("value").alias("value"), F.first("zero").alias("zero")).toArrow()
+    for col, num, value, zero in zip(*(own.column(c) for c in ("col", "num", "value", "zero")), strict=True):
+        at = int(np.searchsorted(samples, col.as_py()))
+        z[:, at] = zero.as_py() or 0.0
+        z[np.asarray(num.values), at] = np.asarray(value.values)
     shared = cells.sparkSession.sparkContext.broadcast((genes, z))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, z = shared.value
-        index = pd.Index(names)
+        index, total = pd.Index(names), z.sum(0)
 
-        def product(cell: np.ndarray, gene: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, row, n = np.unique(cell, return_inverse=True, return_counts=True)
+        def product(cell: np.ndarray, gene: np.ndarray, value: np.ndarray, zero: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, first, row = np.unique(cell, return_index=True, return_inverse=True)
             for lo in range(0, len(ids), 1024):
                 mine = (row >= lo) & (row < lo + 1024) & (gene >= 0)
                 m = np.zeros((min(1024, len(ids) - lo), len(names)))
-                m[row[mine] - lo, gene[mine]] = value[mine]
-                x = m @ z / np.maximum(n[lo : lo + 1024, None] - 1, 1)
+                m[row[mine] - lo, gene[mine]] = value[mine] - zero[mine]
+                x = (m @ z + zero[first[lo : lo + 1024], None] * total) / max(len(names) - 1, 1)
                 x[~np.isfinite(x)] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1024]), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * z.shape[1], pa.int32()), pa.array(x.ravel()))], ["cell", "x"])
 
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
             gene = index.get_indexer(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if batch.num_rows else rest[1][:0]
-            now = [np.concatenate([a, np.asarray(b)]) for a, b in zip(rest, (batch.column(0), gene, batch.column(2)), strict=True)]
+            now = [np.concatenate([a, np.asarray(b)]) for a, b in zip(rest, (batch.column(0), gene, batch.column(2), batch.column(3)), strict=True)]
             last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last cell may go on
             if last:
                 yield from product(*(a[:last] for a in now))
@@ -116,7 +169,7 @@ def _against(cells: DataFrame, bulk: DataFrame, genes: list[str], samples: list[
 
     # the window asks for a cell's rows together and in order, which scaling has brought about: no further shuffle
     place = F.row_number().over(Window.partitionBy("side", "col").orderBy("gene"))
-    return cells.select("col", "gene", "value", place.alias("place")).mapInArrow(run, "cell long, x array<double>")
+    return cells.select("col", "gene", "value", F.coalesce("zero", F.lit(0.0)).alias("zero"), place.alias("place")).mapInArrow(run, "cell long, x array<double>")
 
 
 def long_x(x: DataFrame, samples: DataFrame) -> DataFrame:

@@ -28,13 +28,21 @@ class Object:
 
 
 def similarity(bulk: DataFrame, cells: DataFrame, quantile: bool = True) -> DataFrame:
-    """cell, x: correlations over the common genes, after quantile normalisation of all columns together."""
-    columns = ex.side_by_side(bulk, cells)
+    """cell, x: correlations over the common genes, after quantile normalisation of all columns together.
+
+    Absent rows are zeros. A cell without a row of a common gene is constant: its
+    correlations are 0.
+    """
+    genes, samples = ([r[0] for r in t.collect()] for t in (ex.common_genes(bulk, cells), bulk.select("col").distinct()))
+    named = cut(cells.select("col").distinct(), "cells")
+    columns, n = ex.side_by_side(bulk, cells, genes), len(genes)
     if quantile:
         # a row for each gene, read by both sides
-        columns = ex.quantile_normalize(columns, cut(ex.quantile_target(columns), "target"))
-    genes, samples = ([r[0] for r in t.collect()] for t in (ex.common_genes(bulk, cells), bulk.select("col").distinct()))
-    return ex.correlation(ex.center_scale(columns), genes, samples)
+        columns = ex.quantile_normalize(columns, cut(ex.quantile_target(columns, n, len(samples) + named.count()), "target"), n)
+    scaled = ex.center_scale(columns, n)
+    some = cells.join(ex.gene_table(cells.sparkSession, genes), "gene", "left_semi").select("col")
+    empty = named.join(some, "col", "left_anti").select(F.col("col").alias("cell"), F.array_repeat(F.lit(0.0), len(samples)).alias("x"))
+    return ex.correlation(scaled, genes, samples).unionByName(empty)
 
 
 def samples_of(bulk: DataFrame) -> DataFrame:

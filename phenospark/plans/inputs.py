@@ -68,3 +68,12 @@ def tied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     genes = item.select("gene").distinct()
     fill = lambda t: t.select("col").distinct().crossJoin(genes).join(t, ["col", "gene"], "left").select("gene", "col", F.coalesce("value", F.lit(0.0)).alias("value"))  # noqa: E731  twelve genes
     return fill(bulk), fill(cells)
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counts with their zeros left out: every fifth supplier is a bulk sample, the rest are cells.
+
+    Bulk lacks the gene p1, and a supplier of no part is no column.
+    """
+    all_counts = counts(spark, sf_dir)
+    return all_counts.where("col % 5 = 0 AND gene <> 'p1'"), all_counts.where("col % 5 <> 0")

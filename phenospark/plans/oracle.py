@@ -112,6 +112,22 @@ cols AS MATERIALIZED (
   SELECT 'bulk' AS side, gene, col, coalesce(value, 0) AS value FROM ((SELECT DISTINCT col FROM b) CROSS JOIN genes) LEFT JOIN b USING (col, gene)
   UNION ALL SELECT 'cell', gene, col, coalesce(value, 0) FROM ((SELECT DISTINCT col FROM c) CROSS JOIN genes) LEFT JOIN c USING (col, gene)),
 target AS MATERIALIZED (""" + PARTS["target"] + "), qn AS MATERIALIZED (" + PARTS["qn"] + ")"
+#: The counts with their zeros filled in, and the same statistics by the same words as for dense columns.
+SPARSE = """bc AS MATERIALIZED (SELECT gene, col, value FROM counts WHERE col % 5 = 0 AND gene <> 'p1'), cc AS MATERIALIZED (SELECT gene, col, value FROM counts WHERE col % 5 <> 0),
+genes AS MATERIALIZED (SELECT DISTINCT gene FROM bc WHERE gene IN (SELECT gene FROM cc)),
+cols AS MATERIALIZED (
+  SELECT 'bulk' AS side, gene, col, coalesce(value, 0) AS value, value IS NOT NULL AS stored FROM ((SELECT DISTINCT col FROM bc) CROSS JOIN genes) LEFT JOIN bc USING (col, gene)
+  UNION ALL SELECT 'cell', gene, col, coalesce(value, 0), value IS NOT NULL FROM ((SELECT DISTINCT col FROM cc) CROSS JOIN genes) LEFT JOIN cc USING (col, gene)),
+target AS MATERIALIZED (""" + PARTS["target"] + "), qn AS MATERIALIZED (" + PARTS["qn"].replace("SELECT r.side", "SELECT r.stored, r.side", 1) + """),
+z0 AS MATERIALIZED (""" + PARTS["z0"].replace("SELECT side", "SELECT stored, side", 1) + "), z AS MATERIALIZED (" + PARTS["z"] + """),
+corr0 AS MATERIALIZED (""" + PARTS["corr"].replace("FROM z b JOIN z c", "FROM z0 b JOIN z0 c") + "), corr AS MATERIALIZED (" + PARTS["corr"] + ")"
+
+
+def stored(source: str) -> str:
+    """The stored rows, each with what its column's absent genes have."""
+    return f"SELECT side, gene, col, round(value, 6) + 0.0 AS value, round(zero, 6) + 0.0 AS zero FROM (SELECT *, max(value) FILTER (NOT stored) OVER (PARTITION BY side, col) AS zero FROM {source}) WHERE stored"
+
+
 SUB = ", ".join(f"CASE WHEN v[{i}] - m{i} > 1.5 * s{i} THEN 'selected' ELSE 'Other cells' END AS subset{i}, round(v[{i}], 6) + 0.0 AS subset{i}_loading" for i in (1, 2, 3))
 SUB_ANY = " OR ".join(f"v[{i}] - m{i} > 1.5 * s{i}" for i in (1, 2, 3))
 SUB_STATS = ", ".join(f"avg(v[{i}]) AS m{i}, stddev_samp(v[{i}]) AS s{i}" for i in (1, 2, 3))
@@ -123,9 +139,12 @@ sizes AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 3 = 0) AS n1 FROM s
 rk AS MATERIALIZED (SELECT plus.*, n - count(*) OVER g AS zeros, n - count(*) OVER g + rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER t - 1) / 2.0::DOUBLE AS r, count(*) OVER t AS tie
   FROM plus, sizes WINDOW g AS (PARTITION BY gene), t AS (PARTITION BY gene, value)),
 a AS MATERIALIZED (SELECT gene, coalesce(sum(exp(value) - 1) FILTER (chosen = 1), 0) AS one, coalesce(sum(exp(value) - 1) FILTER (chosen = 0), 0) AS two, coalesce(sum(r) FILTER (chosen = 1), 0) AS rs,
-  sum(chosen) AS hits, CAST(first(zeros) AS DOUBLE) AS zeros, sum(CAST(tie AS DOUBLE) * tie - 1) AS ties FROM rk GROUP BY gene),
+  sum(chosen) AS hits, CAST(any_value(zeros) AS DOUBLE) AS zeros, sum(CAST(tie AS DOUBLE) * tie - 1) AS ties FROM rk GROUP BY gene),
 m AS MATERIALIZED (SELECT gene, log2(one / n1 + 1) - log2(two / (n - n1) + 1) AS log_fc, rs + (n1 - hits) * (zeros + 1) / 2 - n1 * (n1 + 1) / 2.0::DOUBLE AS u,
-  sqrt(n1 * (n - n1) / 12.0::DOUBLE * (n + 1 - (ties + zeros * (zeros * zeros - 1)) / (n * (n - 1.0::DOUBLE)))) AS dev, n, n1 FROM a, sizes)"""
+  sqrt(n1 * (n - n1) / 12.0::DOUBLE * (n + 1 - (ties + zeros * (zeros * zeros - 1)) / (n * (n - 1.0::DOUBLE)))) AS dev, n, n1 FROM a, sizes),
+zs AS MATERIALIZED (SELECT gene, log_fc, u, coalesce((u - n1 * (n - n1) / 2.0::DOUBLE) / nullif(dev, 0), 0) AS z FROM m),
+area AS MATERIALIZED (SELECT a, sum((CASE WHEN i = 0 OR i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5::DOUBLE * (a * i / 800.0::DOUBLE) * (a * i / 800.0::DOUBLE))) * a / 2400.0::DOUBLE * sqrt(2 / pi()) AS inner_p
+  FROM (SELECT DISTINCT abs(z) AS a FROM zs), range(0, 801) t(i) GROUP BY a)"""
 
 ORACLE = {
     "scan_expr": sql("SELECT 'bulk' AS side, gene, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM bulk GROUP BY gene UNION ALL SELECT 'cell', gene, count(*), round(sum(value), 6) + 0.0 FROM cells GROUP BY gene", "bulk", "cells"),
@@ -138,6 +157,11 @@ ORACLE = {
     "quantile_target": sql("SELECT CAST(rank AS INTEGER) AS rank, round(target, 6) + 0.0 AS target FROM target", "target"),
     "quantile_normalize": sql("SELECT side, gene, col, round(value, 6) + 0.0 AS value FROM qn", more=MONTHS),
     "corr_matrix": sql("SELECT b.col AS sample, c.col AS cell, round(sum(b.value * c.value) / (count(*) - 1), 6) + 0.0 AS value FROM z0 b JOIN z0 c ON b.gene = c.gene AND b.side = 'bulk' AND c.side = 'cell' GROUP BY ALL", "z0"),
+    "center_scale_sparse": sql(stored("z0"), "counts", more=SPARSE),
+    "quantile_target_sparse": sql("SELECT CAST(rank AS INTEGER) AS rank, round(target, 6) + 0.0 AS target FROM target", "counts", more=SPARSE),
+    "quantile_normalize_sparse": sql(stored("qn"), "counts", more=SPARSE),
+    "corr_matrix_sparse": sql("SELECT sample, cell, round(value, 6) + 0.0 AS value FROM corr0", "counts", more=SPARSE),
+    "create_x_sparse": sql("SELECT sample, cell, round(value / (SELECT sqrt(sum(value * value)) FROM corr), 6) + 0.0 AS value FROM corr", "counts", more=SPARSE),
     "fro_norm": sql("SELECT round(sqrt(sum(value * value)), 6) AS fro_norm FROM corr", "corr"),
     "create_x": sql("SELECT sample, cell, round(value, 6) + 0.0 AS value FROM x", "x"),
     "graph_binarize": sql("FROM edges", "edges"),
@@ -183,5 +207,5 @@ ORACLE = {
     "clr_normalize": sql("SELECT gene, col, round(ln(1 + value / exp(sum(ln(1 + value)) OVER (PARTITION BY col) / (SELECT count(DISTINCT gene) FROM counts))), 6) AS value FROM counts", "counts"),
     "scale_data": sql("SELECT gene, col, round(least((value - mean) / coalesce(nullif(sqrt(greatest(variance, 0)), 0), 1), 10), 6) + 0.0 AS value FROM logn JOIN stats USING (gene)", "logn", "stats"),
     "variable_genes": sql("SELECT gene, round(variance / mean, 6) + 0.0 AS score FROM stats ORDER BY variance / mean DESC, gene LIMIT 300", "stats"),
-    "markers_logfc": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(u, 6) + 0.0 AS u, round(coalesce((u - n1 * (n - n1) / 2.0::DOUBLE) / nullif(dev, 0), 0), 6) + 0.0 AS z FROM m", "logn", more=MARK),
+    "markers_logfc": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(u, 6) + 0.0 AS u, round(z, 6) + 0.0 AS z, round(1 - inner_p, 6) + 0.0 AS p_value, round(least(1, (1 - inner_p) * (SELECT count(*) FROM zs)), 6) + 0.0 AS p_adj FROM zs JOIN area ON a = abs(z)", "logn", more=MARK),
 }

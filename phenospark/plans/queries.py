@@ -141,6 +141,35 @@ def quantile_normalize(spark, sf_dir):
     return ex.quantile_normalize(c, ex.quantile_target(c)).select("side", "gene", "col", r6("value"))
 
 
+@query
+def center_scale_sparse(spark, sf_dir):
+    return ex.center_scale(ex.side_by_side(*inputs.sparse(spark, sf_dir))).select("side", "gene", "col", r6("value"), r6("zero"))
+
+
+@query
+def quantile_target_sparse(spark, sf_dir):
+    return ex.quantile_target(ex.side_by_side(*inputs.sparse(spark, sf_dir))).select("rank", r6("target"))
+
+
+@query
+def quantile_normalize_sparse(spark, sf_dir):
+    c = ex.side_by_side(*inputs.sparse(spark, sf_dir))
+    return ex.quantile_normalize(c, ex.quantile_target(c)).select("side", "gene", "col", r6("value"), r6("zero"))
+
+
+@query
+def corr_matrix_sparse(spark, sf_dir):
+    bulk, cells = inputs.sparse(spark, sf_dir)
+    return ex.long_x(create.similarity(bulk, cells, quantile=False), create.samples_of(bulk)).select("sample", "cell", r6("value"))
+
+
+@query
+def create_x_sparse(spark, sf_dir):
+    bulk, cells = inputs.sparse(spark, sf_dir)
+    x = ex.normalized(tables.cut(create.similarity(bulk, cells), "x"))
+    return ex.long_x(x, create.samples_of(bulk)).select("sample", "cell", r6("value"))
+
+
 @query
 def corr_matrix(spark, sf_dir):
     bulk, cells = inputs.expression(spark, sf_dir)
@@ -468,4 +497,4 @@ def pca(spark, sf_dir):
 def markers_logfc(spark, sf_dir):
     values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
     cells = suppliers(spark, sf_dir).withColumn("chosen", (F.col("col") % 3 == 0).cast("int"))
-    return preprocess.markers(values, cells).select("gene", r6("log_fc"), r6("u"), r6("z"))
+    return preprocess.markers(values, cells).select("gene", *(r6(c) for c in ("log_fc", "u", "z", "p_value", "p_adj")))
