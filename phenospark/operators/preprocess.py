@@ -236,4 +236,10 @@ def markers(values: DataFrame, cells: DataFrame) -> DataFrame:
     out = got.select("gene", fc.alias("log_fc"), u.alias("u"), F.coalesce((u - n1 * n2 / 2.0) / F.nullif(dev, F.lit(0.0)), F.lit(0.0)).alias("z"))
     genes = out.count()
 
-    return out.withColumn("p_value", two_sided(F.col("z"))).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_value") * genes))
+    # z is bound once, as a variable
+    return out.withColumn("p_value", F.get(F.transform(F.array("z"), two_sided), F.lit(0))).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_value") * genes))
+
+
+def significant(found: DataFrame, cut: float = 0.05, column: str = "p_adj") -> DataFrame:
+    """The markers below a probability, most telling first."""
+    return found.where(F.col(column) < cut).orderBy(column, F.desc(F.abs(F.col("log_fc"))), "gene")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from phenospark.functions.expression import fro_norm
 from phenospark.operators import factorise
 from phenospark.operators.factorise import fit, fit_local, pinv_project, project, seed_for
-from phenospark.operators.survival import concordance_of, cox_fit
-from phenospark.sources.tables import row_view
+from phenospark.operators.survival import coerce_phenotype, concordance_of, cox_fit
+from phenospark.sources.tables import cut, row_view
 
 
 def elbow(losses: DataFrame) -> DataFrame:
@@ -39,35 +39,54 @@ class KChoice:
     summary: DataFrame
 
 
-def _local_x(x: DataFrame) -> np.ndarray | None:
-    """X as samples x cells in cell order if it is within LOCAL_ENTRIES."""
+def local_x(x: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """X as samples x cells in cell order, and the cells, if it is within LOCAL_ENTRIES."""
     size = x.agg(F.max(F.size("x")), F.count("*")).first()
     if (size[0] or 0) * size[1] > factorise.LOCAL_ENTRIES:
         return None
-    return np.array(x.orderBy("cell").toPandas()["x"].tolist()).T
+    got = x.select(F.col("cell").cast("long"), "x").orderBy("cell").toPandas()
+    return np.array(got["x"].tolist()).T, got["cell"].to_numpy(np.int64)
 
 
-def select_k(x: DataFrame, k_max: int = 20, repeats: int = 10, maxiter: int = 2000, seed: int = 0) -> KChoice:
-    """Tries K = 2, 3, ... until the drop of the mean loss ends or is below 5 %; the answer is one less."""
+def local_graph(edges: DataFrame, d: DataFrame, cells: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """A graph by the positions of its cells, and their degrees; for graphs within LOCAL_ENTRIES edges."""
+    e = edges.select("src", "dst", "w").toPandas()
+    degree = d.select("cell", "d").toPandas().set_index("cell")["d"].reindex(cells).fillna(0.0).to_numpy()
+    return (np.searchsorted(cells, e["src"]), np.searchsorted(cells, e["dst"]), e["w"].to_numpy()), degree
+
+
+def select_k(x: DataFrame, k_max: int = 20, repeats: int = 10, maxiter: int = 2000, seed: int = 0, w0: np.ndarray | None = None, h0: DataFrame | None = None) -> KChoice:
+    """Tries K = 2, 3, ... until the drop of the mean loss ends or is below 5 %; the answer is one less.
+
+    w0 (samples x k_max), h0 (cell, h of k_max factors): a start for all repeats,
+    of which a K takes the first K factors; else each repeat has a seed of its own.
+    """
     if k_max < 2:
         raise ValueError("k_max has to be 2 at least")
     spark = x.sparkSession
-    array = _local_x(x)
+    array = local_x(x)
     seeds = np.random.default_rng(seed).choice(2**31 - 1, (k_max - 1, repeats), replace=False)
-    shared = spark.sparkContext.broadcast(array) if array is not None else None  # within LOCAL_ENTRIES
+    start = None
+    if array is not None:
+        if h0 is not None:
+            start = np.array(h0.orderBy("cell").toPandas()["h"].tolist()).T
+        shared = spark.sparkContext.broadcast((*array, start))  # within LOCAL_ENTRIES
     means: list[float] = []
     rows: list[tuple[int, int, float]] = []
     for k in range(2, k_max + 1):
         own = [int(v) for v in seeds[k - 2]]
-        if shared is not None:
+        if array is not None:
             tasks = spark.createDataFrame([(k, i, v) for i, v in enumerate(own)], "k int, repeat int, seed long").repartition(repeats, "repeat")
 
             def run(frame: pd.DataFrame) -> pd.DataFrame:
-                return frame.assign(loss=[fit_local(shared.value, int(r.k), maxiter=maxiter, seed=int(r.seed)).loss for r in frame.itertuples()])[["k", "repeat", "loss"]]
+                x, cells, start = shared.value
+                fits = [fit_local(x, int(r.k), maxiter=maxiter, seed=int(r.seed), cells=cells, w0=None if w0 is None else w0[:, : r.k], h0=None if start is None else start[: r.k]) for r in frame.itertuples()]
+                return frame.assign(loss=[f.loss for f in fits])[["k", "repeat", "loss"]]
 
             got = [(r.k, r.repeat, r.loss) for r in tasks.groupBy("repeat").applyInPandas(run, "k int, repeat int, loss double").collect()]
         else:
-            got = [(k, i, fit(x, k, maxiter=maxiter, seed=v).loss) for i, v in enumerate(own)]
+            begin = {"w0": None if w0 is None else w0[:, :k], "h0": None if h0 is None else h0.select("cell", F.slice("h", 1, k).alias("h"))}
+            got = [(k, i, fit(x, k, maxiter=maxiter, seed=v, **begin).loss) for i, v in enumerate(own)]
         rows += got
         means.append(float(np.nanmean([v for _, _, v in got])))
         if stop_here(means):
@@ -99,8 +118,42 @@ def summary(cv: DataFrame) -> DataFrame:
     return cv.where(F.col("cindex").isNotNull() & ~F.isnan("cindex")).groupBy("alpha1", "alpha2").agg(F.avg("cindex").alias("cindex"))
 
 
-def best(means: DataFrame) -> DataFrame:
-    return means.orderBy(F.desc("cindex"), "alpha1", "alpha2").limit(1)
+def ordered(cv: DataFrame) -> DataFrame:
+    """The rows of a cross-validation by alpha1, alpha2 and fold."""
+    return cv.orderBy("alpha1", "alpha2", "fold")
+
+
+def best(means: DataFrame, alpha1: list[float] | None = None, alpha2: list[float] | None = None) -> DataFrame:
+    """The pair of the largest mean. Ties go to the smaller penalties; or, where the lists of
+    penalties are given, to the first cell of their matrix, column by column (alpha2's order,
+    then alpha1's), as the dense path has it."""
+    if alpha1 is None or alpha2 is None:
+        return means.orderBy(F.desc("cindex"), "alpha1", "alpha2").limit(1)
+    place = [F.array_position(F.array(*map(F.lit, values)), F.col(c)) for c, values in (("alpha2", alpha2), ("alpha1", alpha1))]
+    return means.orderBy(F.desc("cindex"), *place).limit(1)
+
+
+@dataclass
+class AlphaChoice:
+    """The best pair, and the tables it comes from: cv (by alpha1, alpha2, fold), summary (best
+    first), matrix (a row for each alpha1, a column for each alpha2)."""
+
+    alpha1: float
+    alpha2: float
+    cv: DataFrame
+    summary: DataFrame
+    matrix: DataFrame
+
+
+def chosen(cv: DataFrame, alpha1: tuple[float, ...], alpha2: tuple[float, ...], ties: str = "large") -> AlphaChoice:
+    """The choice from the rows of a cross-validation; ties="dense": the dense path's order."""
+    if ties not in ("large", "dense"):
+        raise ValueError("ties is large or dense")
+    means = summary(cv)
+    top = best(means, *((list(alpha1), list(alpha2)) if ties == "dense" else ())).first()
+    if top is None:
+        raise ValueError("no pair of penalties has a c-index")
+    return AlphaChoice(top.alpha1, top.alpha2, ordered(cv), means.orderBy(F.desc("cindex"), "alpha1", "alpha2"), pivoted(means, list(alpha2)))
 
 
 def pivoted(means: DataFrame, alpha2: list[float]) -> DataFrame:
@@ -124,6 +177,12 @@ def rank_array(time: np.ndarray, status: np.ndarray) -> np.ndarray:
     return raw / raw.max()
 
 
+def train_s(people: pd.DataFrame, fold: int) -> np.ndarray:
+    """The phenotype weights, 1 less the rank, of the samples outside a fold, ranked among themselves."""
+    train = people[people["fold"] != fold]
+    return 1 - rank_array(train["time"].to_numpy(float), train["status"].to_numpy(int))
+
+
 CV = "alpha1 double, alpha2 double, fold int, cindex double, iter int, loss double"
 
 
@@ -134,7 +193,7 @@ def _judged(time: np.ndarray, status: np.ndarray, test: np.ndarray, train_w: np.
     return concordance_of(time[test], status[test], -score if reverse else score)
 
 
-def _far_task(x: DataFrame, people: pd.DataFrame, fold: int, k: int, edges: DataFrame | None, d: DataFrame | None, alpha1: float, alpha2: float, maxiter: int, seed: int | None, reverse: bool) -> tuple[float, int, float]:
+def _far_task(x: DataFrame, people: pd.DataFrame, fold: int, k: int, edges: DataFrame | None, d: DataFrame | None, alpha1: float, alpha2: float, maxiter: int, seed: int, reverse: bool) -> tuple[float, int, float]:
     """One task of the grid where X stays distributed: lazy views of the train and test rows."""
     test = (people["fold"] == fold).to_numpy()
     time, status = people["time"].to_numpy(float), people["status"].to_numpy(int)
@@ -143,37 +202,44 @@ def _far_task(x: DataFrame, people: pd.DataFrame, fold: int, k: int, edges: Data
     norm = fro_norm(train).first()[0] or 0.0
     if 0 < norm < float("inf"):
         train = row_view(x, train_rows, 1 / norm)
-    got = fit(train, k, 1 - rank_array(time[~test], status[~test]), edges, d, alpha1, alpha2, maxiter, seed=7 if seed is None else seed)
+    got = fit(train, k, train_s(people, fold), edges, d, alpha1, alpha2, maxiter, seed=seed)
     return _judged(time, status, test, got.w, project(row_view(x, test_rows), got.h, k), reverse), got.iter, got.loss
 
 
-def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | None = None, d: DataFrame | None = None, alpha1: tuple[float, ...] = (0.01, 0.005, 0.001), alpha2: tuple[float, ...] = (0.01, 0.005, 0.001), cross_k: int = 5, seed: int = 0, model_seed: int | None = None, method: str = "survival", maxiter: int = 2000, reverse: bool = False) -> DataFrame:
+def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | None = None, d: DataFrame | None = None, alpha1: tuple[float, ...] = (0.01, 0.005, 0.001), alpha2: tuple[float, ...] = (0.01, 0.005, 0.001), cross_k: int = 5, seed: int = 0, model_seed: int | None = None, method: str = "survival", maxiter: int = 2000, reverse: bool = False, ties: str = "large") -> AlphaChoice:
+    """The best pair of penalties; see :func:`cross_validate` and :func:`chosen`."""
+    cv = cut(cross_validate(x, patients, k, edges, d, alpha1, alpha2, cross_k, seed, model_seed, method, maxiter, reverse), "cv")
+    return chosen(cv, alpha1, alpha2, ties)
+
+
+def cross_validate(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | None = None, d: DataFrame | None = None, alpha1: tuple[float, ...] = (0.01, 0.005, 0.001), alpha2: tuple[float, ...] = (0.01, 0.005, 0.001), cross_k: int = 5, seed: int = 0, model_seed: int | None = None, method: str = "survival", maxiter: int = 2000, reverse: bool = False) -> DataFrame:
     """alpha1, alpha2, fold, cindex, iter, loss of every task of the grid.
 
-    patients: col, time, status, in the order of X's samples by col. Train rows
+    patients: col, time, status, or col, label of a binary phenotype, which is
+    taken as survival; in the order of X's samples by col. Train rows
     are scaled to norm 1, test rows aren't. Cox models on W score the test rows;
     concordance is that of the score with time, so good models lie below one
     half unless ``reverse``. All pairs of a fold start from the same factors.
     """
     spark = x.sparkSession
-    array = _local_x(x)
+    array = local_x(x)
+    if "label" in patients.columns and "time" not in patients.columns:
+        patients = coerce_phenotype(patients)
     people = hashed_folds(patients, cross_k, seed).orderBy("col").toPandas()
     if len(people) != (x.agg(F.max(F.size("x"))).first()[0] or 0):
         raise ValueError("phenotype and X differ in their samples")
-    start = seed_for(method, model_seed)
+    start = factorise.drawn_seed(seed_for(method, model_seed))
+    if edges is not None and array is not None and edges.count() > factorise.LOCAL_ENTRIES:
+        array = None  # the graph is too large for one task
     if array is None:
         rows = [(a, b, f, *_far_task(x, people, f, k, edges, d, a, b, maxiter, start, reverse)) for f in range(1, cross_k + 1) for a in alpha1 for b in alpha2]
         return spark.createDataFrame(rows, CV)
-    cells = np.sort(np.array([r.cell for r in x.select("cell").collect()]))
-    links = degree = None
-    if edges is not None:
-        e = edges.toPandas()
-        links = (np.searchsorted(cells, e["src"]), np.searchsorted(cells, e["dst"]), e["w"].to_numpy())
-        degree = d.orderBy("cell").toPandas()["d"].to_numpy()
-    shared = spark.sparkContext.broadcast((array, people, links, degree))  # within LOCAL_ENTRIES
+    array, cells = array
+    links, degree = (None, None) if edges is None else local_graph(edges, d, cells)
+    shared = spark.sparkContext.broadcast((array, cells, people, links, degree))  # within LOCAL_ENTRIES
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        array, people, links, degree = shared.value
+        array, cells, people, links, degree = shared.value
         out = []
         for t in frame.itertuples():
             test = (people["fold"] == t.fold).to_numpy()
@@ -181,7 +247,7 @@ def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | N
             train = array[~test]
             norm = np.sqrt((train**2).sum())
             train = train / norm if np.isfinite(norm) and norm > 0 else train
-            got = fit_local(train, k, 1 - rank_array(time[~test], status[~test]), links, degree, t.alpha1, t.alpha2, maxiter, seed=start)
+            got = fit_local(train, k, train_s(people, t.fold), links, degree, t.alpha1, t.alpha2, maxiter, seed=start, cells=cells)
             c = _judged(time, status, test, got.w, pinv_project(array[test] @ got.h.T, got.h @ got.h.T), reverse)
             out.append((t.alpha1, t.alpha2, t.fold, c, got.iter, got.loss))
         return pd.DataFrame(out, columns=["alpha1", "alpha2", "fold", "cindex", "iter", "loss"])

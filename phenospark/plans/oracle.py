@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 K, ALPHA = 3, 0.005
 
 #: Common tables, each of those before it in the dictionary.
@@ -81,9 +83,12 @@ def ranked(by: str = "") -> str:
     ranks AS MATERIALIZED (SELECT *, raw / max(raw) OVER ({f"PARTITION BY {by}" if by else ""}) AS rank FROM rank_raw)"""
 
 
-def steps(n: int, graph: bool) -> str:
-    """Tables h0, w0 ... hn, wn of n multiplicative updates in long form."""
-    out = ["h0 AS MATERIALIZED (FROM h)", "w0 AS MATERIALIZED (FROM w)"]
+def steps(n: int, graph: bool, x: str = "pos", v: str = "v", guard: bool = False, factors: int = K) -> str:
+    """Tables h0, w0 ... hn, wn of n multiplicative updates in long form; guard: what isn't finite and above 0 becomes 0."""
+    def safe(value: str) -> str:
+        return f"CASE WHEN isfinite({value}) AND {value} > 0 THEN {value} ELSE 0 END" if guard else value
+
+    out = [f"h0 AS MATERIALIZED (FROM h WHERE k < {factors})", f"w0 AS MATERIALIZED (FROM w WHERE k < {factors})"]
     if graph:
         out += [km("patients"), ranked(), "s2 AS MATERIALIZED (SELECT col AS sample, (1 - rank) * (1 - rank) AS v FROM ranks)"]
     for i in range(1, n + 1):
@@ -93,13 +98,13 @@ def steps(n: int, graph: bool) -> str:
             out.append(f"g{i} AS MATERIALIZED (SELECT e.src AS cell, h.k, sum(e.w * h.v) AS v FROM e JOIN {h} h ON h.cell = e.dst GROUP BY ALL)")
         out += [
             f"wtw{i} AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM {w} a JOIN {w} b USING (sample) GROUP BY ALL)",
-            f"wtx{i} AS MATERIALIZED (SELECT w.k, x.cell, sum(w.v * x.v) AS v FROM {w} w JOIN pos x USING (sample) GROUP BY ALL)",
+            f"wtx{i} AS MATERIALIZED (SELECT w.k, x.cell, sum(w.v * x.{v}) AS v FROM {w} w JOIN {x} x USING (sample) GROUP BY ALL)",
             f"den{i} AS MATERIALIZED (SELECT m.i AS k, h.cell, sum(m.v * h.v) AS v FROM wtw{i} m JOIN {h} h ON h.k = m.j GROUP BY ALL)",
-            f"h{i} AS MATERIALIZED (SELECT h.cell, h.k, h.v * (a.v {up}) / (b.v {down}) AS v FROM {h} h JOIN wtx{i} a USING (cell, k) JOIN den{i} b USING (cell, k) {f'LEFT JOIN g{i} g USING (cell, k)' if graph else ''})",
+            f"h{i} AS MATERIALIZED (SELECT h.cell, h.k, {safe(f"(h.v * (a.v {up}) / (b.v {down}))")} AS v FROM {h} h JOIN wtx{i} a USING (cell, k) JOIN den{i} b USING (cell, k) {f'LEFT JOIN g{i} g USING (cell, k)' if graph else ''})",
             f"hht{i} AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM h{i} a JOIN h{i} b USING (cell) GROUP BY ALL)",
-            f"xht{i} AS MATERIALIZED (SELECT x.sample, h.k, sum(x.v * h.v) AS v FROM pos x JOIN h{i} h USING (cell) GROUP BY ALL)",
+            f"xht{i} AS MATERIALIZED (SELECT x.sample, h.k, sum(x.{v} * h.v) AS v FROM {x} x JOIN h{i} h USING (cell) GROUP BY ALL)",
             f"whh{i} AS MATERIALIZED (SELECT w.sample, m.j AS k, sum(w.v * m.v) AS v FROM {w} w JOIN hht{i} m ON m.i = w.k GROUP BY ALL)",
-            f"w{i} AS MATERIALIZED (SELECT w.sample, w.k, w.v * a.v / (b.v {f'+ {ALPHA} * s.v * w.v' if graph else ''}) AS v FROM {w} w JOIN xht{i} a USING (sample, k) JOIN whh{i} b USING (sample, k) {'JOIN s2 s USING (sample)' if graph else ''})",
+            f"w{i} AS MATERIALIZED (SELECT w.sample, w.k, {safe(f"(w.v * a.v / (b.v {f'+ {ALPHA} * s.v * w.v' if graph else ''}))")} AS v FROM {w} w JOIN xht{i} a USING (sample, k) JOIN whh{i} b USING (sample, k) {'JOIN s2 s USING (sample)' if graph else ''})",
         ]
     return ", ".join(out)
 
@@ -123,14 +128,33 @@ z0 AS MATERIALIZED (""" + PARTS["z0"].replace("SELECT side", "SELECT stored, sid
 corr0 AS MATERIALIZED (""" + PARTS["corr"].replace("FROM z b JOIN z c", "FROM z0 b JOIN z0 c") + "), corr AS MATERIALIZED (" + PARTS["corr"] + ")"
 
 
+def k_steps() -> str:
+    """Tables losses of the fixed start after two updates, with 2 and with 3 factors."""
+    out = []
+    for f in (2, 3):
+        named = re.sub(r"\b((?:h|w|wtw|wtx|den|hht|xht|whh)[0-2])\b", rf"\1_{f}", steps(2, False, factors=f))
+        out += [named, f"fit_{f} AS MATERIALIZED (SELECT sample, cell, sum(w.v * h.v) AS v FROM w2_{f} w JOIN h2_{f} h USING (k) GROUP BY ALL)"]
+        out.append(f"loss_{f} AS MATERIALIZED (SELECT {f} AS k, sum((p.v - f.v) * (p.v - f.v)) AS loss FROM pos p JOIN fit_{f} f USING (sample, cell))")
+    return ", ".join(out)
+
+
+#: W = XH' inverse(HH') for three factors, the inverse by cofactors.
+PROJECTED = """g AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM h a JOIN h b USING (cell) GROUP BY ALL),
+t AS MATERIALIZED (SELECT sample, k, sum(value * v) AS v FROM x JOIN h USING (cell) GROUP BY ALL),
+co AS MATERIALIZED (SELECT a.i, a.j, p.v * s.v - q.v * r.v AS c FROM g a
+  JOIN g p ON p.i = (a.i + 1) % 3 AND p.j = (a.j + 1) % 3 JOIN g s ON s.i = (a.i + 2) % 3 AND s.j = (a.j + 2) % 3
+  JOIN g q ON q.i = (a.i + 1) % 3 AND q.j = (a.j + 2) % 3 JOIN g r ON r.i = (a.i + 2) % 3 AND r.j = (a.j + 1) % 3),
+det AS MATERIALIZED (SELECT sum(g.v * c) AS d FROM g JOIN co USING (i, j) WHERE i = 0)"""
+
+
 def stored(source: str) -> str:
     """The stored rows, each with what its column's absent genes have."""
     return f"SELECT side, gene, col, round(value, 6) + 0.0 AS value, round(zero, 6) + 0.0 AS zero FROM (SELECT *, max(value) FILTER (NOT stored) OVER (PARTITION BY side, col) AS zero FROM {source}) WHERE stored"
 
 
-SUB = ", ".join(f"CASE WHEN v[{i}] - m{i} > 1.5 * s{i} THEN 'selected' ELSE 'Other cells' END AS subset{i}, round(v[{i}], 6) + 0.0 AS subset{i}_loading" for i in (1, 2, 3))
-SUB_ANY = " OR ".join(f"v[{i}] - m{i} > 1.5 * s{i}" for i in (1, 2, 3))
-SUB_STATS = ", ".join(f"avg(v[{i}]) AS m{i}, stddev_samp(v[{i}]) AS s{i}" for i in (1, 2, 3))
+SUB = ", ".join(f"CASE WHEN v[{i}] - m{i} > 1.5 * s{i} THEN 'selected' ELSE 'Other cells' END AS subset{i}, round(v[{i}], 6) + 0.0 AS subset{i}_loading" for i in range(1, 65))
+SUB_ANY = " OR ".join(f"v[{i}] - m{i} > 1.5 * s{i}" for i in range(1, 65))
+SUB_STATS = ", ".join(f"avg(v[{i}]) AS m{i}, stddev_samp(v[{i}]) AS s{i}" for i in range(1, 65))
 ELF = """fut AS MATERIALIZED (SELECT *, lead(time) OVER o AS after, sum(area) OVER (ORDER BY time, col ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS future_time
   FROM (SELECT *, coalesce((lead(time) OVER p - time) * r, 0) AS area FROM km WINDOW p AS (ORDER BY time, col)) WINDOW o AS (ORDER BY time, col)),
 elf AS MATERIALIZED (SELECT *, CASE WHEN after IS NULL OR status <> 0 THEN time ELSE time + coalesce(future_time / nullif(r, 0), (after - time) * 0.5) END AS exp_time FROM fut)"""
@@ -152,6 +176,11 @@ ORACLE = {
     "x_dim": sql("SELECT count(DISTINCT sample) AS n_sample, count(DISTINCT cell) AS n_cell FROM corr", "corr"),
     "x_blocks": sql("SELECT block, min(cell) AS first_cell, count(*) AS n_cells FROM (SELECT cell, CAST((row_number() OVER (ORDER BY cell) - 1) // 100 AS BIGINT) AS block FROM vec WHERE cell % 10 <> 0) GROUP BY block", "vec"),
     "row_view": sql("SELECT sample, cell, round(2 * value, 6) + 0.0 AS value FROM x JOIN (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS p FROM (SELECT DISTINCT sample FROM x)) USING (sample) WHERE p % 2 = 0", "x"),
+    "read_graph": sql("SELECT * FROM (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b USING (l_orderkey) GROUP BY ALL) WHERE (src + dst) % 3 <> 0"),
+    "x_sink": sql("SELECT sample, cell, round(value, 6) + 0.0 AS value FROM x", "x"),
+    "x_difference": sql("SELECT round(max(abs(c.value - o.value)), 6) AS max_difference FROM corr c JOIN o USING (sample, cell)", "corr", "z0", more="o AS MATERIALIZED (" + PARTS["corr"].replace("FROM z b JOIN z c", "FROM z0 b JOIN z0 c") + ")"),
+    "nested_view": sql("SELECT sample, cell, round(0.5 * value, 6) + 0.0 AS value FROM x JOIN (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS p FROM (SELECT DISTINCT sample FROM x)) USING (sample) WHERE p % 6 = 0", "x"),
+    "constant_cells": sql("SELECT b.col AS sample, c.col AS cell, round(CASE WHEN max(c.col) % 7 = 1 THEN 0 ELSE sum(b.value * c.value) / (count(*) - 1) END, 6) + 0.0 AS value FROM z0 b JOIN z0 c ON b.gene = c.gene AND b.side = 'bulk' AND c.side = 'cell' GROUP BY ALL", "z0"),
     "common_genes": sql("FROM common", "common"),
     "center_scale": sql("SELECT side, gene, col, round(value, 6) + 0.0 AS value FROM z0", "z0"),
     "quantile_target": sql("SELECT CAST(rank AS INTEGER) AS rank, round(target, 6) + 0.0 AS target FROM target", "target"),
@@ -190,22 +219,33 @@ ORACLE = {
     "gram_h": sql("SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS value FROM h a JOIN h b USING (cell) GROUP BY ALL", "h"),
     "xht": sql("SELECT sample, CAST(k AS INTEGER) AS k, round(sum(value * v), 6) + 0.0 AS value FROM x JOIN h USING (cell) GROUP BY ALL", "x", "h"),
     "recon_loss": sql("SELECT round(sum((x.value - p.v) * (x.value - p.v)), 6) AS loss FROM x JOIN p USING (sample, cell)", "x", "h", "w", more="p AS (SELECT sample, cell, sum(w.v * h.v) AS v FROM w JOIN h USING (k) GROUP BY ALL)"),
+    "clamped_steps": sql(FITTED, "x", "h", "w", more=steps(2, False, "x", "value", True)),
+    "local_steps": sql(FITTED, "pos", "h", "w", "e", "patients", more=steps(2, True)),
+    "project_w": sql("SELECT sample, CAST(co.i AS INTEGER) AS k, round(sum(t.v * c / d), 6) + 0.0 AS value FROM t JOIN co ON co.j = t.k, det GROUP BY ALL", "x", "h", more=PROJECTED),
+    "select_k_steps": sql("SELECT k, round(loss, 6) AS mean_loss, round(lag(loss) OVER (ORDER BY k) - loss, 6) + 0.0 AS loss_drop FROM (FROM loss_2 UNION ALL FROM loss_3)", "pos", "h", "w", more=k_steps()),
     "elbow_eii": sql(
         "SELECT k, round(m, 6) AS mean_loss, round(lag(m) OVER o - m, 6) + 0.0 AS loss_drop, round(first_value(m) OVER o - m, 6) + 0.0 AS denom, CASE WHEN k > 2 AND first_value(m) OVER o - m > 0 THEN round((lag(m) OVER o - m) / (first_value(m) OVER o - m), 6) + 0.0 END AS eii FROM l WINDOW o AS (ORDER BY k)",
-        more="l AS MATERIALIZED (SELECT k, avg(loss) AS m FROM (SELECT p_size AS k, p_partkey % 3 AS repeat, avg(p_retailprice) / any_value(p_size) AS loss FROM part WHERE p_size BETWEEN 2 AND 9 GROUP BY 1, 2) GROUP BY k)",
+        more="l AS MATERIALIZED (SELECT k, avg(loss) AS m FROM (SELECT p_size AS k, p_partkey % 3 AS repeat, avg(p_retailprice) / any_value(p_size) AS loss FROM part WHERE p_size >= 2 GROUP BY 1, 2) GROUP BY k)",
     ),
     "cv_folds": sql("SELECT col, fold FROM folded", "folded"),
     "cv_grid": "SELECT a.v AS alpha1, b.v AS alpha2, CAST(f AS INTEGER) AS fold FROM (VALUES (0.01::DOUBLE), (0.005::DOUBLE), (0.001::DOUBLE)) a(v), (VALUES (0.01::DOUBLE), (0.005::DOUBLE), (0.001::DOUBLE)) b(v), range(1, 6) t(f)",
     "cv_summary": sql("SELECT alpha1, alpha2, round(cindex, 6) AS cindex FROM means", "means"),
     "cv_best": sql("SELECT alpha1, alpha2, round(cindex, 6) AS cindex FROM means ORDER BY means.cindex DESC, alpha1, alpha2 LIMIT 1", "means"),
+    "cv_best_dense": sql("SELECT alpha1, alpha2, round(cindex, 6) AS cindex FROM means ORDER BY means.cindex DESC, list_position([0.01, 0.02, 0.0]::DOUBLE[], alpha2), list_position([0.02, 0.0, 0.01]::DOUBLE[], alpha1) LIMIT 1", "means"),
+    "cv_ordered": sql("SELECT CAST(row_number() OVER (ORDER BY alpha1, alpha2, fold) AS INTEGER) AS place, alpha1, alpha2, fold, round(cindex, 6) AS cindex FROM cv", "cv"),
     "cv_pivot": sql("SELECT alpha1, " + ", ".join(f"round(max(cindex) FILTER (alpha2 = {a}::DOUBLE), 6) AS {n}" for a, n in (("0.0", "a0"), ("0.01", "a1"), ("0.02", "a2"))) + " FROM means GROUP BY alpha1", "means"),
     "fold_s": sql("SELECT fold, col, round(1 - rank, 6) + 0.0 AS s FROM ranks", "folded", more="train AS MATERIALIZED (SELECT p.col, p.time, p.status, CAST(f AS INTEGER) AS fold FROM folded p, range(1, 6) t(f) WHERE p.fold <> f), " + km("train", "fold") + ", " + ranked("fold")),
-    "find_module": sql("SELECT CAST(i AS INTEGER) AS factor, cell FROM (SELECT cell, i, x, avg(x) OVER f AS m, stddev_samp(x) OVER f AS s FROM (SELECT cell, i, v[i] AS x FROM vec, range(1, 9) t(i)) WINDOW f AS (PARTITION BY i)) WHERE x - m > 1.5 * s", "vec"),
+    "find_module": sql("SELECT CAST(i AS INTEGER) AS factor, cell FROM (SELECT cell, i, x, avg(x) OVER f AS m, stddev_samp(x) OVER f AS s FROM (SELECT cell, i, v[i] AS x FROM vec, range(1, 65) t(i)) WINDOW f AS (PARTITION BY i)) WHERE x - m > 1.5 * s", "vec"),
     "find_subset": sql(f"SELECT cell, CASE WHEN {SUB_ANY} THEN 'selected' ELSE 'Other cells' END AS selected, {SUB} FROM vec, st", "vec", more=f"st AS (SELECT {SUB_STATS} FROM vec)"),
     "log_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM logn", "logn"),
     "rc_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM rc", "rc"),
     "clr_normalize": sql("SELECT gene, col, round(ln(1 + value / exp(sum(ln(1 + value)) OVER (PARTITION BY col) / (SELECT count(DISTINCT gene) FROM counts))), 6) AS value FROM counts", "counts"),
     "scale_data": sql("SELECT gene, col, round(least((value - mean) / coalesce(nullif(sqrt(greatest(variance, 0)), 0), 1), 10), 6) + 0.0 AS value FROM logn JOIN stats USING (gene)", "logn", "stats"),
+    "variable_genes_mvp": sql(
+        "SELECT gene, round(score, 6) + 0.0 AS score FROM (SELECT gene, coalesce((d - avg(d) OVER b) / nullif(stddev_samp(d) OVER b, 0), 0) AS score FROM bins WINDOW b AS (PARTITION BY bin)) r ORDER BY r.score DESC, gene LIMIT 300", "stats",
+        more="dm AS MATERIALIZED (SELECT gene, ln(1 + mean) AS m, ln(variance / mean) AS d FROM stats WHERE mean > 0), bins AS MATERIALIZED (SELECT *, least(floor((m - (SELECT min(m) FROM dm)) / ((SELECT max(m) - min(m) FROM dm) / 20)), 19) AS bin FROM dm)",
+    ),
+    "markers_significant": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(1 - inner_p, 6) + 0.0 AS p_value FROM zs JOIN area ON a = abs(z) WHERE 1 - inner_p < 0.05", "logn", more=MARK),
     "variable_genes": sql("SELECT gene, round(variance / mean, 6) + 0.0 AS score FROM stats ORDER BY variance / mean DESC, gene LIMIT 300", "stats"),
     "markers_logfc": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(u, 6) + 0.0 AS u, round(z, 6) + 0.0 AS z, round(1 - inner_p, 6) + 0.0 AS p_value, round(least(1, (1 - inner_p) * (SELECT count(*) FROM zs)), 6) + 0.0 AS p_adj FROM zs JOIN area ON a = abs(z)", "logn", more=MARK),
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenospark.functions import expression as ex
@@ -81,11 +82,47 @@ def long_fit(spark, got: factorise.Fit, samples: DataFrame) -> DataFrame:
 # --- scans and projections
 
 
+def saved(df: DataFrame, name: str) -> str:
+    """Writes a table into the shared folder; its path."""
+    path = f"{tables.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 @query
 def scan_expr(spark, sf_dir):
-    b, c = inputs.expression(spark, sf_dir)
-    both = tables.checked(b, "expression").withColumn("side", F.lit("bulk")).unionByName(tables.checked(c, "expression").withColumn("side", F.lit("cell")))
-    return both.groupBy("side", "gene").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"))
+    sides = zip(("bulk", "cell"), inputs.expression(spark, sf_dir), strict=True)
+    b, c = (tables.read_layer(spark, saved(t, side)).withColumn("side", F.lit(side)) for side, t in sides)
+    return b.unionByName(c).groupBy("side", "gene").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"))
+
+
+@query
+def read_graph(spark, sf_dir):
+    edges, _ = inputs.parts_graph(spark, sf_dir)
+    # every third edge is stored as an explicit zero
+    return tables.read_graph(spark, saved(edges.withColumn("w", F.when((F.col("src") + F.col("dst")) % 3 == 0, 0.0).otherwise(F.col("w"))), "graph"))
+
+
+@query
+def x_sink(spark, sf_dir):
+    """X written, read again and put together from blocks of cells."""
+    x, samples = x_of(spark, sf_dir)
+    path = f"{tables.shared_folder(spark)}/x-{uuid.uuid4().hex}"
+    tables.write_x(x, path)
+    back = tables.read_x(spark, path)
+    last = back.agg(F.max("cell")).first()[0]
+    whole = None
+    for lo in range(0, last + 1, last // 3 + 1):
+        part = tables.x_block(back, lo, lo + last // 3)
+        whole = part if whole is None else whole.unionByName(part)
+    return ex.long_x(whole, samples).select("sample", "cell", r6("value"))
+
+
+@query
+def x_difference(spark, sf_dir):
+    """How far quantile normalisation moves X."""
+    bulk, cells = inputs.expression(spark, sf_dir)
+    return tables.max_difference(x_raw(spark, sf_dir), create.similarity(bulk, cells, quantile=False)).select(r6("max_difference"))
 
 
 @query
@@ -102,9 +139,7 @@ def x_dim(spark, sf_dir):
 @query
 def x_blocks(spark, sf_dir):
     cells = inputs.vectors(spark, sf_dir).where(F.col("cell") % 10 != 0).select("cell")
-    # positions: a range of cell numbers, counted in ranges before
-    pos = cells.withColumn("pos", F.row_number().over(Window.orderBy("cell")) - 1)
-    return tables.blocks(pos, 100)
+    return tables.blocks(tables.positions(cells), 100)
 
 
 @query
@@ -117,6 +152,25 @@ def row_view(spark, sf_dir):
     return ex.long_x(view, some).select("sample", "cell", r6("value"))
 
 
+@query
+def nested_view(spark, sf_dir):
+    """A view of a view: every third sample of every second one."""
+    x, samples = x_of(spark, sf_dir)
+    n = samples.count()
+    outer = list(range(0, n, 2))
+    view = tables.row_view(tables.row_view(x, outer, 2.0), list(range(0, len(outer), 3)), 0.25)
+    some = samples.where(F.col("pos") % 6 == 0).select((F.col("pos") / 6).cast("int").alias("pos"), "sample")
+    return ex.long_x(view, some).select("sample", "cell", r6("value"))
+
+
+@query
+def constant_cells(spark, sf_dir):
+    """Cells without spread have no correlation, which X has as 0."""
+    bulk, cells = inputs.expression(spark, sf_dir)
+    flat = cells.withColumn("value", F.when(F.col("col") % 7 == 1, 1.0).otherwise(F.col("value")))
+    return ex.long_x(create.similarity(bulk, flat, quantile=False), create.samples_of(bulk)).select("sample", "cell", r6("value"))
+
+
 @query
 def common_genes(spark, sf_dir):
     return ex.common_genes(*inputs.expression(spark, sf_dir))
@@ -322,30 +376,54 @@ def regularised_steps(spark, sf_dir):
     return fixed_fit(spark, sf_dir, True)
 
 
+@query
+def clamped_steps(spark, sf_dir):
+    """X keeps its negative entries; what updates make negative or infinite becomes 0."""
+    x, samples = x_of(spark, sf_dir)
+    start = {"w0": fixed_w(samples), "h0": fixed_h(x), "maxiter": STEPS, "threshold": 0.0}
+    return long_fit(spark, factorise.nmf(x, K, guard=True, **start), samples)
+
+
+@query
+def local_steps(spark, sf_dir):
+    """The regularised fit on arrays, from the same start as regularised_steps."""
+    x, samples = x_of(spark, sf_dir, clip=True)
+    edges, degree = cell_graph(spark, sf_dir)
+    s = survival.phenotype_s(inputs.patients(spark, sf_dir), "survival").orderBy("col").toPandas()["s"].to_numpy()
+    array, cells = selection.local_x(x)
+    h0 = np.array([r.h for r in fixed_h(x).orderBy("cell").collect()]).T
+    got = factorise.fit_local(array, K, s, *selection.local_graph(edges, degree, cells), ALPHA, ALPHA, STEPS, 0.0, w0=fixed_w(samples), h0=h0)
+    h = spark.createDataFrame([(int(c), col.tolist()) for c, col in zip(cells, got.h.T, strict=True)], "cell long, h array<double>")
+    return long_fit(spark, factorise.Fit(got.w, h, got.iter, got.loss, got.converged), samples)
+
+
+def sums(spark, sf_dir):
+    """X's samples, and XH' and HH' of the fixed start."""
+    x, samples = x_of(spark, sf_dir)
+    state = factorise.joined(x.withColumn("d", F.lit(0.0)), fixed_h(x), None, K)
+    return x, samples, factorise.partial_sums(state, samples.count(), K)
+
+
+def entries(spark, m: np.ndarray, rows: list, row: str, column: str) -> DataFrame:
+    return factorise.w_frame(spark, m, rows).select(F.col("sample").alias(row), F.col("k").alias(column), r6("value"))
+
+
 @query
 def gram_h(spark, sf_dir):
-    h = fixed_h(inputs.vectors(spark, sf_dir).where(F.col("cell") % 10 != 0))
-    sums = h.agg(*(F.sum(F.col("h")[i] * F.col("h")[j]).alias(f"g{i}{j}") for i in range(K) for j in range(K)))
-    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{i}{j}").alias("value")) for i in range(K) for j in range(K)))
-    return sums.select(F.explode(each).alias("e")).select("e.i", "e.j", r6(F.col("e.value"), "value"))
+    return entries(spark, sums(spark, sf_dir)[2][1], list(range(K)), "i", "j").withColumn("i", F.col("i").cast("int"))
 
 
 @query
 def xht(spark, sf_dir):
-    x, samples = x_of(spark, sf_dir)
-    flat = x.join(fixed_h(x), "cell").select(F.posexplode("x").alias("pos", "v"), "h")
-    sums = flat.groupBy("pos").agg(*(F.sum(F.col("v") * F.col("h")[k]).alias(f"x{k}") for k in range(K)))
-    return sums.join(samples, "pos").select("sample", F.posexplode(F.array(*(f"x{k}" for k in range(K)))).alias("k", "value")).select("sample", "k", r6("value"))
+    _, samples, got = sums(spark, sf_dir)
+    return entries(spark, got[0], [r["sample"] for r in samples.orderBy("pos").collect()], "sample", "k")
 
 
 @query
 def recon_loss(spark, sf_dir):
-    x, samples = x_of(spark, sf_dir)
-    w = factorise.w_frame(spark, fixed_w(samples), [r["sample"] for r in samples.orderBy("pos").collect()])
-    packed = w.join(samples, "sample").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("w")).select("pos", F.col("w.value").alias("w"))
-    flat = x.join(fixed_h(x), "cell").select(F.posexplode("x").alias("pos", "v"), "h").join(packed, "pos")
-    residual = F.col("v") - sum((F.col("w")[k] * F.col("h")[k] for k in range(K)), F.lit(0.0))
-    return flat.agg(r6(F.sum(residual * residual), "loss"))
+    x, samples, (xht, hht, _, _) = sums(spark, sf_dir)
+    loss = factorise.squared_loss(x.agg(F.sum(ex.fro_square("x"))).first()[0], fixed_w(samples), xht, hht)
+    return spark.createDataFrame([(loss,)], "loss double").select(r6("loss"))
 
 
 @query
@@ -359,8 +437,8 @@ def project_w(spark, sf_dir):
 
 
 def k_losses(spark, sf_dir) -> DataFrame:
-    """Losses of K = 2 to 9 with three repeats: mean prices by part size."""
-    p = inputs.table(spark, sf_dir, "part").where("p_size between 2 and 9")
+    """Losses of K = 2, 3, ... with three repeats: mean prices by part size."""
+    p = inputs.table(spark, sf_dir, "part").where("p_size >= 2")
     return p.groupBy(F.col("p_size").alias("k"), (F.col("p_partkey") % 3).cast("int").alias("repeat")).agg((F.avg("p_retailprice") / F.first("p_size")).alias("loss"))
 
 
@@ -372,10 +450,18 @@ def elbow_eii(spark, sf_dir):
 @query
 def select_k(spark, sf_dir):
     x, _ = x_of(spark, sf_dir, clip=True)
-    got = selection.select_k(x, k_max=4, repeats=2, maxiter=50)
+    got = selection.select_k(x, k_max=8, repeats=3, maxiter=100)
     return got.summary.withColumn("selected", F.lit(got.selected))
 
 
+@query
+def select_k_steps(spark, sf_dir):
+    """K = 2 and 3 from a fixed start."""
+    x, samples = x_of(spark, sf_dir, clip=True)
+    got = selection.select_k(x, k_max=K, repeats=1, maxiter=STEPS, w0=fixed_w(samples), h0=fixed_h(x))
+    return got.summary.select("k", r6("mean_loss"), r6("loss_drop"))
+
+
 @query
 def cv_folds(spark, sf_dir):
     return selection.folds(inputs.patients(spark, sf_dir), 5, F.col("col") * 7919 % 101).select("col", "fold")
@@ -409,18 +495,32 @@ def cv_pivot(spark, sf_dir):
     return got.select("alpha1", *(r6(F.col(f"`{a}`"), n) for a, n in (("0.0", "a0"), ("0.01", "a1"), ("0.02", "a2"))))
 
 
+@query
+def cv_best_dense(spark, sf_dir):
+    return selection.best(selection.summary(cv_results(spark, sf_dir)), [0.02, 0.0, 0.01], [0.01, 0.02, 0.0]).select("alpha1", "alpha2", r6("cindex"))
+
+
+@query
+def cv_ordered(spark, sf_dir):
+    """The sorted rows of a cross-validation, numbered."""
+    rows = selection.ordered(cv_results(spark, sf_dir)).toPandas()  # a row for each pair and fold
+    return spark.createDataFrame(rows.assign(place=range(1, len(rows) + 1))).select(F.col("place").cast("int"), "alpha1", "alpha2", "fold", r6("cindex"))
+
+
 @query
 def fold_s(spark, sf_dir):
-    people = selection.folds(inputs.patients(spark, sf_dir), 5, F.col("col") * 7919 % 101)
-    train = people.withColumnRenamed("fold", "own").join(spark.range(1, 6).select(F.col("id").cast("int").alias("fold")), F.col("own") != F.col("fold"))
-    return survival.guanrank(train, by=("fold",)).select("fold", "col", r6(1 - F.col("rank"), "s"))
+    people = selection.folds(inputs.patients(spark, sf_dir), 5, F.col("col") * 7919 % 101).orderBy("col").toPandas()  # a row for each sample
+    rows = [(f, int(c), float(s)) for f in range(1, 6) for c, s in zip(people["col"][people["fold"] != f], selection.train_s(people, f), strict=True)]
+    return spark.createDataFrame(rows, "fold int, col long, s double").select("fold", "col", r6("s"))
 
 
 @query
 def select_alpha(spark, sf_dir):
+    """The grid's means, and which pair is the best of either order of ties."""
     x, _ = x_of(spark, sf_dir, clip=True)
     edges, degree = cell_graph(spark, sf_dir)
-    return selection.select_alpha(x, inputs.patients(spark, sf_dir), 2, edges, degree, (0.01, 0.001), (0.01, 0.001), cross_k=3, maxiter=30)
+    got = selection.select_alpha(x, inputs.patients(spark, sf_dir), 2, edges, degree)
+    return got.summary.select("alpha1", "alpha2", r6("cindex"), ((F.col("alpha1") == got.alpha1) & (F.col("alpha2") == got.alpha2)).alias("best"))
 
 
 # --- modules
@@ -428,21 +528,21 @@ def select_alpha(spark, sf_dir):
 
 @query
 def find_module(spark, sf_dir):
-    h = inputs.vectors(spark, sf_dir).select("cell", F.slice("v", 1, 8).alias("h"))
+    h = inputs.vectors(spark, sf_dir).select("cell", F.col("v").alias("h"))
     return modules.find_module(h, 1.5)
 
 
 @query
 def find_module_dip(spark, sf_dir):
-    h = inputs.vectors(spark, sf_dir).select("cell", F.slice("v", 1, 4).alias("h"))
+    h = inputs.vectors(spark, sf_dir).select("cell", F.col("v").alias("h"))
     return modules.find_module(h, 1.5, dip=True)
 
 
 @query
 def find_subset(spark, sf_dir):
-    h = inputs.vectors(spark, sf_dir).select("cell", F.slice("v", 1, 3).alias("h"))
-    got = modules.find_subset(h, 3, 1.5)
-    return got.select("cell", "selected", *(f"subset{i}" for i in (1, 2, 3)), *(r6(f"subset{i}_loading") for i in (1, 2, 3)))
+    h = inputs.vectors(spark, sf_dir).select("cell", F.col("v").alias("h"))
+    got = modules.find_subset(h, 64, 1.5)
+    return got.select("cell", "selected", *(f"subset{i}" for i in range(1, 65)), *(r6(f"subset{i}_loading") for i in range(1, 65)))
 
 
 # --- preparation
@@ -479,6 +579,12 @@ def variable_genes(spark, sf_dir):
     return preprocess.variable_genes(values, suppliers(spark, sf_dir).count(), 300, "disp").select("gene", r6("score"))
 
 
+@query
+def variable_genes_mvp(spark, sf_dir):
+    values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
+    return preprocess.variable_genes(values, suppliers(spark, sf_dir).count(), 300, "mvp").select("gene", r6("score"))
+
+
 @query
 def variable_genes_vst(spark, sf_dir):
     return preprocess.variable_genes(inputs.counts(spark, sf_dir), suppliers(spark, sf_dir).count(), 300, "vst")
@@ -498,3 +604,10 @@ def markers_logfc(spark, sf_dir):
     values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
     cells = suppliers(spark, sf_dir).withColumn("chosen", (F.col("col") % 3 == 0).cast("int"))
     return preprocess.markers(values, cells).select("gene", *(r6(c) for c in ("log_fc", "u", "z", "p_value", "p_adj")))
+
+
+@query
+def markers_significant(spark, sf_dir):
+    values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
+    cells = suppliers(spark, sf_dir).withColumn("chosen", (F.col("col") % 3 == 0).cast("int"))
+    return preprocess.significant(preprocess.markers(values, cells), 0.05, "p_value").select("gene", r6("log_fc"), r6("p_value"))

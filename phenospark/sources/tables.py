@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables by kind: columns and types that must be there. More columns may be.
@@ -15,7 +16,6 @@ SCHEMAS = {
     "binary": {"col": "bigint", "label": "double"},
     "x": {"cell": "bigint", "x": "array<double>"},
 }
-FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def checked(df: DataFrame, kind: str) -> DataFrame:
@@ -86,17 +86,65 @@ def block_size(size: int | None, n: int, fallback: int = 10_000) -> int:
     return max(1, min(n, fallback if size is None else int(size)))
 
 
+def positions(cells: DataFrame) -> DataFrame:
+    """cell, pos: places from 0 in the order of the cells' numbers.
+
+    Cells are dealt by ranges of their numbers; a task counts its own, and a row
+    of each count goes before the next ones, so no task sees all cells.
+    """
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(cells.select("cell").repartitionByRange(n, "cell").select("cell", F.spark_partition_id().alias("part")), "cells")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("cell")) - 1
+    return dealt.withColumn("place", place).join(before, "part").select("cell", (F.col("before") + F.col("place")).alias("pos"))
+
+
 def blocks(cells: DataFrame, size: int) -> DataFrame:
     """block, first_cell, n_cells: ranges of cell positions of a given size."""
     return cells.groupBy(F.floor(F.col("pos") / size).cast("long").alias("block")).agg(F.min("cell").alias("first_cell"), F.count("*").alias("n_cells"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only for a
+    local master, where driver and executors are one process."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="phenospark-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows as a table in the shared folder that the session names, so lineage ends here."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or FALLBACK_DIR)
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Bucketed:
+    """A table in the shared folder, in as many buckets by key as the session has shuffle partitions:
+    joins on the key with another such table, or with a shuffle by it, move nothing of this one.
+
+    dealt: the rows come from such a join already, so writing needs no shuffle.
+    """
+
+    def __init__(self, df: DataFrame, key: str, dealt: bool = False):
+        self.spark, self.name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+        self.path, n = f"{shared_folder(self.spark)}/{self.name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df if dealt else df.repartition(n, key)
+        rows.write.bucketBy(n, key).sortBy(key).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """The table and its files go."""
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

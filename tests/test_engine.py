@@ -216,16 +216,89 @@ def test_select_alpha(spark, monkeypatch):
     x = np.abs(rng.normal(size=(24, 30)))
     frame = spark.createDataFrame([(c, x[:, c].tolist()) for c in range(30)], "cell long, x array<double>")
     people = spark.createDataFrame([(i, float(t), int(s)) for i, (t, s) in enumerate(zip(rng.integers(1, 50, 24), rng.random(24) < 0.7, strict=True))], "col long, time double, status int")
-    cv = selection.select_alpha(frame, people, 2, alpha1=(0.01,), alpha2=(0.0, 0.1), cross_k=3, maxiter=20).toPandas()
-    assert len(cv) == 6 and cv["cindex"].between(0, 1).all()
-    flipped = selection.select_alpha(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=3, maxiter=20, reverse=True).toPandas()
+    got = selection.select_alpha(frame, people, 2, alpha1=(0.01,), alpha2=(0.0, 0.1), cross_k=3, maxiter=20)
+    cv = got.cv.toPandas()
+    assert len(cv) == 6 and cv["cindex"].between(0, 1).all() and cv.sort_values(["alpha1", "alpha2", "fold"]).index.tolist() == list(range(6))
+    assert got.summary.first()["cindex"] == got.summary.toPandas()["cindex"].max() and got.matrix.count() == 1 and got.alpha2 in (0.0, 0.1)
+    flipped = selection.cross_validate(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=3, maxiter=20, reverse=True).toPandas()
+    binary = people.select("col", (F.col("col") % 2).cast("double").alias("label"))
+    assert selection.cross_validate(frame, binary, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=2, maxiter=5).count() == 2
+    near = selection.cross_validate(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=2, maxiter=3).toPandas()
+    near_k = selection.select_k(frame, k_max=3, repeats=1, maxiter=2).losses.toPandas()
     assert sorted(1 - flipped["cindex"]) == pytest.approx(sorted(cv[cv["alpha2"] == 0]["cindex"]))
     with pytest.raises(ValueError):
         selection.select_alpha(frame, people.where("col > 0"), 2)
     monkeypatch.setattr(factorise, "LOCAL_ENTRIES", 0)  # X stays distributed
-    far = selection.select_alpha(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=2, maxiter=3).toPandas()
+    far = selection.cross_validate(frame, people, 2, alpha1=(0.01,), alpha2=(0.0,), cross_k=2, maxiter=3).toPandas()
     assert len(far) == 2 and far["cindex"].between(0, 1).all() and (far["iter"] <= 4).all()
-    assert selection.select_k(frame, k_max=3, repeats=1, maxiter=2).selected == 2
+    # the same answers on either side of the limit
+    assert far.sort_values("fold")["loss"].tolist() == pytest.approx(near.sort_values("fold")["loss"].tolist()) and sorted(far["cindex"]) == pytest.approx(sorted(near["cindex"]))
+    assert selection.select_k(frame, k_max=3, repeats=1, maxiter=2).losses.toPandas()["loss"].tolist() == pytest.approx(near_k["loss"].tolist())
+
+
+def test_choice_of_ties(spark):
+    cv = spark.createDataFrame([(a, b, 1, 0.5) for a in (0.1, 0.2) for b in (0.3, 0.4)] + [(0.2, 0.4, 2, float("nan"))], "alpha1 double, alpha2 double, fold int, cindex double")
+    large, dense = (selection.chosen(cv, (0.2, 0.1), (0.4, 0.3), ties) for ties in ("large", "dense"))
+    assert (large.alpha1, large.alpha2) == (0.1, 0.3) and (dense.alpha1, dense.alpha2) == (0.2, 0.4)
+    with pytest.raises(ValueError):
+        selection.chosen(cv, (0.2,), (0.4,), "other")
+    with pytest.raises(ValueError):
+        selection.chosen(cv.where("false"), (0.2,), (0.4,))
+
+
+def test_fit_moves_only_the_graph_product(spark):
+    """X and H meet in their buckets; the one exchange of an iteration is that of the product's sums."""
+    x, s, (src, dst, w), d, h0 = regularised()
+    frame = spark.createDataFrame([(c, x[:, c].tolist(), 1.0) for c in range(4)], "cell long, x array<double>, d double")
+    links = spark.createDataFrame([(int(a), int(b), float(v)) for a, b, v in zip(src, dst, w, strict=True)], "src long, dst long, w double")
+    start = spark.createDataFrame([(c, h0[:, c].tolist(), None) for c in range(4)], "cell long, h array<double>, part array<double>")
+    made = [tables.Bucketed(t, key) for t, key in ((frame, "cell"), (links, "dst"), (start, "cell"))]
+    x_rows, edges, h = (t.read() for t in made)
+    for graph_of, exchanges in ((None, 0), (edges, 1)):
+        state = factorise.joined(x_rows, h, graph_of, 2)
+        state.collect()
+        plan = state._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange ") == exchanges
+    for t in made:
+        t.drop()
+
+
+def test_sparse_columns_equal_dense_ones(spark):
+    """Absent rows are zeros in every step, on either side of 0, beside stored zeros (column 0 has
+    them, so that no gene is lost) and where a cell has no row at all."""
+    rng = np.random.default_rng(17)
+    b, c = (rng.poisson(1.0, (12, n)) * rng.choice([1.0, -1.0, 0.0], (12, n), p=[0.5, 0.2, 0.3]) for n in (4, 7))
+    c[:, 3] = 0
+    bulk, cells = tables_of(spark, b, c)
+    for quantile in (True, False):
+        full = create.similarity(bulk, cells, quantile).persist()
+        sparse_cells = cells.where("value <> 0 or col = 0").unionByName(spark.createDataFrame([("other", 3, 1.0)], "gene string, col long, value double"))
+        gaps = create.similarity(bulk.where("value <> 0 or col = 0"), sparse_cells, quantile)
+        assert tables.max_difference(full, gaps).first()[0] < 1e-12
+    stats = columns_of(preprocess.gene_stats(cells.where("value <> 0"), 7), "gene", "mean", "variance")
+    assert all(stats[f"g{i}"] == pytest.approx((c[i].mean(), c[i].var(ddof=1))) for i in range(12) if c[i].any())
+    near = spark.createDataFrame([("a", i, 1e9 + i % 2) for i in range(10)], "gene string, col long, value double")
+    assert preprocess.gene_stats(near, 10).first()["variance"] == pytest.approx(5 / 18)  # no cancellation
+
+
+def test_positions(spark):
+    cells = spark.createDataFrame([(int(c),) for c in np.random.default_rng(3).permutation(500) * 3], "cell long")
+    assert columns_of(tables.positions(cells), "cell", "pos") == {3 * i: i for i in range(500)}
+
+
+def test_two_sided(spark):
+    import math
+
+    z = np.linspace(-9, 9, 181)
+    got = spark.createDataFrame([(float(v),) for v in z], "z double").select("z", preprocess.two_sided(F.col("z")).alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), rel=1e-6, abs=1e-12) for r in got)
+
+
+def test_session():
+    from phenospark import session
+
+    with pytest.raises(ValueError):
+        session.builder(threads=0)
 
 
 def long(m, side, first=0):
