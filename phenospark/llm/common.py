@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only if it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only for a
+    local master without a name, where driver and executors are one process."""
     context = spark.sparkContext
-    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = FALLBACK_DIR
     if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="phenospark-")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -167,17 +168,52 @@ def vectors(spark):
     return out, spark.createDataFrame([*out, (400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (None, [1.0]), (404, [0.0] * 16)], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
 
 
+def top_products(rows, every=20, k=20):
+    """(query, rank, id, score) of all pairs, in Python's integers."""
+    whole = sorted({(i, tuple(math.floor(Fraction(x) * 64) for x in v)) for i, v in rows})
+    want = []
+    for q in sorted({i for i, _ in whole if i % every == 0}):
+        top = sorted((-sum(a * b for a, b in zip(x, y)), i) for own, x in whole if own == q for i, y in whole if i != q)[:k]
+        want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(top)]
+    return want
+
+
 def test_maxscore(spark):
     out, frame = vectors(spark)
-    whole = {i: np.floor(64 * np.array(v)) for i, v in [*out, (404, [0.0] * 16)]}
-    want = []
-    for q in (i for i in whole if i % 20 == 0):
-        top = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:20]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(top)]
-    assert sorted(map(tuple, maxscore.search(frame).collect())) == sorted(want)
+    assert sorted(map(tuple, maxscore.search(frame).collect())) == top_products([*out, (404, [0.0] * 16)])
     assert maxscore.search(frame.where("false")).count() == 0
 
 
+def test_maxscore_of_large_and_repeated_vectors(spark):
+    """Components beyond 2^31, a score beyond a long, an id with two vectors and one vector of many rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    rows += [(100, [4e7, 1.0, 0.0]), (101, [3e9, -2e9, 1.0]), (120, [1e20, 0.0, 5.0]), (102, [-4e7, 1e11, 2.0])]
+    rows += [(2, [9.0, 9.0, 9.0]), (2, [9.0, 9.0, 9.0]), (140, [8.0, 8.0, 8.0]), (140, [-8.0, 1.0, 0.0])]
+    rows += [(i, [1.5, 1.5, 1.5]) for i in range(200, 400)] + [(401, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, maxscore.search(frame).collect()))
+    want = top_products([(i, v + [0.0] * (3 - len(v))) for i, v in rows])
+    assert got == want and any(r[2] == 101 for r in got if r[0] == 100)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+def test_maxscore_skips_work(kind):
+    """Posting lists of few rows are traversed alone, and weak terms are probed for competitive rows alone."""
+    rng = np.random.default_rng(6)
+    weight = 1 / np.arange(1, 65) ** 0.7
+    shard = np.floor(64 * rng.normal(size=(8192, 64)) * weight * (rng.random((8192, 64)) < (0.1 if kind == "sparse" else 1)))
+    ids = rng.permutation(8192)
+    work = maxscore.Work()
+    for i in range(0, 400, 10):
+        got = next(maxscore.tile_top(shard[i : i + 1] / 64, ids[i : i + 1], shard / 64, ids, 20, 64.0, work))
+        score = shard @ shard[i]
+        score[i] = -np.inf
+        want = np.lexsort((ids, -score))[:20]
+        assert got[1].tolist() == ids[want].tolist() and got[2] == score[want].tolist()
+    assert work.products < (0.2 if kind == "sparse" else 0.9) * work.brute
+
+
 def test_block_join(spark):
     out, frame = vectors(spark)
     want = []
@@ -186,6 +222,13 @@ def test_block_join(spark):
         want += [(q, k + 1, i, round(s, 9)) for k, (s, i) in enumerate(d)]
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in block_ann.search(frame).collect()) == sorted(want)
     assert block_ann.search(frame.where("vec_id < 5")).count() == 4  # fewer candidates than k
+    odd = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [5.0, 5.0]), (100, [-5.0, 5.0]), (7, [1e200, 1.0]), (8, [1e-200, 1e-200])] + [(i, [3.0, 3.0]) for i in range(20, 60)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in block_ann.search(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).collect())
+    want = []
+    for q in (0, 100):
+        d = sorted((math.dist(x, y), i) for own, x in sorted(set((i, tuple(v)) for i, v in odd)) if own == q for i, y in set((i, tuple(v)) for i, v in odd) if i != q)[:10]
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(d)]
+    assert got == [(*x[:3], pytest.approx(x[3])) for x in want]
     assert block_ann.search(frame.where("false")).count() == 0
 
 
