@@ -1,16 +1,19 @@
 """Documents as packed chunks, and exchanges of hashes between chunks.
 
 A chunk holds the texts of consecutive rows (about two megabytes, compressed)
-with all other columns as one Arrow message. Chunks are written once, bucketed
-by their number, so that what other tasks find out about a chunk joins it again
-without moving a text. An exchange deals hashes to buckets, in one packed row
-for each chunk and bucket; the answer is one bit for each hash sent.
+with all other columns as one Arrow message. Chunks are written once to the shared
+folder, bucketed by their number into tables of which a task reads TASK_BYTES of
+text, so that what other tasks find out about a chunk joins it again without moving
+a text. An exchange deals hashes to buckets, in one packed row for each chunk and
+bucket; there are as many buckets as the text asks for and as many partitions as
+buckets, so neither a bucket nor a task grows with the input.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +22,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import partitions
+from phenospark.llm.common import partitions, shared_dir
 from phenospark.llm.textkernel import Slice, slices
 
 #: Bytes of text in a chunk; phenospark.chunkBytes in the session's settings goes before it.
 CHUNK_BYTES = 2 << 20
 #: Bytes of text for each bucket of an exchange; phenospark.bucketBytes goes before it.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose chunks share a partition of their table.
+TASK_BYTES = 64 << 20
 
 CHUNKED = "chunk long, bytes long, offs binary, texts binary, others binary"
 
+#: The tables that this process has made, and where they are.
+_made: list[tuple[str, str]] = []
+
 
 def drop_chunks(spark) -> None:
-    """Drops the tables of all chunks; for when no DataFrame made of them is needed any more."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("chunks_"):
-            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    """Drops the chunk tables of this process with their files; for when no DataFrame made of them is needed any more."""
+    while _made:
+        name, path = _made.pop()
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def press(x: np.ndarray | bytes) -> bytes:
@@ -45,10 +55,22 @@ def expand(x: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def chunked(docs: DataFrame, text_col: str) -> DataFrame:
-    """The chunks of docs as a table bucketed by chunk, in the shared warehouse."""
+@dataclass
+class Chunks:
+    """table: CHUNKED; parts: its partitions; buckets: those of an exchange."""
+
+    table: DataFrame
+    parts: int
+    buckets: int
+
+
+def chunked(docs: DataFrame, text_col: str) -> Chunks:
+    """The chunks of docs as a table bucketed by chunk, in the shared folder."""
+    spark = docs.sparkSession
     others = [c for c in docs.columns if c != text_col]
-    most = int(docs.sparkSession.conf.get("phenospark.chunkBytes", str(CHUNK_BYTES)))
+    most, per_bucket = (int(spark.conf.get(f"phenospark.{name}", str(size))) for name, size in (("chunkBytes", CHUNK_BYTES), ("bucketBytes", BUCKET_BYTES)))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts, buckets = max(8, partitions(spark), -(-total // TASK_BYTES)), max(12, -(-total // per_bucket))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -64,11 +86,12 @@ def chunked(docs: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bytes", "offs", "texts", "others"])
                 number += 1
 
-    spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     packed = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, CHUNKED)
-    packed.write.bucketBy(max(8, partitions(spark)), "chunk").saveAsTable(name)
-    return spark.table(name)
+    packed.write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
+    _made.append((name, path))
+    return Chunks(spark.table(name), parts, buckets)
 
 
 def opened(row: dict) -> Slice:
@@ -80,9 +103,15 @@ def others(row: dict) -> pa.RecordBatch:
     return pa.ipc.open_stream(expand(row["others"]).tobytes()).read_all().combine_chunks().to_batches()[0] if len(expand(row["offs"], np.int64)) > 1 else None
 
 
-def bucket_count(chunks: DataFrame) -> int:
-    total = chunks.agg(F.sum("bytes")).first()[0] or 0
-    return max(12, -(-total // int(chunks.sparkSession.conf.get("phenospark.bucketBytes", str(BUCKET_BYTES)))))
+def by_bucket(sent: DataFrame, buckets: int) -> DataFrame:
+    """Rows with a bucket, in a partition for each bucket."""
+    return sent.repartition(max(partitions(sent.sparkSession), buckets), "bucket")
+
+
+def joined(chunks: Chunks, to: DataFrame, answers: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """to (rows with a chunk, in the chunks' partitions) with the list of its answers, as column ``name``."""
+    told = answers.repartition(chunks.parts, "chunk").groupBy(F.col("chunk").alias(f"chunk_{name}")).agg(F.collect_list(F.struct(*columns)).alias(name))
+    return to.join(told.hint("shuffle_hash"), F.col("chunk") == F.col(f"chunk_{name}"), "left").drop(f"chunk_{name}")
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,8 +146,8 @@ def send(chunk: int, keys: np.ndarray, buckets: int, more: np.ndarray | None = N
     )
 
 
-def answers(sent: DataFrame, judge: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
-    """chunk, found: map of bucket to bits. judge(all keys of a bucket, more of each row) gives a truth for each key."""
+def answers(sent: DataFrame, buckets: int, judge: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
+    """ANSWER: one bit for each hash sent. judge(all keys of a bucket, more of each row) gives a truth for each key."""
 
     def run(table: pa.Table) -> pa.Table:
         raws = [x.as_py() for x in table.column("keys")]
@@ -128,9 +157,7 @@ def answers(sent: DataFrame, judge: Callable[[np.ndarray, list[bytes]], np.ndarr
         bits = [np.packbits(x).tobytes() for x in np.split(truth, ends[:-1])]
         return pa.table({"chunk": table.column("chunk").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
-    found = sent.groupBy("bucket").applyInArrow(run, ANSWER)
-    # one row of bits for each bucket: an eighth of a byte for each hash of the chunk
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    return by_bucket(sent, buckets).groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 def told(found: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenospark.llm.chunks import SENT, answers, bucket_count, chunked, expand, opened, others, send, told
+from phenospark.llm.chunks import SENT, answers, chunked, expand, joined, opened, others, send, told
 from phenospark.llm.common import free_name
 from phenospark.llm.textkernel import Slice, Words, mix, words
 
@@ -196,15 +196,15 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     digest: kept_sha256 of it in place of the text.
     """
     chunks = chunked(docs, text_col)
-    buckets = bucket_count(chunks)
+    buckets = chunks.buckets
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield send(row["chunk"], _Chunk(row, id_col, n).keys, buckets)
 
-    shared = answers(chunks.mapInArrow(find, SENT), _twice).withColumnRenamed("found", "shared").withColumnRenamed("chunk", "chunk_s")
-    known = chunks.join(shared.hint("shuffle_hash"), chunks["chunk"] == shared["chunk_s"], "left").drop("chunk_s")
+    found = answers(chunks.table.mapInArrow(find, SENT), buckets, _twice)
+    known = joined(chunks, chunks.table, found, "shared", ("bucket", "bits"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +212,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
                 _, a, b, doc, _ = _Chunk(row, id_col, n).shared(row["shared"], buckets, n)
                 yield send(row["chunk"], a, buckets, np.stack([b.view(np.int64), doc], 1))
 
-    earlier = answers(known.mapInArrow(verify, SENT), _smaller_elsewhere).withColumnRenamed("found", "earlier").withColumnRenamed("chunk", "chunk_e")
-    judged = known.join(earlier.hint("shuffle_hash"), known["chunk"] == earlier["chunk_e"], "left").drop("chunk_e")
+    judged = joined(chunks, known, answers(known.mapInArrow(verify, SENT), buckets, _smaller_elsewhere), "earlier", ("bucket", "bits"))
     kept_name = "kept_sha256" if digest else text_col
     total_name, removed_name = free_name(docs, "dedup_words"), free_name(docs, "dedup_removed")
     out = T.StructType([f for f in docs.schema if f.name != text_col])

@@ -8,11 +8,13 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from phenospark.llm import backoff_lm, block_ann, bpe_codec, chosen_path, components, kn_toxicity, maxscore, packing, pii, recompress, ring
 from phenospark.llm.queries import vocabulary
+from phenospark.llm.textkernel import slices, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk long, name string, size int, n long, rank int, dup_id long, pii_spans string, dedup_words long, found string"
@@ -262,6 +264,38 @@ def test_backoff(docs, rows, empty):
     assert backoff_lm.score(empty).count() == 0
 
 
+def test_backoff_states_sum_to_one():
+    """At every state of a chunk's automaton the known tokens and the unknown one have all of the probability."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(12)], rng.integers(0, 400))) for _ in range(12)]
+    held = ["u1 w1 u2 w2 w3 w1 w1 w2 u1", "w1 " * 400]
+    w = backoff_lm._Words.__new__(backoff_lm._Words)
+    for s in slices(pa.array(texts + held), 1 << 30):
+        w.words = words(s, lower=True)
+    w.key, w.inverse = np.unique(w.words.hash, return_inverse=True)
+    q = backoff_lm._Sequence(w.words)
+    learns = np.arange(14) < 12
+    ones = np.bincount(w.inverse, np.repeat(learns, np.diff(w.words.first)), len(w.key)).astype(int)
+    ends, n, v = 12, int(ones.sum()) + 12, int((ones > 0).sum()) + 1
+    a = backoff_lm.Automaton(w, q, ones, q.counts(learns), ends, n, v, 0.75, 0.3, 0.5)
+    known = np.flatnonzero(a.count[:-1] > 0)
+    unknown = np.flatnonzero(a.count == 0)[:1]
+    states = np.unique(a.to)
+    assert len(states) > 60 and len(unknown)
+    # a text's end has no way on, so its state and those behind it aren't asked
+    last = np.isin(states, np.append(a.to[a.arc % a.tokens == len(ones)], 0))
+    for state in states[~last].tolist() + [0]:
+        _, log = a.step(np.full(len(known) + 1, state), np.append(known, unknown))
+        assert (10**log).sum() == pytest.approx(1)
+    # stretches of a text are walked as the whole is
+    whole = a.walk(q.begin)
+    state, total = np.zeros(1, np.int64), 0.0
+    for k, t in enumerate(a.token[q.begin[-1] :]):
+        state, log = a.step(state, np.array([t]))
+        total += log[0] if k else 0
+    assert whole[-1] == pytest.approx(total)
+
+
 def brute_links(rows):
     sets = []
     for i, t in rows:
