@@ -22,9 +22,9 @@ All training texts are counted, whole, with no cut-off. What grows with the
 corpus is never broadcast or collected: each chunk of documents sends its
 distinct tokens, pairs and triples to buckets, which count them over the corpus
 and answer each chunk's own. From these a task builds the part of the automaton
-that its chunk's texts pass through (see :mod:`chunks`). Keys have 56 bits beside
+that its chunk's texts pass through (see :mod:`chunks`). Keys have 50 bits beside
 those that name the bucket (64 at most), and a bucket's keys don't grow with the
-input: the chance that one of its keys has a false count is below 1e-9.
+input: the chance that one of its keys has a false count is some 2e-9.
 
 A text is walked in stretches of STRETCH tokens, all stretches of a chunk side by
 side, so a very long text costs no more than many short ones. A stretch begins two
@@ -182,8 +182,8 @@ COUNTED = "chunk long, bucket int, totals binary, tokens long, types long"
 
 
 def _bits(buckets: int) -> int:
-    """Bits of a key that travel: 56 besides those that name the bucket."""
-    return min(64, 56 + (buckets - 1).bit_length())
+    """Bits of a key that travel: 50 besides those that name the bucket."""
+    return min(64, 50 + (buckets - 1).bit_length())
 
 
 def _cuts(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

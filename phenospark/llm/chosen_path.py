@@ -7,9 +7,10 @@ hash of each of 128 ranges of the hash space, an empty range taking the token of
 another. Two sets share a token with the probability of their Jaccard
 similarity.
 
-A run samples tokens at its own places and splits all sets by the first; a
-bucket of more than ``small`` sets is split by the next token on, up to ``depth``
-tokens; then buckets are compared by brute force, in blocks where one is still
+A run is a tree of buckets. At each of its nodes a token's place is drawn by the
+node's own path, so that sets which went other ways are split at other places, and
+the sets of the node are dealt by their token there. A bucket of more than
+``small`` sets is split further, up to ``depth`` tokens; then buckets are compared by brute force, in blocks where one is still
 large. Pairs at the threshold share all tokens of a path with probability
 threshold^depth at least, so ``runs`` are repeated until the chance that none
 catches such a pair is below 1 - recall (11 runs for 0.999; most buckets are
@@ -95,14 +96,16 @@ def run_count(threshold: float, depth: int, recall: float) -> int:
 
 
 def _embed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_key, name, n, tokens of docs(doc_id, text, text_key)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(1)):
                 sets = shingle_sets(s, n)
                 rows = tokens(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), pa.array([set_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "name", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), batch.column(2).slice(s.lo, s.rows), pa.array([set_name(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "text_key", "name", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, name binary, n long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, name binary, n long, tokens binary")
 
 
 def _paths(sets: DataFrame, runs: int, depth: int) -> DataFrame:
@@ -115,8 +118,9 @@ def _paths(sets: DataFrame, runs: int, depth: int) -> DataFrame:
             for r in range(runs):
                 path, cols = np.full(len(t), np.uint64(r + 1)), []
                 for k in range(depth):
-                    place = (r * depth + k) * 37 % TOKENS
-                    path = mix(path * np.uint64(0x9E3779B97F4A7C15) + t[:, place])
+                    # drawn by the path: sets that are together so far look at the same place
+                    place = (mix(path + np.uint64(0x632BE59BD9B4E019)) % np.uint64(TOKENS)).astype(np.int64)
+                    path = mix(path * np.uint64(0x9E3779B97F4A7C15) + t[np.arange(len(t)), place])
                     cols.append(pa.array(path.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(t), r, np.int32)), *cols], ["name", "run", *names])
 
@@ -235,16 +239,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 MEMBER = "leaf long, i int, k int, block int, run int, name binary, n long, copies long, keys binary, sketch binary"
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, n_links, n_set_links for each row of docs(doc_id, text).
 
     class_id: the smallest doc_id that links lead to, copies included. n_links:
     other rows with a similarity of threshold or more; n_set_links: other
-    shingle sets with one.
+    shingle sets with one. how: as of :func:`classes`.
     """
+    return classes(docs, **how).select("doc_id", "class_id", "n_links", "n_set_links")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """near_duplicates, with text_key (xxhash64 of the text) and root, the class of the row's text; an
+    id with several texts may be in several classes. root is null for a null doc_id and an empty text."""
     spark = docs.sparkSession
     runs = run_count(threshold, depth, recall)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     every = written(_embed(docs, n), "sets")
     known = every.where("doc_id is not null and n > 0")
     sets = written(known.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
@@ -329,19 +339,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     heads = sets.select("name", "first_doc", "copies")
     labelled = heads.join(rooted, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name")).drop("node")
     least = labelled.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    classes = labelled.join(least, "root").join(counts, "name", "left").select("name", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
-    rows = every.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("name")).alias("name"))
-    out = rows.join(classes, "name", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("set_links", F.lit(0)).cast("long").alias("n_set_links"))
+    of_set = labelled.join(least, "root").join(counts, "name", "left").select("name", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
+    rows = every.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("name")).alias("name"))
+    out = rows.join(of_set, "name", "left")
+    return out.select("doc_id", "text_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("set_links", F.lit(0)).cast("long").alias("n_set_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with the row of the smallest doc_id of each class; rows with a null doc_id stay."""
-    dup = free_name(docs, "dup_id")
-    found = near_duplicates(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
-    found = written(found.where((F.col("class_id") != F.col("doc_id")) | (F.col("rows") > 1)).select(F.col("doc_id").alias(dup), "class_id", "rows"), "losers")
-    losers, repeated = found.where(F.col("class_id") != F.col(dup)).select(dup), found.where(F.col("class_id") == F.col(dup)).select(dup)
-    is_one = docs["doc_id"].cast("long") == F.col(dup)
+    """docs with one row of each class: that of the smallest doc_id, of that id the text of the least hash.
+
+    Rows with a null doc_id or an empty text are in no class and all stay.
+    """
+    doc, key = free_name(docs, "dup_id"), free_name(docs, "dup_key")
+    rows = written(classes(docs, **how).where("root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows")), "classes")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", F.struct("doc_id", "text_key") == F.col("first"))
+    judged = written(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), "stays"), "losers")
+    losers, repeated = (judged.where(c).select(doc, key) for c in (~F.col("stays"), F.col("stays")))
+    is_one = (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key))
     kept = docs.join(losers, is_one, "left_anti")
     if repeated.isEmpty():
         return kept

@@ -105,7 +105,7 @@ def others(row: dict) -> pa.RecordBatch:
 
 def by_bucket(sent: DataFrame, buckets: int) -> DataFrame:
     """Rows with a bucket, in a partition for each bucket."""
-    return sent.repartition(max(partitions(sent.sparkSession), buckets), "bucket")
+    return sent.repartitionById(buckets, F.col("bucket"))
 
 
 def joined(chunks: Chunks, to: DataFrame, answers: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:

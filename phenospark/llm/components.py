@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from phenospark.llm.common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large) or smaller neighbours to its smallest one."""
+#: Nodes of so many neighbours or less are joined by hash; and how many others there can be.
+LEAST_HUB, MOST_HUBS = 500, 4000
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+    """Links each node's larger (large) or smaller neighbours to its smallest one.
+
+    Nodes of more than ``hub`` neighbours, of which there are two links / hub at
+    most, are few and are sent to all links; so no task meets all links of a hub.
+    """
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-    joined = both.join(least, F.col("u") == F.col("n"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"), "degree")
+    at = F.col("u") == F.col("n")
+    hubs = F.broadcast(least.where(F.col("degree") > hub))
+    joined = both.join(hubs, at).unionByName(both.join(hubs, at, "left_anti").join(least.where(F.col("degree") <= hub), at))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,9 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     changes nothing, after about the logarithm of the longest path.
     """
     now = written(edges.where(F.col("u") != F.col("v")).distinct(), "edges")
-    mark = None
+    mark, hub = None, max(LEAST_HUB, 2 * now.count() // MOST_HUBS)
     while True:
-        now = written(_star(_star(now, True), False), "edges")
+        # a small star's links are at most as many as a large one's, and twice these
+        now = written(_star(_star(now, True, hub), False, hub), "edges")
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             break

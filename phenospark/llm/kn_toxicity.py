@@ -25,7 +25,9 @@ that is broadcast. Scoring reads every text whole, in one pass.
 Words are runs of ASCII letters and digits and bytes above 127, A-Z as a-z. A
 text without words has a score of its own from the curve at no evidence. Null
 text: as empty. Labels that are null are no labels; a doc_id with several rows or
-labels is used as often as it has them. Nothing but the text enters a score.
+labels is used as often as it has them, within the sample. Repeated rows are scored
+as often as they come. Very long texts are scored whole. Empty table: no rows. Extra
+columns are not read. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ from phenospark.llm.textkernel import IS_BREAK, Slice, Words, mix, slices, words
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE = 1500
 WINDOW = 24
+SHORT = 8
 DISCOUNT = 0.9
 #: Least G-squared of a telling n-gram; chance gives it to one in a million.
 EVIDENCE = 24.0
@@ -103,16 +106,19 @@ class Model:
         out = np.zeros((s.rows, FEATURES))
         out[:, 2] = np.log1p(n / window)
         out[:, 3] = some
-        # windows that begin at every fourth word, and the one that ends the text
+        # windows that begin at each word, up to the one that ends the text
         last = np.repeat(np.maximum(w.first[1:] - window, w.first[:-1]), n)
         start = np.arange(len(w.hash))
-        start = start[((start - np.repeat(w.first[:-1], n)) % 4 == 0) & (start <= last) | (start == last)]
+        start = start[start <= last]
         row = np.searchsorted(w.first, start, "right") - 1
         stop = np.minimum(start + window, w.first[row + 1])
         for ratios, at in ((self.telling, 0), (self.complete, 4)):
             whole = np.concatenate([[0], np.cumsum(ratios.log_ratio(w.hash, w.first))])
             best = np.full(s.rows, -np.inf)
-            np.maximum.at(best, row, (whole[stop] - whole[start]) / np.maximum(stop - start, 8))
+            # the rows' windows follow each other; a text of fewer words than SHORT counts as SHORT, as a word or two prove little
+            level, heads = (whole[stop] - whole[start]) / np.maximum(stop - start, SHORT), np.flatnonzero(np.diff(row, prepend=-1))
+            if len(heads):
+                best[row[heads]] = np.maximum.reduceat(level, heads)
             out[:, at] = np.where(some, best, 0)
             out[:, at + 1] = np.where(some, (whole[w.first[1:]] - whole[w.first[:-1]]) / np.maximum(n, 1), 0)
         return out
@@ -290,7 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sam
     for toxic in (1, 0):
         own = known.where(F.col("toxic") == toxic).orderBy(turn, "doc_id").limit(sample)
         # at most ``sample`` ids, so this side is small whatever the input
-        got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").orderBy(turn, "doc_id").select("text").collect()
+        got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").orderBy(turn, "doc_id").limit(sample).select("text").collect()
         texts.append([r.text or "" for r in got])
     return fit(*texts)
 

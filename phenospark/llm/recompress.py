@@ -13,8 +13,8 @@ hash if none does (within long runs). So equal windows have equal keys wherever
 they stand, and neighbouring windows mostly share one: about one key for four
 words is sent. A key that two chunks, or two documents of one, have is shared.
 
-Verifying: only windows with a shared key are compared themselves, by 128 bits of
-their words; each gets the smallest doc_id in which it starts.
+Verifying: only windows with a shared key are compared themselves, by 64 bits from
+each of two independent hashes of their words; each gets the smallest doc_id in which it starts.
 
 Every exchange sends a key once for a chunk whatever its copies, so a passage of
 a third of all documents costs each bucket one entry a chunk. Texts are written
@@ -22,6 +22,8 @@ once and never shuffled (see :mod:`chunks`).
 
 Null text: no words. Null doc_id: such a row removes nothing and loses nothing.
 Rows with one doc_id don't remove each other's words. Texts below 13 words stay.
+Repeated rows come back as often as they came. Very long texts are one chunk each.
+Empty table: no rows. Other columns come back as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from phenospark.llm.chunks import SENT, answers, chunked, expand, joined, opened, others, send, told
 from phenospark.llm.common import free_name
-from phenospark.llm.textkernel import Slice, Words, mix, words
+from phenospark.llm.textkernel import Slice, Words, mix, span_hash, words
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -131,7 +133,9 @@ class _Chunk:
         np.maximum.at(high, self.inverse, self.doc)
         hot = told(found, self.keys, buckets) | (low < high)
         at = np.flatnonzero(hot[self.inverse])
-        a, b = (_window_hash(self.words.hash, self.start[at], n, seed) for seed in (0x11, 0x22))
+        # 64 bits from each of two hashes of the words, which have nothing in common
+        other = span_hash(self.slice, self.words.start, self.words.end, seed=0x77) if len(at) else self.words.hash
+        a, b = (_window_hash(x, self.start[at], n, seed) for x, seed in ((self.words.hash, 0x11), (other, 0x22)))
         order = np.lexsort((self.doc[at], b, a))
         sa, sb = a[order], b[order]
         new = np.ones(len(order), bool)

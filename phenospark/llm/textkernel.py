@@ -125,10 +125,12 @@ def words(s: Slice, lower: bool = False, breaks: np.ndarray = IS_SPACE, hashes:
     return Words(start, end, span_hash(s, start, end, lower) if hashes else np.zeros(0, np.uint64), first)
 
 
-def span_hash(s: Slice, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hashes of stretches of bytes (start below the slice's length), A-Z as a-z if lower."""
+def span_hash(s: Slice, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Hashes of stretches of bytes (start below the slice's length), A-Z as a-z if lower; another seed
+    gives each byte another value."""
     n = len(s.data)
-    value = BYTE_VALUE[LOWER] if lower else BYTE_VALUE
+    value = mix(BYTE_VALUE + np.uint64(seed)) if seed else BYTE_VALUE
+    value = value[LOWER] if lower else value
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[s.data] * _power("up", n), out=total[1:])
     # the length enters too
