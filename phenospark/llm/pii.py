@@ -7,10 +7,12 @@ term t reveals an entity e as far as it foretells it: with documents as events,
     PMI(e; t) = log2 p(e, t) / (p(e) p(t))   and   IC(e) = -log2 p(e),
 
 t discloses e when PMI(e; t) >= IC(e) - tolerance bits, that is p(e | t) >=
-2^-tolerance, and they occur together in ``least`` documents or more, of two texts
-at least (a term seen once foretells everything, and copies are one sight). What
-this leaves out: terms of an entity that only one text has; any word that no other
-text has would foretell it, so the corpus can't tell names from rare words there.
+2^-tolerance, and they occur together in ``least`` documents or more that aren't all
+copies or near copies of each other (a term seen once foretells everything, and so
+would each rare word that copies share). Near copies are told by SKETCHES least
+hashes of their terms: two documents with a Jaccard similarity of 0.8 have one in
+common but for one case in 600. What this leaves out: terms of an entity that stands
+in one text only, with its copies; there the corpus can't tell names from rare words.
 A term counts for a document wherever it stands
 outside the base spans; digits alone are no term. Every occurrence of a term that
 discloses some entity becomes a span of kind ``term``: in all documents with base
@@ -37,6 +39,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,11 +49,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import free_name, written
-from phenospark.llm.textkernel import IS_BREAK, Slice, Words, slices, words
+from phenospark.llm.textkernel import IS_BREAK, Slice, Words, mix, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
 TOLERANCE = 1.0
 LEAST = 2
+#: Least hashes of a document's terms that tell near copies.
+SKETCHES = 4
 #: Pairs expected by chance, of all that are tried, up to which a pair counts where no base span is.
 CHANCE = 0.05
 #: Slots of a bit map of terms.
@@ -174,7 +179,8 @@ def _table(bits: np.ndarray) -> np.ndarray:
 
 
 def entity_documents(docs: DataFrame) -> DataFrame:
-    """text (a hash), entities, terms: the distinct ones of each row that has entities."""
+    """sketch, entities, terms: the distinct ones of each row that has entities."""
+    seeds = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,12 +192,13 @@ def entity_documents(docs: DataFrame) -> DataFrame:
                     w, ok = _terms_of(Slice(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)])), {0: found})
                     entities.append(sorted({int.from_bytes(hashlib.blake2b(kind.encode() + b":" + text[a:b].lower(), digest_size=8).digest(), "little", signed=True) for kind, a, b in found}))
                     terms.append(np.unique(w.hash[ok]).view(np.int64))
-                    keys.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
+                    own = np.array(terms[-1]).view(np.uint64)
+                    keys.append([int(mix(own ^ seed).min()) >> 1 if len(own) else 0 for seed in seeds])
                 if spans:
                     many = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, many), pa.array(terms, many)], ["text", "entities", "terms"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, many), pa.array(entities, many), pa.array(terms, many)], ["sketch", "entities", "terms"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "text long, entities array<long>, terms array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "sketch array<long>, entities array<long>, terms array<long>")
 
 
 def term_documents(docs: DataFrame, bits: np.ndarray, most: int = 1 << 20) -> DataFrame:
@@ -242,22 +249,24 @@ def revealing_terms(docs: DataFrame, tolerance: float = TOLERANCE, least: int =
     beside = written(entity_documents(docs), "beside")
     often = beside.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     # rows are numbered once they are written, as other runs may number them otherwise
-    each = written(beside.select(F.monotonically_increasing_id().alias("rid"), "text", "entities", "terms"), "beside")
-    pairs = written(each.select("rid", "text", F.explode("entities").alias("entity")).join(often, "entity"), "pairs")
+    each = written(beside.select(F.monotonically_increasing_id().alias("rid"), "sketch", "entities", "terms"), "beside")
+    pairs = written(each.select("rid", "sketch", F.explode("entities").alias("entity")).join(often, "entity"), "pairs")
     inside = each.join(pairs.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode("terms").alias("term"))
     # both <= m, the rows with some entity of those and the term: m bounds p(e | t) for every e
     near = written(inside.groupBy("term").agg(F.count("*").alias("m")), "near")
     might = near.where(F.col("m") >= least)
     # p(e | t) = p(e, t) / p(t): PMI(e; t) - IC(e) = log2(both / n)
     known = written(might.join(term_documents(docs, _bits(might)), "term").where(F.log2(F.col("m") / F.col("n")) >= -tolerance).select("term", "n"), "known")
-    together = inside.join(known, "term").join(pairs, "rid").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("df").alias("df"), (F.min("text") < F.max("text")).alias("texts"))
+    # in none of the sketches all documents are one
+    apart = reduce(lambda x, y: x & y, (F.min(F.col("sketch")[j]) < F.max(F.col("sketch")[j]) for j in range(SKETCHES)))
+    together = inside.join(known, "term").join(pairs, "rid").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("df").alias("df"), apart.alias("apart"))
     rows, tried = docs.count(), max(1, near.count()) * max(1, pairs.select("entity").distinct().count())
 
     @F.pandas_udf("boolean")
     def sure(both: pd.Series, n: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series(_log_chance(both, n, df, rows) + math.log(tried) <= math.log(CHANCE))
 
-    found = together.where(F.col("texts") & (F.col("both") >= least) & (F.log2(F.col("both") / F.col("n")) >= -tolerance))
+    found = together.where(F.col("apart") & (F.col("both") >= least) & (F.log2(F.col("both") / F.col("n")) >= -tolerance))
     return written(found.select("term", sure("both", "n", "df").alias("sure")).groupBy("term").agg(F.bool_or("sure").alias("sure")), "revealing")
 
 
