@@ -2,8 +2,8 @@
 
 A long word (no white space inside) is normalised and cut into pre-tokens by the
 vocabulary's own rules. A pre-token that is longer than a leaf is halved until
-its parts are leaves; the leaves are encoded on their own (no leaf needs another,
-and texts are spread over all tasks); then neighbours are joined pairwise up the
+its parts are leaves; the leaves are encoded on their own, as no leaf needs another
+(:mod:`bpe_codec` deals them to tasks); then neighbours are joined pairwise up the
 tree. At a join, a window of tokens on
 both sides is encoded again and grows until both seams agree.
 
@@ -18,6 +18,7 @@ it, so that no piece gets the word-end mark by mistake.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 #: Characters of a pre-token that are encoded at once.
 LEAF = 512
@@ -47,32 +48,53 @@ class TreeEncoder:
         self.guard = next((c for c in sorted(spec["vocab"]) if len(c) == 1 and c not in right_starts), None)
         self.loaded = True
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of ``text``; special tokens' strings become their ids, as in the library."""
+    def load(self) -> None:
         if not self.loaded:
             self._load()
-        parts: list[str | int] = [text]
-        for content, number in self.specials:
-            split: list[str | int] = []
-            for p in parts:
-                if isinstance(p, int):
-                    split.append(p)
-                    continue
-                pieces = p.split(content)
-                for k, x in enumerate(pieces):
-                    if k:
-                        split.append(number)
-                    split.append(x)
-            parts = split
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of ``text``; special tokens' strings become their ids, as in the library."""
+        self.load()
         out: list[int] = []
-        for p in parts:
+        for p in self.parts(text):
+            out.extend([p] if isinstance(p, int) else self.piece(p))
+        return out
+
+    def parts(self, text: str) -> Iterator[str | int]:
+        """The symbols of each pre-token in order, and the ids of special tokens between them."""
+        split: list[str | int] = [text]
+        for content, number in self.specials:
+            pieces = [p.split(content) if isinstance(p, str) else [p] for p in split]
+            split = [x for own in pieces for k, y in enumerate(own) for x in ([number, y] if k else [y])]
+        for p in split:
             if isinstance(p, int):
-                out.append(p)
+                yield p
             elif p:
                 normal = self.tokenizer.normalizer.normalize_str(p) if self.tokenizer.normalizer else p
                 for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                    out.extend(self.piece(symbols))
-        return out
+                    yield symbols
+
+    def leaves(self, symbols: str) -> list[str]:
+        """A pre-token's halves' halves, down to leaves."""
+        n = len(symbols)
+        if n <= self.leaf or self.guard is None or self.model is None:
+            return [symbols]
+        cuts = [0, n]
+        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > self.leaf:
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+        return [symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def leaf_ids(self, symbols: str, last: bool) -> list[int]:
+        """A leaf on its own; last: it ends its pre-token."""
+        if self.guard is None or self.model is None:
+            return [t.id for t in (self.model or self.tokenizer.model).tokenize(symbols)]
+        return self._tokens(symbols, last)
+
+    def joined(self, nodes: list[list[int]], last: bool) -> list[int]:
+        """Neighbours joined pairwise up the tree; last: they end their pre-token."""
+        while len(nodes) > 1:
+            nodes = [self._join(nodes[i], nodes[i + 1], last and i + 2 >= len(nodes)) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0]
 
     def _tokens(self, symbols: str, last: bool) -> list[int]:
         """The BPE of the symbols of one pre-token, or of a part that isn't its end."""
@@ -84,16 +106,8 @@ class TreeEncoder:
 
     def piece(self, symbols: str) -> list[int]:
         """The BPE of one pre-token, by halves if it is long."""
-        n = len(symbols)
-        if n <= self.leaf or self.guard is None or self.model is None:
-            return [t.id for t in (self.model or self.tokenizer.model).tokenize(symbols)]
-        cuts = [0, n]
-        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > self.leaf:
-            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
-        nodes = [self._tokens(symbols[a:b], b == n) for a, b in zip(cuts, cuts[1:], strict=False)]
-        while len(nodes) > 1:
-            nodes = [self._join(nodes[i], nodes[i + 1], i + 2 >= len(nodes)) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
-        return nodes[0]
+        leaves = self.leaves(symbols)
+        return self.joined([self.leaf_ids(x, k + 1 == len(leaves)) for k, x in enumerate(leaves)], True)
 
     def _join(self, left: list[int], right: list[int], last: bool) -> list[int]:
         """last: the right part ends its pre-token."""

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 from phenospark.llm.bpe_tree import TreeEncoder
-from phenospark.llm.textkernel import Slice, span_hash, words
+from phenospark.llm.textkernel import IS_SPACE, Slice, span_hash, words
 
 #: Distinct units that a worker keeps; beyond it the cache starts anew.
 CACHE_UNITS = 1 << 19
@@ -42,6 +42,16 @@ def encoder(kind: type[WordEncoder], path: str) -> WordEncoder:
     return _kept[kind, path]
 
 
+def has_long(s: Slice, limit: int) -> np.ndarray:
+    """Whether each row has a unit of more than ``limit`` bytes."""
+    out = np.zeros(s.rows, bool)
+    # rows' ends can only shorten what lies between two spaces
+    if (np.diff(np.flatnonzero(IS_SPACE[s.data]), prepend=-1, append=len(s.data)) > limit + 1).any():
+        w = words(s, hashes=False)
+        out[np.searchsorted(w.first, np.flatnonzero(w.end - w.start > limit), "right") - 1] = True
+    return out
+
+
 class _Growing:
     """A growing array of int32 with room to spare."""
 

@@ -429,7 +429,7 @@ def test_recompress(docs, rows, empty):
     assert recompress.digest(empty).count() == 0
 
 
-def test_bpe(docs, rows, empty):
+def test_bpe(docs, rows, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
@@ -439,6 +439,14 @@ def test_bpe(docs, rows, empty):
         e = tokenizer.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(e), sha(" ".join(map(str, e))), sha(tokenizer.decode(e, skip_special_tokens=False))))
     assert sorted((tuple(r) for r in bpe_codec.digest(docs, vocabulary()).collect()), key=key) == sorted(want, key=key)
+    # words of more than 40 bytes are taken apart: their leaves go to tasks and are joined in rounds
+    monkeypatch.setattr(bpe_codec, "FAN", 2)
+    assert sorted((tuple(r) for r in bpe_codec.digest(docs, vocabulary(), 40).collect()), key=key) == sorted(want, key=key)
+    cut = {r.doc_id: r.ids for r in bpe_codec.encode(docs.where("doc_id = 43"), vocabulary(), long_bytes=40).collect()}
+    assert cut[43] == tokenizer.encode(dict(rows)[43], add_special_tokens=False).ids
+    odd = [(i, f"x {w} y <|endoftext|>{w}") for i, w in enumerate(["ab" * 3000, "thean" * 900 + "!" * 2000, "é中" * 1500, "0123456789" * 500, "a<|endoftext|>b" * 300])]
+    got = bpe_codec.encode(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"), vocabulary()).collect()
+    assert all(r.ids == tokenizer.encode(odd[r.doc_id][1], add_special_tokens=False).ids for r in got) and len(got) == 5
     back = bpe_codec.decode(bpe_codec.encode(docs, vocabulary()), vocabulary())
     assert sorted(sha(r.text) for r in back.collect()) == sorted(x[3] for x in want)
     assert bpe_codec.digest(empty, vocabulary()).count() == 0 and bpe_codec.encode(empty, vocabulary()).count() == 0
