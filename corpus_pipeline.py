@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; its rows are
 written as Parquet in the shared folder and read again as the next one's docs.
+
+All stages take what the operators take: null and empty texts (kept by the first
+four; one end token in the last), very long texts whole, repeated rows, null ids (in
+no group of copies, removing nothing), extra columns of any name (kept by the first
+four), and empty tables, which give empty tables.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenospark.llm.chosen_path import keep_one
+from phenospark.llm.chunks import drop_chunks
 from phenospark.llm.common import documents, written
 from phenospark.llm.kn_toxicity import learn, reject
 from phenospark.llm.packing import pack_documents
@@ -17,7 +23,8 @@ from phenospark.llm.pii import sanitise
 from phenospark.llm.queries import vocabulary
 from phenospark.llm.recompress import remove_repeats
 
-#: The toxicity model has no SQL form; each stage is tested against brute force instead.
+#: The toxicity model has no SQL form. Copies, passages and packing are tested against brute force; toxicity by
+#: planted words, its models against a plain Kneser-Ney, and personal data by its patterns and planted terms.
 ORACLE_SQL = None
 
 
@@ -65,4 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_chunks(spark)  # what the stage packed isn't read any more
     return docs
