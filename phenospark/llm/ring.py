@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from phenospark.llm.common import written
 
 #: Rows that one window should hold at most, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 2000
 #: Places with cells of their own, at most.
 MOST_HOT = 2000
 
