@@ -32,6 +32,7 @@ columns are not read. Nothing but the text enters a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -263,7 +264,7 @@ def fit(toxic: list[str], ordinary: list[str], discount: float = DISCOUNT, parts
     for part in range(parts if min(map(len, classes)) > 1 else 0):
         rest = _models(*([t for i, t in enumerate(c) if i % parts != part] for c in classes), discount)
         for label, c in zip((1.0, 0.0), classes, strict=True):
-            got = [rest.features(s) for s in _slice(c[part::parts])]
+            got = [rest.features(s) for s in slices(pa.array(c[part::parts], pa.large_string()))]
             x += got
             y += [np.full(len(g), label) for g in got]
     x, y = np.concatenate(x), np.concatenate(y)
@@ -289,16 +290,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows whose crc32(doc_id) mod parts is not part; ``sample`` a class at most."""
+    """A model from labelled rows whose crc32(doc_id) mod parts is not part; ``sample`` a class at most.
+
+    The fit is one task over the sample; the driver gets the model alone."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where((crc_of_id() % parts != part) & F.col("toxic").isin(0, 1))
     turn = F.xxhash64(F.lit(3), "doc_id")
-    texts = []
+    order = [turn, F.col("doc_id"), F.xxhash64("text")]
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    classes = []
     for toxic in (1, 0):
         own = known.where(F.col("toxic") == toxic).orderBy(turn, "doc_id").limit(sample)
         # at most ``sample`` ids, so this side is small whatever the input
-        got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").orderBy(turn, "doc_id").limit(sample).select("text").collect()
-        texts.append([r.text or "" for r in got])
-    return fit(*texts)
+        classes.append(texts.join(F.broadcast(own), "doc_id").orderBy(*order).limit(sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[str]] = {1: [], 0: []}
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows[toxic].append(text or "")
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows[1], rows[0]))], pa.binary())], ["model"])
+
+    chosen = classes[0].unionByName(classes[1]).repartition(1).sortWithinPartitions(F.col("toxic").desc(), *order)
+    got = chosen.select("toxic", "text").mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else fit([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
