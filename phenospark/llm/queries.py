@@ -76,8 +76,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir), vocabulary())
 
 
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.outliers import judged
+
+    return judged(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phenospark.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, oversample=8, passes=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ring, op3_kneser_ney, op4_maxscore, op5_block_join, op6_backoff, op7_chosen_path, op8_packing, op9_recompress, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_ring, op3_kneser_ney, op4_maxscore, op5_block_join, op6_backoff, op7_chosen_path, op8_packing, op9_recompress, op10_bpe, op11_robust_outliers, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
