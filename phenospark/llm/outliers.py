@@ -250,7 +250,7 @@ def robust_estimates(rows: DataFrame, cells: DataFrame, share: float) -> DataFra
 
 def scored(docs: DataFrame, least: int = 60, share: float = 0.75) -> DataFrame:
     """doc_id, BASE, base_failed, the statistics' whole numbers, and d2, the squared robust distance (null without words)."""
-    rows = grouped(counted(docs), least)
+    rows = grouped(written(counted(docs), "counted"), least)  # texts are read once
     vectors = rows.where(F.col(NAMES[0]).isNotNull()).select(*GROUP, "cell", *NAMES)
     cells = written(vectors.groupBy(*GROUP).agg((F.max("cell") + 1).alias("cells")), "cells")
     return measured(rows, robust_estimates(vectors, cells, share), cells, "left").select("doc_id", *BASE, "base_failed", *NAMES, "d2")
