@@ -119,16 +119,12 @@ def shard_top(query: np.ndarray, query_id: int, postings: Postings, ids: np.ndar
     touched = len(dense) * postings.rows
     if len(dense):
         total += query[dense] @ postings.columns[postings.slot[dense]]
-    reached = np.zeros(postings.rows, bool) if floor > -np.inf and not len(dense) else None
     for t in essentials[postings.slot[essentials] < 0].tolist():
         at, values = postings.lists.get(t, (np.zeros(0, int), np.zeros(0)))
         total[at] += query[t] * values
         touched += len(at)
-        if reached is not None:
-            reached[at] = True
+    # a row in none of these lists has 0 so far: it stays where the floor lets it, as with scores of 0 and less
     alive = total + left[essential] >= floor
-    if reached is not None:
-        alive &= reached
     alive[own] = False
     rows = np.flatnonzero(alive)
     score = total[rows]

@@ -14,10 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a single longer text is handled whole.
 SLICE_BYTES = 1 << 19
 
+#: Longest stretch, in bytes, hashed by sums modulo 2^64; there, longer texts can be built whose sums are equal whatever
+#: the bytes' values, so they are hashed one by one.
+SHORT = 64
+
 _rng = np.random.default_rng(20260101)
 #: A random 64-bit value for each byte, and an odd base with its inverse.
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,18 +139,16 @@ def span_hash(s: Slice, start: np.ndarray, end: np.ndarray, lower: bool = False,
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[s.data] * _power("up", n), out=total[1:])
     # the length enters too
-    return mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(np.uint64))
+    got = mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(np.uint64))
+    far = np.flatnonzero(end - start > SHORT)
+    if len(far):
+        data = LOWER[s.data] if lower else s.data
+        got[far] = [byte_hash(data[x:y], seed) for x, y in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return got
 
 
-def whole_hash(s: Slice, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each row's whole bytes."""
-    n = len(s.data)
-    total = np.zeros(n + 1, np.uint64)
-    value = mix(BYTE_VALUE + np.uint64(seed)) if seed else BYTE_VALUE
-    np.cumsum(value[s.data] * _power("up", n), out=total[1:])
-    a, b = s.offs[:-1], s.offs[1:]
-    down = _power("down", n + 1)
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def byte_hash(data: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data.tobytes(), seed & (1 << 64) - 1)
 
 
 def grams(w: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
