@@ -40,6 +40,20 @@ def gene_stats(values: DataFrame, n_cells: int) -> DataFrame:
     return got.select("gene", (F.col("m") * F.col("c") / n_cells).alias("mean"), (spread / max(1, n_cells - 1)).alias("variance"))
 
 
+def gene_parts(values: DataFrame) -> DataFrame:
+    """gene, c, m, s of some cells' stored rows: how many, their mean, and the squares of what they are off it.
+    Parts of other cells can be put beside them."""
+    return values.groupBy("gene").agg(F.count("value").alias("c"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("s"))
+
+
+def merged_stats(parts: DataFrame, n_cells: int) -> DataFrame:
+    """:func:`gene_stats` from the parts of all cells."""
+    own = parts.withColumn("all", F.sum(F.col("c") * F.col("m")).over(Window.partitionBy("gene")) / F.sum("c").over(Window.partitionBy("gene")))
+    got = own.groupBy("gene").agg(F.sum("c").alias("c"), F.first("all").alias("m"), F.sum(F.col("s") + F.col("c") * (F.col("m") - F.col("all")) * (F.col("m") - F.col("all"))).alias("s"))
+    spread = F.col("s") + F.col("m") * F.col("m") * F.col("c") * (n_cells - F.col("c")) / n_cells
+    return got.select("gene", (F.col("m") * F.col("c") / n_cells).alias("mean"), (spread / max(1, n_cells - 1)).alias("variance"))
+
+
 def scale_data(values: DataFrame, n_cells: int, clip: float = 10.0) -> DataFrame:
     """Rows centred and scaled by gene, clipped above. Only stored rows come back: a cell
     without one has the gene's value of :func:`scaled_zeros`, which pca() takes for it."""
@@ -58,10 +72,11 @@ def scaled_zeros(values: DataFrame, n_cells: int, clip: float = 10.0) -> DataFra
     return gene_stats(values, n_cells).select("gene", _scaled(F.lit(0.0), clip).alias("zero"))
 
 
-def variable_genes(values: DataFrame, n_cells: int, n: int = 3000, method: str = "vst") -> DataFrame:
+def variable_genes(values: DataFrame | None, n_cells: int, n: int = 3000, method: str = "vst", stats: DataFrame | None = None) -> DataFrame:
     """gene, score of the n most variable genes: by dispersion (disp), its z-score within
-    20 bins of the mean (mvp), or the variance after standardising by the trend (vst)."""
-    stats = gene_stats(values, n_cells)
+    20 bins of the mean (mvp), or the variance after standardising by the trend (vst).
+    stats: :func:`gene_stats` where they are known; disp and mvp need no values then."""
+    stats = gene_stats(values, n_cells) if stats is None else stats
     if method == "disp":
         scored = stats.select("gene", F.coalesce(F.try_divide("variance", "mean"), F.lit(0.0)).alias("score"))
     elif method == "mvp":

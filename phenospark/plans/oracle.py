@@ -170,6 +170,30 @@ zs AS MATERIALIZED (SELECT gene, log_fc, u, coalesce((u - n1 * (n - n1) / 2.0::D
 area AS MATERIALIZED (SELECT a, sum((CASE WHEN i = 0 OR i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5::DOUBLE * (a * i / 800.0::DOUBLE) * (a * i / 800.0::DOUBLE))) * a / 2400.0::DOUBLE * sqrt(2 / pi()) AS inner_p
   FROM (SELECT DISTINCT abs(z) AS a FROM zs), range(0, 801) t(i) GROUP BY a)"""
 
+#: Expected times as in ELF, of any table km.
+ELF_OUT = "SELECT col, round(exp_time, 6) + 0.0 AS exp_time, round(1 - (exp_time - min(exp_time) OVER ()) / (max(exp_time) OVER () - min(exp_time) OVER ()), 6) + 0.0 AS rank FROM elf"
+PAIRS_OF = "FROM q a JOIN q b ON a.col <> b.col AND a.status = 1 AND (a.time < b.time OR (a.time = b.time AND b.status = 0))"
+AGREE = "round(avg(CASE WHEN b.p > a.p THEN 1.0::DOUBLE WHEN b.p = a.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6)"
+COX = "cox AS MATERIALIZED (SELECT c.time, c.status, k.c_acctbal / 10000 AS x1, CAST(k.c_nationkey % 5 AS DOUBLE) AS x2 FROM customers_of c JOIN customer k ON k.c_custkey = c.col), b0 AS (SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"
+
+
+def cox(steps: int) -> str:
+    """Tables cox, then e0, e1, ... with log-likelihood v, gradient g1 g2 and information h11 h12 h22 of Newton's steps from 0."""
+    out = [COX]
+    weights = {"s0": "r", "s1": "r * x1", "s2": "r * x2", "s11": "r * x1 * x1", "s12": "r * x1 * x2", "s22": "r * x2 * x2"}
+    for i in range(steps + 1):
+        sums = ", ".join(f"sum({w}) AS {n}, coalesce(sum({w}) FILTER (status = 1), 0) AS d{n[1:]}" for n, w in weights.items())
+        out += [
+            f"r{i} AS MATERIALIZED (SELECT cox.*, b1 * x1 + b2 * x2 AS lin, exp(b1 * x1 + b2 * x2) AS r FROM cox, b{i})",
+            f"t{i} AS MATERIALIZED (SELECT time, count(*) FILTER (status = 1) AS d, coalesce(sum(lin) FILTER (status = 1), 0) AS l, coalesce(sum(x1) FILTER (status = 1), 0) AS e1, coalesce(sum(x2) FILTER (status = 1), 0) AS e2, {sums} FROM r{i} GROUP BY time)",
+            f"c{i} AS MATERIALIZED (SELECT time, d, l, e1, e2, {', '.join(f'sum({n}) OVER o AS {n}, d{n[1:]}' for n in weights)} FROM t{i} WINDOW o AS (ORDER BY time DESC))",
+            f"k{i} AS MATERIALIZED (SELECT s0 - f * d0 AS a, {', '.join(f'({n} - f * d{n[1:]}) / (s0 - f * d0) AS m{n[1:]}' for n in weights if n != 's0')} FROM (SELECT *, unnest(range(0, d)) / d::DOUBLE AS f FROM c{i} WHERE d > 0))",
+            f"e{i} AS MATERIALIZED (SELECT l - la AS v, e1 - q1 AS g1, e2 - q2 AS g2, h11, h12, h22 FROM (SELECT sum(l) AS l, sum(e1) AS e1, sum(e2) AS e2 FROM c{i}), (SELECT sum(ln(a)) AS la, sum(m1) AS q1, sum(m2) AS q2, sum(m11 - m1 * m1) AS h11, sum(m12 - m1 * m2) AS h12, sum(m22 - m2 * m2) AS h22 FROM k{i}))",
+            f"b{i + 1} AS MATERIALIZED (SELECT b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b1, b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b2 FROM b{i}, e{i})",
+        ]
+    return ", ".join(out)
+
+
 ORACLE = {
     "scan_expr": sql("SELECT 'bulk' AS side, gene, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM bulk GROUP BY gene UNION ALL SELECT 'cell', gene, count(*), round(sum(value), 6) + 0.0 FROM cells GROUP BY gene", "bulk", "cells"),
     "x_block_scan": sql("SELECT sample, cell, round(value, 6) + 0.0 AS value FROM x WHERE cell BETWEEN 100 AND 299", "x"),
@@ -214,6 +238,16 @@ ORACLE = {
     "coerce_phenotype": sql("SELECT col, CASE WHEN label <> 0 THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS time, CASE WHEN label <> 0 THEN 1 ELSE 0 END AS status FROM labelled", "labelled"),
     "phenotype_s": sql("SELECT 'survival' AS method, col, round(1 - rank, 6) + 0.0 AS s FROM ranks UNION ALL SELECT 'binary', col, 1 - label FROM labelled", "patients", "labelled", more=km("patients") + ", " + ranked()),
     "concordance": sql("SELECT count(*) AS n_pairs, round(avg(CASE WHEN b.p > a.p THEN 1.0::DOUBLE WHEN b.p = a.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS concordance FROM q a JOIN q b ON a.col <> b.col AND a.status = 1 AND (a.time < b.time OR (a.time = b.time AND b.status = 0))", "patients", more="q AS (SELECT *, col * 37 % 11 AS p FROM patients)"),
+    "concordance_cohorts": sql(f"SELECT a.cohort, count(*) AS n_pairs, {AGREE} AS concordance {PAIRS_OF} AND a.cohort = b.cohort GROUP BY a.cohort", "customers_of", more="q AS (SELECT *, col % 3 AS cohort, col * 37 % 101 AS p FROM customers_of)"),
+    "concordance_customers": sql(f"SELECT count(*) AS n_pairs, {AGREE.replace('b.p > a.p', 'b.p < a.p')} AS concordance {PAIRS_OF}", "customers_of", more="q AS (SELECT *, col * 37 % 101 AS p FROM customers_of)"),
+    "future_time_customers": sql("SELECT col, round(future_time, 6) + 0.0 AS future_time FROM fut", "customers_of", more=km("customers_of") + ", " + ELF),
+    "guanrank_elf_customers": sql(ELF_OUT, "customers_of", more=km("customers_of") + ", " + ELF),
+    "cox_steps": sql(
+        "SELECT part, i, j, round(v, 6) + 0.0 AS value FROM (SELECT 'value' AS part, 0 AS i, 0 AS j, v FROM e0 UNION ALL SELECT 'gradient', 0, 0, g1 FROM e0 UNION ALL SELECT 'gradient', 1, 0, g2 FROM e0"
+        " UNION ALL SELECT 'information', 0, 0, h11 FROM e0 UNION ALL SELECT 'information', 0, 1, h12 FROM e0 UNION ALL SELECT 'information', 1, 0, h12 FROM e0 UNION ALL SELECT 'information', 1, 1, h22 FROM e0)",
+        "customers_of", more=cox(0),
+    ),
+    "cox_fit": sql("SELECT 'coefficient' AS part, 0 AS i, round(b1, 6) + 0.0 AS value FROM b8 UNION ALL SELECT 'coefficient', 1, round(b2, 6) + 0.0 FROM b8 UNION ALL SELECT 'gain', 0, round(e8.v - e0.v, 6) + 0.0 FROM e8, e0", "customers_of", more=cox(8)),
     "nmf_steps": sql(FITTED, "pos", "h", "w", more=steps(2, False)),
     "regularised_steps": sql(FITTED, "pos", "h", "w", "e", "patients", more=steps(2, True)),
     "gram_h": sql("SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS value FROM h a JOIN h b USING (cell) GROUP BY ALL", "h"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenospark.functions import expression as ex
-from phenospark.operators import factorise, graph, modules, preprocess, selection, survival
+from phenospark.operators import factorise, graph, hazards, modules, preprocess, selection, survival
 from phenospark.plans import create, inputs
 from phenospark.sources import tables
 
@@ -353,6 +353,52 @@ def concordance(spark, sf_dir):
     return survival.concordance(scored).select("n_pairs", r6("concordance"))
 
 
+@query
+def concordance_cohorts(spark, sf_dir):
+    """All customers, by a key: scores and times with ties."""
+    scored = inputs.customers(spark, sf_dir).withColumn("cohort", F.col("col") % 3).withColumn("score", (F.col("col") * 37 % 101).cast("double"))
+    return survival.concordance(scored, by=("cohort",)).select("cohort", "n_pairs", r6("concordance"))
+
+
+@query
+def concordance_customers(spark, sf_dir):
+    scored = inputs.customers(spark, sf_dir).withColumn("score", (F.col("col") * 37 % 101).cast("double"))
+    return survival.concordance(scored, reverse=True).select("n_pairs", r6("concordance"))
+
+
+@query
+def future_time_customers(spark, sf_dir):
+    return survival.future_time(survival.km_curve(inputs.customers(spark, sf_dir))).select("col", r6("future_time"))
+
+
+@query
+def guanrank_elf_customers(spark, sf_dir):
+    return survival.guanrank_elf(inputs.customers(spark, sf_dir)).select("col", r6("exp_time"), r6("rank"))
+
+
+def cox_rows(spark, sf_dir) -> DataFrame:
+    """time, status, x of all customers: balance and a code of the nation."""
+    known = inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("col"), F.array(F.col("c_acctbal") / 10_000, (F.col("c_nationkey") % 5).cast("double")).alias("x"))
+    return inputs.customers(spark, sf_dir).join(known, "col").select("time", "status", "x")
+
+
+@query
+def cox_steps(spark, sf_dir):
+    """Log-likelihood, gradient and information with all coefficients 0."""
+    model = hazards.CoxModel(cox_rows(spark, sf_dir))
+    got = model.at(np.zeros(model.p))
+    model.drop()
+    rows = [("value", 0, 0, float(got.value))] + [("gradient", i, 0, float(g)) for i, g in enumerate(got.gradient)] + [("information", i, j, float(v)) for (i, j), v in np.ndenumerate(got.information)]
+    return spark.createDataFrame(rows, "part string, i int, j int, value double").select("part", "i", "j", r6("value"))
+
+
+@query
+def cox_fit(spark, sf_dir):
+    got = hazards.cox(cox_rows(spark, sf_dir))
+    rows = [("coefficient", i, float(b)) for i, b in enumerate(got.coefficients)] + [("gain", 0, float(got.value - got.start))]
+    return spark.createDataFrame(rows, "part string, i int, value double").select("part", "i", r6("value"))
+
+
 # --- factorisation
 
 

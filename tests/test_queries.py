@@ -5,9 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from jobs import registered
 from phenospark.plans.oracle import ORACLE
 from phenospark.plans.queries import QUERIES
 
+QUERIES, ORACLE = QUERIES | registered.QUERIES, ORACLE | registered.ORACLE
+
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
