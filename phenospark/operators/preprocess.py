@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenospark.operators.neighbours import usable
+
 
 def log_normalize(counts: DataFrame, scale: float = 10_000.0) -> DataFrame:
     """log1p(count / cell total * scale)."""
@@ -152,8 +154,11 @@ def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096, metric: str =
 
     score: the inner product, or minus the squared distance (metric="euclidean").
     vectors: cell, v. Blocks of cells meet as packed rows; NumPy takes each pair
-    of blocks and keeps k a cell; Spark merges the blocks.
+    of blocks and keeps k a cell; Spark merges the blocks. Every block meets every
+    other: see :mod:`neighbours` for an index. Vectors that are null or hold null, NaN or
+    infinite entries are left out, shorter ones count as filled with 0.
     """
+    vectors = usable(vectors)
     n = max(1, -(-vectors.count() // block))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

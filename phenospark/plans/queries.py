@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenospark.functions import expression as ex
-from phenospark.operators import factorise, graph, hazards, modules, preprocess, selection, survival
+from phenospark.operators import factorise, graph, hazards, modules, neighbours, preprocess, selection, survival
 from phenospark.plans import create, inputs
 from phenospark.sources import tables
 
@@ -312,6 +312,25 @@ def snn_graph(spark, sf_dir):
     return preprocess.snn_graph(tables.cut(preprocess.knn_graph(v, 20), "knn"), 20).select("src", "dst", r6("w"))
 
 
+@query
+def approx_knn_graph(spark, sf_dir):
+    """The graph of knn_graph by way of an index; each cell has its 20, some 19 of which are the true ones."""
+    v = inputs.vectors(spark, sf_dir).where(F.col("cell") % 10 != 0)
+    return neighbours.approx_knn_graph(v, 20).select("src", "rank", "dst", r6("score"))
+
+
+@query
+def approx_knn_recall(spark, sf_dir):
+    """How the index does for every 50th vector among all: true neighbours looked for, and whether nine of ten are found."""
+    v = inputs.vectors(spark, sf_dir).select("cell", "v")
+    index = neighbours.build(v, 20)
+    asked = v.where(F.col("cell") % 50 == 0)
+    found = tables.cut(neighbours.search(index, asked, 20), "found")
+    index.probes = len(index.centroids)  # all cells: every row
+    true = neighbours.search(index, asked, 20).join(found.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    return true.agg(F.count("*").alias("n_pairs"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("reached"))
+
+
 # --- survival
 
 
