@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenospark.operators.components import components, projected, sparse_rows
 from phenospark.operators.neighbours import usable
 
 
@@ -125,25 +126,14 @@ def pca(scaled: DataFrame, genes: DataFrame, k: int = 50, zeros: DataFrame | Non
     """col, pc array of k: principal components of the cells over the given genes.
 
     zeros: gene, zero, the value of a gene that a cell has no row of (0 where it
-    isn't given); cells: col of all cells, also of those without a row.
+    isn't given); cells: col of all cells, also of those without a row. Components are those
+    of the centred cells, cells are projected as they are; each component's largest entry
+    is above 0. Rows stay sparse, see :mod:`components`. Without cells or genes: no rows.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    n = genes.count()
-    numbered = genes.select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("i"))  # a few thousand genes
-    fill = [0.0] * n
-    if zeros is not None:
-        for r in numbered.join(zeros, "gene").select("i", "zero").collect():  # a row for each gene
-            fill[r.i] = r.zero
-    wide = scaled.join(numbered, "gene").groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
-    if cells is not None:
-        wide = cells.select("col").distinct().join(wide, "col", "left")
-    spark = scaled.sparkSession
-    default = spark.createDataFrame([(fill,)], "zero array<double>")  # one row
-    dense = wide.crossJoin(F.broadcast(default)).select("col", array_to_vector(F.transform("zero", lambda z, i: F.coalesce(F.try_element_at("m", i), z))).alias("f"))
-    model = PCA(k=min(k, n), inputCol="f", outputCol="p").fit(dense)
-    return model.transform(dense).select("col", vector_to_array("p").alias("pc"))
+    rows, zero, names = sparse_rows(scaled, genes, zeros, cells)
+    if not names or rows.isEmpty():
+        return rows.select("col", F.col("v").alias("pc")).where("false")
+    return projected(rows, zero, components(rows, len(names), names, k))
 
 
 PACKED = "block int, cells binary, dims int, data binary"

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenospark.functions.expression import fro_norm
 from phenospark.operators import factorise
-from phenospark.operators.factorise import fit, fit_local, pinv_project, project, seed_for
-from phenospark.operators.survival import coerce_phenotype, concordance_of, cox_fit
-from phenospark.sources.tables import cut, row_view
+from phenospark.operators.factorise import fit_local, pinv_project, seed_for
+from phenospark.operators.many import Model, fit_many, square_sums
+from phenospark.operators.survival import coerce_phenotype, concordance_of, cox_fit, guanrank
+from phenospark.sources.tables import cut
 
 
 def elbow(losses: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def select_k(x: DataFrame, k_max: int = 20, repeats: int = 10, maxiter: int = 20
             got = [(r.k, r.repeat, r.loss) for r in tasks.groupBy("repeat").applyInPandas(run, "k int, repeat int, loss double").collect()]
         else:
             begin = {"w0": None if w0 is None else w0[:, :k], "h0": None if h0 is None else h0.select("cell", F.slice("h", 1, k).alias("h"))}
-            got = [(k, i, fit(x, k, maxiter=maxiter, seed=v, **begin).loss) for i, v in enumerate(own)]
+            got = [(k, i, f.fit.loss) for i, f in enumerate(fit_many(x, [Model(k, seed=v, w0=begin["w0"]) for v in own], maxiter=maxiter, h0=begin["h0"], keep_h=False))]
         rows += got
         means.append(float(np.nanmean([v for _, _, v in got])))
         if stop_here(means):
@@ -123,6 +123,11 @@ def ordered(cv: DataFrame) -> DataFrame:
     return cv.orderBy("alpha1", "alpha2", "fold")
 
 
+def placed(cv: DataFrame) -> DataFrame:
+    """Adds place, from 1, in that order; a row for each pair and fold."""
+    return cv.withColumn("place", F.row_number().over(Window.orderBy("alpha1", "alpha2", "fold")))
+
+
 def best(means: DataFrame, alpha1: list[float] | None = None, alpha2: list[float] | None = None) -> DataFrame:
     """The pair of the largest mean. Ties go to the smaller penalties; or, where the lists of
     penalties are given, to the first cell of their matrix, column by column (alpha2's order,
@@ -162,18 +167,18 @@ def pivoted(means: DataFrame, alpha2: list[float]) -> DataFrame:
 
 
 def rank_array(time: np.ndarray, status: np.ndarray) -> np.ndarray:
-    """:func:`survival.guanrank` of arrays, for the patients of one fold: a matrix of what each pair adds."""
+    """:func:`survival.guanrank` of arrays, by sums over the distinct times."""
     _, at, n = np.unique(time, return_inverse=True, return_counts=True)
-    risk = np.cumsum(n[::-1])[::-1]
-    r = np.cumprod(1 - np.bincount(at, status, len(n)) / risk)[at]
+    n0, n1, events = (np.bincount(at, v, len(n)) for v in (status == 0, status == 1, status))
+    behind = lambda v: np.cumsum(v[::-1])[::-1]
+    risk = behind(n)
+    r = np.cumprod(1 - events / risk)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = r[:, None] / r[None, :]  # own survival over the other's
-        back = r[None, :] / r[:, None]
-    later, tie = time[None, :] > time[:, None], time[None, :] == time[:, None]
-    dead = np.broadcast_to(status == 1, later.shape)
-    of_dead = np.select([later, ~dead, tie], [1.0, ratio, 0.5], 0.0)
-    of_censored = np.select([(later | tie) & dead, later | tie, ~dead], [1 - back, 1 - 0.5 * back, 0.5 * ratio], 0.0)
-    raw = np.select([status == 1, status == 0], [of_dead.sum(1), of_censored.sum(1)], 0.0) - 0.5
+        inverse = np.where(n0 > 0, n0 / r, 0.0)
+        until = np.cumsum(inverse)
+        event = risk - n + r * until + 0.5 * n1
+        censored = behind(n0) - 0.5 * behind(n0 * r) / r + behind(n1) - behind(n1 * r) / r + 0.5 * r * (until - inverse)
+    raw = np.select([status == 1, status == 0], [event[at], censored[at]], 0.0) - 0.5
     return raw / raw.max()
 
 
@@ -183,6 +188,12 @@ def train_s(people: pd.DataFrame, fold: int) -> np.ndarray:
     return 1 - rank_array(train["time"].to_numpy(float), train["status"].to_numpy(int))
 
 
+def fold_weights(people: DataFrame, k: int) -> DataFrame:
+    """fold, col, s: :func:`train_s` of all folds, on tables. people: col, time, status, fold."""
+    train = people.withColumn("out", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(F.col("fold") != F.col("out"))
+    return guanrank(train, by=("out",)).select(F.col("out").alias("fold"), "col", (1 - F.col("rank")).alias("s"))
+
+
 CV = "alpha1 double, alpha2 double, fold int, cindex double, iter int, loss double"
 
 
@@ -193,17 +204,15 @@ def _judged(time: np.ndarray, status: np.ndarray, test: np.ndarray, train_w: np.
     return concordance_of(time[test], status[test], -score if reverse else score)
 
 
-def _far_task(x: DataFrame, people: pd.DataFrame, fold: int, k: int, edges: DataFrame | None, d: DataFrame | None, alpha1: float, alpha2: float, maxiter: int, seed: int, reverse: bool) -> tuple[float, int, float]:
-    """One task of the grid where X stays distributed: lazy views of the train and test rows."""
-    test = (people["fold"] == fold).to_numpy()
-    time, status = people["time"].to_numpy(float), people["status"].to_numpy(int)
-    train_rows, test_rows = (np.flatnonzero(m).tolist() for m in (~test, test))
-    train = row_view(x, train_rows)
-    norm = fro_norm(train).first()[0] or 0.0
-    if 0 < norm < float("inf"):
-        train = row_view(x, train_rows, 1 / norm)
-    got = fit(train, k, train_s(people, fold), edges, d, alpha1, alpha2, maxiter, seed=seed)
-    return _judged(time, status, test, got.w, project(row_view(x, test_rows), got.h, k), reverse), got.iter, got.loss
+def fold_models(people: pd.DataFrame, squares: np.ndarray, k: int, alpha1: tuple[float, ...], alpha2: tuple[float, ...], cross_k: int, seed: int, w0: np.ndarray | None = None) -> list[tuple[float, float, int, Model]]:
+    """Every task of the grid as a model: the train samples of its fold, scaled to norm 1 by X's sums of squares by sample."""
+    out = []
+    for fold in range(1, cross_k + 1):
+        rows = np.flatnonzero((people["fold"] != fold).to_numpy())
+        norm, s = float(np.sqrt(squares[rows].sum())), train_s(people, fold)
+        scale = 1 / norm if np.isfinite(norm) and norm > 0 else 1.0
+        out += [(a, b, fold, Model(k, rows, scale, s, a, b, seed, None if w0 is None else w0[rows])) for a in alpha1 for b in alpha2]
+    return out
 
 
 def select_alpha(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame | None = None, d: DataFrame | None = None, alpha1: tuple[float, ...] = (0.01, 0.005, 0.001), alpha2: tuple[float, ...] = (0.01, 0.005, 0.001), cross_k: int = 5, seed: int = 0, model_seed: int | None = None, method: str = "survival", maxiter: int = 2000, reverse: bool = False, ties: str = "large") -> AlphaChoice:
@@ -232,7 +241,13 @@ def cross_validate(x: DataFrame, patients: DataFrame, k: int, edges: DataFrame |
     if edges is not None and array is not None and edges.count() > factorise.LOCAL_ENTRIES:
         array = None  # the graph is too large for one task
     if array is None:
-        rows = [(a, b, f, *_far_task(x, people, f, k, edges, d, a, b, maxiter, start, reverse)) for f in range(1, cross_k + 1) for a in alpha1 for b in alpha2]
+        # all fits in the same passes; held-out samples are projected from the sums that these take anyway
+        tasks = fold_models(people, square_sums(x), k, alpha1, alpha2, cross_k, start)
+        time, status = people["time"].to_numpy(float), people["status"].to_numpy(int)
+        rows = []
+        for (a, b, f, _), got in zip(tasks, fit_many(x, [m for *_, m in tasks], edges, d, maxiter, keep_h=False), strict=True):
+            test = (people["fold"] == f).to_numpy()
+            rows.append((a, b, f, _judged(time, status, test, got.fit.w, pinv_project(got.xht[test], got.hht), reverse), got.fit.iter, got.fit.loss))
         return spark.createDataFrame(rows, CV)
     array, cells = array
     links, degree = (None, None) if edges is None else local_graph(edges, d, cells)

@@ -138,6 +138,25 @@ def k_steps() -> str:
     return ", ".join(out)
 
 
+def fold_steps() -> tuple[str, str]:
+    """Tables, and the rows of W, of the models of two folds with and without the graph's term, after two updates."""
+    out, rows = ["folds2 AS MATERIALIZED (SELECT *, CAST((row_number() OVER (ORDER BY col * 7919 % 101, col) - 1) % 2 + 1 AS INTEGER) AS fold FROM patients)"], []
+    for f in (1, 2):
+        out += [
+            f"people_{f} AS MATERIALIZED (SELECT * FROM folds2 WHERE fold <> {f})", f"{km(f'people_{f}')}, {ranked()}, s2 AS MATERIALIZED (SELECT col AS sample, (1 - rank) * (1 - rank) AS v FROM ranks)",
+            f"px AS MATERIALIZED (SELECT sample, cell, v / (SELECT sqrt(sum(v * v)) FROM pos WHERE sample IN (SELECT col FROM people_{f})) AS v FROM pos WHERE sample IN (SELECT col FROM people_{f}))",
+        ]
+        out[-2:] = [re.sub(r"\b(km_at|km_rate|km|rank_raw|ranks|s2|px)\b", rf"\1_{f}", t) for t in out[-2:]]
+        for name, penalty in (("a", ALPHA), ("b", 0.0)):
+            text = steps(2, True, x="px").replace(f"+ {ALPHA} * coalesce(g.v, 0)", f"+ {penalty} * coalesce(g.v, 0)").replace(f"+ {ALPHA} * h.v", f"+ {penalty} * h.v")
+            text = text[: text.index("km_at AS")] + text[text.index("g1 AS") :]  # ranks are those of the fold
+            text = text.replace(f"w0 AS MATERIALIZED (FROM w WHERE k < {K})", f"w0 AS MATERIALIZED (FROM w WHERE k < {K} AND sample IN (SELECT col FROM people_{f}))")
+            text = re.sub(r"\b(s2|px)\b", rf"\1_{f}", text)
+            out.append(re.sub(r"\b((?:h|w|g|wtw|wtx|den|hht|xht|whh)[0-2])\b", rf"\1_{f}{name}", text))
+            rows.append(f"SELECT {f} AS fold, {penalty}::DOUBLE AS alpha2, sample, CAST(k AS INTEGER) AS k, round(v, 6) + 0.0 AS value FROM w2_{f}{name}")
+    return ", ".join(out), " UNION ALL ".join(rows)
+
+
 #: W = XH' inverse(HH') for three factors, the inverse by cofactors.
 PROJECTED = """g AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM h a JOIN h b USING (cell) GROUP BY ALL),
 t AS MATERIALIZED (SELECT sample, k, sum(value * v) AS v FROM x JOIN h USING (cell) GROUP BY ALL),
@@ -194,7 +213,11 @@ def cox(steps: int) -> str:
     return ", ".join(out)
 
 
+FOLD_TABLES, FOLD_ROWS = fold_steps()
+
 ORACLE = {
+    "fold_fits": sql(FOLD_ROWS, "pos", "h", "w", "e", "patients", more=FOLD_TABLES),
+    "select_k_far": sql("SELECT CAST(k AS INTEGER) AS k, round(loss, 6) AS mean_loss, round(lag(loss) OVER (ORDER BY k) - loss, 6) + 0.0 AS loss_drop FROM (FROM loss_2 UNION ALL FROM loss_3)", "pos", "h", "w", more=k_steps()),
     "scan_expr": sql("SELECT 'bulk' AS side, gene, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM bulk GROUP BY gene UNION ALL SELECT 'cell', gene, count(*), round(sum(value), 6) + 0.0 FROM cells GROUP BY gene", "bulk", "cells"),
     "x_block_scan": sql("SELECT sample, cell, round(value, 6) + 0.0 AS value FROM x WHERE cell BETWEEN 100 AND 299", "x"),
     "x_dim": sql("SELECT count(DISTINCT sample) AS n_sample, count(DISTINCT cell) AS n_cell FROM corr", "corr"),
@@ -280,6 +303,10 @@ ORACLE = {
         "SELECT gene, round(score, 6) + 0.0 AS score FROM (SELECT gene, coalesce((d - avg(d) OVER b) / nullif(stddev_samp(d) OVER b, 0), 0) AS score FROM bins WINDOW b AS (PARTITION BY bin)) r ORDER BY r.score DESC, gene LIMIT 300", "stats",
         more="dm AS MATERIALIZED (SELECT gene, ln(1 + mean) AS m, ln(variance / mean) AS d FROM stats WHERE mean > 0), bins AS MATERIALIZED (SELECT *, least(floor((m - (SELECT min(m) FROM dm)) / ((SELECT max(m) - min(m) FROM dm) / 20)), 19) AS bin FROM dm)",
     ),
+    "pca_variance": sql(
+        "SELECT CAST(c AS INTEGER) AS component, round(t, 6) + 0.0 AS total, true AS exact FROM (SELECT sum(v) AS t FROM (SELECT gene, var_samp(value) AS v FROM whole GROUP BY gene)), range(1, 6) r(c)", "logn", "stats",
+        more="top AS MATERIALIZED (SELECT * FROM stats ORDER BY variance / mean DESC, gene LIMIT 50), whole AS MATERIALIZED (SELECT t.gene, s_suppkey, least((coalesce(l.value, 0) - t.mean) / coalesce(nullif(sqrt(greatest(t.variance, 0)), 0), 1), 10) AS value FROM top t CROSS JOIN supplier LEFT JOIN logn l ON l.gene = t.gene AND l.col = s_suppkey)",
+    ),
     "markers_significant": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(1 - inner_p, 6) + 0.0 AS p_value FROM zs JOIN area ON a = abs(z) WHERE 1 - inner_p < 0.05", "logn", more=MARK),
     "variable_genes": sql("SELECT gene, round(variance / mean, 6) + 0.0 AS score FROM stats ORDER BY variance / mean DESC, gene LIMIT 300", "stats"),
     "markers_logfc": sql("SELECT gene, round(log_fc, 6) + 0.0 AS log_fc, round(u, 6) + 0.0 AS u, round(z, 6) + 0.0 AS z, round(1 - inner_p, 6) + 0.0 AS p_value, round(least(1, (1 - inner_p) * (SELECT count(*) FROM zs)), 6) + 0.0 AS p_adj FROM zs JOIN area ON a = abs(z)", "logn", more=MARK),

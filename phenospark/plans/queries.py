@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenospark.functions import expression as ex
-from phenospark.operators import factorise, graph, hazards, modules, neighbours, preprocess, selection, survival
+from phenospark.operators import components, factorise, graph, hazards, many, modules, neighbours, preprocess, selection, survival
 from phenospark.plans import create, inputs
 from phenospark.sources import tables
 
@@ -568,15 +568,13 @@ def cv_best_dense(spark, sf_dir):
 @query
 def cv_ordered(spark, sf_dir):
     """The sorted rows of a cross-validation, numbered."""
-    rows = selection.ordered(cv_results(spark, sf_dir)).toPandas()  # a row for each pair and fold
-    return spark.createDataFrame(rows.assign(place=range(1, len(rows) + 1))).select(F.col("place").cast("int"), "alpha1", "alpha2", "fold", r6("cindex"))
+    return selection.placed(cv_results(spark, sf_dir)).select(F.col("place").cast("int"), "alpha1", "alpha2", "fold", r6("cindex"))
 
 
 @query
 def fold_s(spark, sf_dir):
-    people = selection.folds(inputs.patients(spark, sf_dir), 5, F.col("col") * 7919 % 101).orderBy("col").toPandas()  # a row for each sample
-    rows = [(f, int(c), float(s)) for f in range(1, 6) for c, s in zip(people["col"][people["fold"] != f], selection.train_s(people, f), strict=True)]
-    return spark.createDataFrame(rows, "fold int, col long, s double").select("fold", "col", r6("s"))
+    people = selection.folds(inputs.patients(spark, sf_dir), 5, F.col("col") * 7919 % 101)
+    return selection.fold_weights(people, 5).select("fold", "col", r6("s"))
 
 
 @query
@@ -588,6 +586,30 @@ def select_alpha(spark, sf_dir):
     return got.summary.select("alpha1", "alpha2", r6("cindex"), ((F.col("alpha1") == got.alpha1) & (F.col("alpha2") == got.alpha2)).alias("best"))
 
 
+@query
+def fold_fits(spark, sf_dir):
+    """W of two folds' models with two pairs of penalties each, fitted side by side from a fixed start."""
+    x, samples = x_of(spark, sf_dir, clip=True)
+    edges, degree = cell_graph(spark, sf_dir)
+    people = selection.folds(inputs.patients(spark, sf_dir), 2, F.col("col") * 7919 % 101).orderBy("col").toPandas()  # a row for each sample
+    tasks = selection.fold_models(people, many.square_sums(x), K, (ALPHA,), (ALPHA, 0.0), 2, 7, fixed_w(samples))
+    fits = many.fit_many(x, [m for *_, m in tasks], edges, degree, STEPS, 0.0, h0=fixed_h(x), keep_h=False)
+    ids = people["col"].to_numpy()
+    rows = [(f, b, int(ids[m.rows[i]]), j, float(v)) for (_, b, f, m), got in zip(tasks, fits, strict=True) for (i, j), v in np.ndenumerate(got.fit.w)]
+    return spark.createDataFrame(rows, "fold int, alpha2 double, sample long, k int, value double").select("fold", "alpha2", "sample", "k", r6("value"))
+
+
+@query
+def select_k_far(spark, sf_dir):
+    """K = 2 and 3 from a fixed start, as for an X that no task can hold."""
+    x, samples = x_of(spark, sf_dir, clip=True)
+    rows = []
+    for k in range(2, K + 1):
+        (got,) = many.fit_many(x, [many.Model(k, w0=fixed_w(samples)[:, :k])], maxiter=STEPS, h0=fixed_h(x), keep_h=False)
+        rows.append((k, 0, got.fit.loss))
+    return selection.elbow(spark.createDataFrame(rows, "k int, repeat int, loss double")).select("k", r6("mean_loss"), r6("loss_drop"))
+
+
 # --- modules
 
 
@@ -664,6 +686,31 @@ def pca(spark, sf_dir):
     return preprocess.pca(preprocess.scale_data(values, n), genes, 5, preprocess.scaled_zeros(values, n), cells)
 
 
+@query
+def pca_variance(spark, sf_dir):
+    """The variance of all cells over the genes of pca, and that the components are eigenvectors of the exact covariance.
+
+    The covariance comes from sums over all pairs of genes; a component's part off its own direction is measured on it.
+    """
+    values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
+    cells = suppliers(spark, sf_dir)
+    n = cells.count()
+    genes = preprocess.variable_genes(values, n, 50, "disp")
+    rows, zeros, names = components.sparse_rows(preprocess.scale_data(values, n), genes, preprocess.scaled_zeros(values, n), cells)
+    got = components.components(rows, len(names), names, 5)
+    entries = rows.select("col", F.explode(F.arrays_zip("i", "v")).alias("e")).select("col", "e.i", "e.v")
+    pairs = entries.join(entries.select("col", F.col("i").alias("j"), F.col("v").alias("u")), "col").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("s")).collect()  # genes squared
+    gram, total = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for r in pairs:
+        gram[r.i, r.j] = r.s
+    for r in entries.groupBy("i").agg(F.sum("v").alias("s")).collect():  # a row for each gene
+        total[r.i] = r.s
+    v = (gram - np.outer(total, total) / n) / (n - 1)
+    off = np.abs(v @ got.vectors - got.vectors * got.variances).max(0)
+    rows = [(i + 1, float(got.total), bool(off[i] <= 1e-8 * got.variances[0])) for i in range(5)]
+    return spark.createDataFrame(rows, "component int, total double, exact boolean").select("component", r6("total"), "exact")
+
+
 @query
 def markers_logfc(spark, sf_dir):
     values = preprocess.log_normalize(inputs.counts(spark, sf_dir))
