@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from phenospark.operators.components import components, projected, sparse_rows
 from phenospark.operators.neighbours import usable
+from phenospark.sources.tables import cut
 
 
 def log_normalize(counts: DataFrame, scale: float = 10_000.0) -> DataFrame:
@@ -186,19 +187,48 @@ def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096, metric: str =
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("src", "rank", "dst", "score")
 
 
-def snn_graph(knn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
+#: Sets of one shared neighbour that meet in one task, at most, on either side.
+CROWD = 2000
+
+
+def neighbour_sets(knn: DataFrame) -> DataFrame:
+    """src, near (n, dst: each neighbour and in how many sets it is, the least popular first), size; written."""
+    own = cut(knn.select("src", "dst").unionByName(knn.select("src", F.col("src").alias("dst"))).distinct(), "sets")
+    popular = own.groupBy("dst").agg(F.count("*").alias("n"))
+    sets = own.join(popular, "dst").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("n", "dst"))).alias("near"))  # k + 1 at most
+    return cut(sets.withColumn("size", F.size("near")), "sets")
+
+
+def telling(sets: DataFrame, prune: float) -> DataFrame:
+    """src, via, n: the neighbours of each set of which two sets alike enough share one."""
+    least = sets.agg(F.min("size")).first()[0] or 1
+    # an index of prune with a set of at least the least size takes this many in common
+    overlap = F.greatest(F.lit(1), F.ceil(F.lit(prune / (1 + prune)) * (F.col("size") + least) - 1e-9))
+    shown = F.slice("near", F.lit(1), F.greatest(F.lit(1), F.col("size") - overlap + 1).cast("int"))
+    return sets.select("src", F.explode(shown).alias("e")).select("src", F.col("e.dst").alias("via"), "e.n")
+
+
+def snn_graph(knn: DataFrame, k: int, prune: float = 1 / 15, crowd: int = CROWD) -> DataFrame:
     """src, dst, w: Jaccard index of neighbour sets (a cell is its own neighbour), weights below prune left out.
 
-    Pairs come from a shared neighbour; a cell is in as many sets as it has
-    admirers, so hubs are what costs.
+    Sets that are alike enough have several neighbours in common, so they share one among
+    all but their few most popular ones. Only these make pairs: each set leaves out as many
+    of its most popular neighbours as can't make up the least overlap by themselves, which
+    keeps hubs from pairing all their admirers. The pairs found are measured on the whole
+    sets. A neighbour that is in more than ``crowd`` sets is dealt to blocks of both sides.
     """
-    own = knn.select("src", "dst").unionByName(knn.select("src", F.col("src").alias("dst")).distinct())
-    size = own.groupBy("src").agg(F.count("*").alias("n"))
-    pairs = own.select("src", F.col("dst").alias("via")).join(own.select(F.col("src").alias("dst"), F.col("dst").alias("via")), "via").where("src <> dst")
-    shared = pairs.groupBy("src", "dst").agg(F.count("*").alias("c"))
-    sized = shared.join(size, "src").join(size.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
-    w = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return sized.select("src", "dst", w.alias("w")).where(F.col("w") >= prune)
+    sets = neighbour_sets(knn)
+    shown = telling(sets, prune)
+    blocks = F.ceil(F.col("n") / crowd).cast("int")
+    deal, every = F.pmod(F.xxhash64("src"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = shown.select("src", "via", deal.alias("a"), every.alias("b"))
+    right = shown.select(F.col("src").alias("dst"), "via", deal.alias("b"), every.alias("a"))
+    pairs = left.join(right, ["via", "a", "b"]).where("src < dst").select("src", "dst").distinct()
+    names = sets.select("src", F.transform("near", lambda e: e["dst"]).alias("l"))
+    met = pairs.join(names, "src").join(names.select(F.col("src").alias("dst"), F.col("l").alias("r")), "dst")
+    c = F.size(F.array_intersect("l", "r"))
+    found = met.select("src", "dst", (c / (F.size("l") + F.size("r") - c)).alias("w")).where(F.col("w") >= prune)
+    return found.select("src", "dst", "w", F.explode(F.array(F.lit(False), F.lit(True))).alias("back")).select(F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("back"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "w")
 
 
 def two_sided(z: Column) -> Column:

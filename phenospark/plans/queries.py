@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phenospark.functions import expression as ex
 from phenospark.operators import components, factorise, graph, hazards, many, modules, neighbours, preprocess, selection, survival
-from phenospark.plans import create, inputs
+from phenospark.plans import create, inputs, prepare
 from phenospark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,6 +711,13 @@ def pca_variance(spark, sf_dir):
     return spark.createDataFrame(rows, "component int, total double, exact boolean").select("component", r6("total"), "exact")
 
 
+@query
+def prepare_graph(spark, sf_dir):
+    """The whole preparation chain: counts normalised, genes chosen and scaled, components, shared neighbours."""
+    ready = prepare.prepare(inputs.counts(spark, sf_dir), selection="disp", n_genes=50, dims=5, neighbours=10)
+    return ready.graph.select("src", "dst", r6("w"))
+
+
 @query
 def markers_logfc(spark, sf_dir):
     values = preprocess.log_normalize(inputs.counts(spark, sf_dir))

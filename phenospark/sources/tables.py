@@ -37,9 +37,11 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return checked(spark.read.parquet(path).where("w <> 0"), "graph")
 
 
-def write_x(x: DataFrame, path: str, overwrite: bool = False) -> None:
-    """X by cell, sorted within files so that a range of cells prunes row groups."""
-    checked(x, "x").sortWithinPartitions("cell").write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def write_x(x: DataFrame, path: str, overwrite: bool = False, files: int | None = None) -> None:
+    """X by cell, dealt to files by ranges of cells and sorted in them: a range of cells is in few files, whose
+    statistics keep the others unread. files: how many (the session's shuffle partitions)."""
+    n = files or int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checked(x, "x").repartitionByRange(n, "cell").sortWithinPartitions("cell").write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
 def read_x(spark: SparkSession, path: str) -> DataFrame:
