@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phenospark.sources.tables import Bucketed, cut
+
 
 def clean(edges: DataFrame, binarize: bool = True) -> DataFrame:
     """Without loops and zeros; weights become 1 if binarize."""
@@ -56,13 +58,57 @@ def laplacian(edges: DataFrame, degree: DataFrame) -> DataFrame:
 
 def spmm(edges: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """cell, g: H A' for H as (cell, h array of k), one join and one sum of k columns."""
-    joined = edges.join(h.select(F.col("cell").alias("dst"), "h"), "dst")
-    sums = joined.groupBy(F.col("src").alias("cell")).agg(*(F.sum(F.col("w") * F.col("h")[i]).alias(f"g{i}") for i in range(k)))
+    return _summed(edges.join(h.select(F.col("cell").alias("dst"), "h"), "dst"), k)
+
+
+#: Edges into one cell that stay together.
+HUB = 100_000
+
+
+class Edges:
+    """A graph laid out for many products: edges in buckets by the cell they read, so that H in the same buckets
+    moves nothing. A cell that more than ``hub`` edges read is dealt to blocks by the edges' other ends, and its row
+    of H goes to each block: no bucket holds a hub's edges. What blocks add up is put together by cell at the end."""
+
+    def __init__(self, edges: DataFrame, hub: int | None = None):
+        hub = HUB if hub is None else hub
+        edges = edges.select("src", F.col("dst").cast("long").alias("dst"), "w")
+        self.light, self.heavy = Bucketed(edges, "dst"), None
+        # at most a hub for every ``hub`` edges
+        self.hubs = cut(self.light.read().groupBy("dst").agg(F.ceil(F.count("*") / hub).cast("int").alias("blocks")).where("blocks > 1"), "hubs")
+        if not self.hubs.isEmpty():
+            whole, edges = self.light, self.light.read()
+            block = F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int").alias("block")
+            self.heavy = cut(edges.join(self.hubs, "dst").select("src", "dst", "w", block).repartition("dst", "block"), "heavy")
+            self.light = Bucketed(edges.join(self.hubs, "dst", "left_anti"), "dst")
+            whole.drop()
+
+    def product(self, h: DataFrame, k: int) -> DataFrame:
+        """cell, g: :func:`spmm` with H as (cell, h array of k)."""
+        if self.heavy is None:
+            return spmm(self.light.read(), h, k)
+        other = h.select(F.col("cell").alias("dst"), "h")
+        part = self.light.read().join(other, "dst").select("src", "w", "h")
+        sent = other.join(self.hubs, "dst").select("dst", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return _summed(part.unionByName(self.heavy.join(sent, ["dst", "block"]).select("src", "w", "h")), k)
+
+    def drop(self) -> None:
+        """The buckets and their files go."""
+        self.light.drop()
+
+
+def product(edges: DataFrame | Edges, h: DataFrame, k: int) -> DataFrame:
+    """cell, g: H A', of edges in either form."""
+    return edges.product(h, k) if isinstance(edges, Edges) else spmm(edges, h, k)
+
+
+def _summed(met: DataFrame, k: int) -> DataFrame:
+    sums = met.groupBy(F.col("src").alias("cell")).agg(*(F.sum(F.col("w") * F.col("h")[i]).alias(f"g{i}") for i in range(k)))
     return sums.select("cell", F.array(*(f"g{i}" for i in range(k))).alias("g"))
 
 
-def quadratic(edges: DataFrame, h: DataFrame, k: int) -> DataFrame:
+def quadratic(edges: DataFrame | Edges, h: DataFrame, k: int) -> DataFrame:
     """One row: the sum of H o (H A')."""
-    joined = spmm(edges, h, k).join(h.select("cell", "h"), "cell")
+    joined = product(edges, h, k).join(h.select("cell", "h"), "cell")
     dot = F.aggregate(F.zip_with("g", "h", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return joined.agg(F.coalesce(F.sum(dot), F.lit(0.0)).alias("quadratic"))
