@@ -295,6 +295,7 @@ ORACLE = {
     "fold_s": sql("SELECT fold, col, round(1 - rank, 6) + 0.0 AS s FROM ranks", "folded", more="train AS MATERIALIZED (SELECT p.col, p.time, p.status, CAST(f AS INTEGER) AS fold FROM folded p, range(1, 6) t(f) WHERE p.fold <> f), " + km("train", "fold") + ", " + ranked("fold")),
     "find_module": sql("SELECT CAST(i AS INTEGER) AS factor, cell FROM (SELECT cell, i, x, avg(x) OVER f AS m, stddev_samp(x) OVER f AS s FROM (SELECT cell, i, v[i] AS x FROM vec, range(1, 65) t(i)) WINDOW f AS (PARTITION BY i)) WHERE x - m > 1.5 * s", "vec"),
     "find_subset": sql(f"SELECT cell, CASE WHEN {SUB_ANY} THEN 'selected' ELSE 'Other cells' END AS selected, {SUB} FROM vec, st", "vec", more=f"st AS (SELECT {SUB_STATS} FROM vec)"),
+    "find_subset_dip": "SELECT l_orderkey * 10 + l_linenumber AS cell, CASE WHEN l_returnflag = 'R' THEN 'selected' ELSE 'Other cells' END AS selected FROM lineitem",
     "log_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM logn", "logn"),
     "rc_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM rc", "rc"),
     "clr_normalize": sql("SELECT gene, col, round(ln(1 + value / exp(sum(ln(1 + value)) OVER (PARTITION BY col) / (SELECT count(DISTINCT gene) FROM counts))), 6) AS value FROM counts", "counts"),

@@ -625,6 +625,15 @@ def find_module_dip(spark, sf_dir):
     return modules.find_module(h, 1.5, dip=True)
 
 
+@query
+def find_subset_dip(spark, sf_dir):
+    """Two loadings of known modes: discounts' quarters and line numbers far apart, cut between them."""
+    item = inputs.table(spark, sf_dir, "lineitem")
+    bump = F.when(F.col("l_returnflag") == "R", 10.0).otherwise(0.0)
+    h = item.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell"), F.array(bump + F.col("l_quantity") / 50, F.col("l_quantity") / 50).alias("h"))
+    return modules.find_subset(h, 1, 1.5, dip=True).select("cell", "selected")
+
+
 @query
 def find_subset(spark, sf_dir):
     h = inputs.vectors(spark, sf_dir).select("cell", F.col("v").alias("h"))
