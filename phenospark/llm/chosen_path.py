@@ -199,9 +199,16 @@ def _candidates(table: pa.Table, runs: int, threshold: float) -> Iterator[tuple[
         lo = hi
 
 
+#: Rows whose intersections are counted in one square of numbers (16 MB).
+ACROSS = 2048
+
+
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs."""
     rows, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(rows) > ACROSS:  # pairs of many buckets: partners stand near each other
+        half = len(a) // 2
+        return np.concatenate([_common(sets, a[:half], b[:half]), _common(sets, a[half:], b[half:])])
     ia, ib = inverse[: len(a)], inverse[len(a) :]
     if len(a) < 4 * len(rows):
         return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)

@@ -81,3 +81,18 @@ def test_few_rows_share_a_term(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     frame = spark.createDataFrame([(i, v, "x", 1, "y") for i, v in rows], "vec_id long, embedding array<double>, id string, rank int, v string")
     assert sorted(map(tuple, maxscore.search(frame).collect())) == top_products(rows)
+
+
+def test_intersections_of_many_buckets_in_bounded_squares():
+    """Pairs of thousands of small buckets: no square over all their rows is made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(30_000)]
+    a, b = (np.array(x) for x in zip(*((10 * g + i, 10 * g + j) for g in range(3000) for i in range(10) for j in range(i + 1, 10)), strict=True))
+    tracemalloc.start()
+    got = chosen_path._common(sets, a, b)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    some = rng.choice(len(a), 500)
+    assert all(got[i] == len(set(sets[a[i]].tolist()) & set(sets[b[i]].tolist())) for i in some)
