@@ -299,7 +299,8 @@ ORACLE = {
     "log_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM logn", "logn"),
     "rc_normalize": sql("SELECT gene, col, round(value, 6) AS value FROM rc", "rc"),
     "clr_normalize": sql("SELECT gene, col, round(ln(1 + value / exp(sum(ln(1 + value)) OVER (PARTITION BY col) / (SELECT count(DISTINCT gene) FROM counts))), 6) AS value FROM counts", "counts"),
-    "scale_data": sql("SELECT gene, col, round(least((value - mean) / coalesce(nullif(sqrt(greatest(variance, 0)), 0), 1), 10), 6) + 0.0 AS value FROM logn JOIN stats USING (gene)", "logn", "stats"),
+    # one window over one use of the values
+    "scale_data": sql("SELECT gene, col, round(least((value - mean) / coalesce(nullif(sqrt(greatest(variance, 0)), 0), 1), 10), 6) + 0.0 AS value FROM (SELECT gene, col, value, sum(value) OVER g / n AS mean, (sum(value * value) OVER g - n * (sum(value) OVER g / n) * (sum(value) OVER g / n)) / (n - 1) AS variance FROM logn, (SELECT count(*) AS n FROM supplier) WINDOW g AS (PARTITION BY gene))", "logn"),
     "variable_genes_mvp": sql(
         "SELECT gene, round(score, 6) + 0.0 AS score FROM (SELECT gene, coalesce((d - avg(d) OVER b) / nullif(stddev_samp(d) OVER b, 0), 0) AS score FROM bins WINDOW b AS (PARTITION BY bin)) r ORDER BY r.score DESC, gene LIMIT 300", "stats",
         more="dm AS MATERIALIZED (SELECT gene, ln(1 + mean) AS m, ln(variance / mean) AS d FROM stats WHERE mean > 0), bins AS MATERIALIZED (SELECT *, least(floor((m - (SELECT min(m) FROM dm)) / ((SELECT max(m) - min(m) FROM dm) / 20)), 19) AS bin FROM dm)",
