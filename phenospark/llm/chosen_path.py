@@ -345,8 +345,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     rooted = components(verified.select(F.col("name").alias("u"), F.col("root").alias("v")))
     heads = sets.select("name", "first_doc", "copies")
     labelled = heads.join(rooted, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name")).drop("node")
+    labelled = written(labelled, "labelled")  # each plan stays small, and so does the driver
     least = labelled.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    of_set = labelled.join(least, "root").join(counts, "name", "left").select("name", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
+    of_set = written(labelled.join(least, "root").join(counts, "name", "left").select("name", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("set_links", F.lit(0)).alias("set_links")), "of_set")
     rows = every.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("name")).alias("name"))
     out = rows.join(of_set, "name", "left")
     return out.select("doc_id", "text_key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("set_links", F.lit(0)).cast("long").alias("n_set_links"))
