@@ -347,11 +347,15 @@ def sanitise(docs: DataFrame, remove: bool = False, tolerance: float = TOLERANCE
     doc, key, found = (free_name(docs, x) for x in ("pii_doc", "pii_key", "pii_spans"))
     got = spans(docs.select("doc_id", "text"), tolerance, least)
     listed = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms")))
-    got = got.where(listed != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found))
+    # a table of its own, so that the plan that moves the texts has one join
+    got = written(got.where(listed != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found)), "listed")
     joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
 
-    @F.pandas_udf("string")
-    def rewrite(text: pd.Series, listed: pd.Series) -> pd.Series:
-        return pd.Series([t if not x else rewritten(t, x, remove) for t, x in zip(text, listed, strict=True)])
+    @F.arrow_udf("string")
+    def rewrite(text: pa.Array, listed: pa.Array) -> pa.Array:
+        # one text at a time is a Python string
+        return pa.array((None if not x.is_valid else rewritten(t.as_py(), x.as_py(), remove) for t, x in zip(text, listed, strict=True)), pa.string())
 
-    return joined.withColumn("text", F.when(F.col(found).isNotNull(), rewrite("text", found)).otherwise(F.col("text"))).select(*docs.columns)
+    hit = F.col(found).isNotNull()
+    # the texts of rows without spans stay in the JVM
+    return joined.withColumn("text", F.when(hit, rewrite(F.when(hit, F.col("text").cast("string")), found)).otherwise(F.col("text"))).select(*docs.columns)
