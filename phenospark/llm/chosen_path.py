@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import free_name, partitions, written
+from phenospark.llm.common import free_name, partitions, side, written
 from phenospark.llm.components import components
 from phenospark.llm.textkernel import Slice, grams, mix, slices, words
 
@@ -363,7 +363,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     judged = rows.join(first, "root").withColumn("stays", F.struct("doc_id", "text_key") == F.col("first"))
     judged = written(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), "stays"), "losers")
-    losers, repeated = (judged.where(c).select(doc, key) for c in (~F.col("stays"), F.col("stays")))
+    losers, repeated = (side(judged.where(c).select(doc, key)) for c in (~F.col("stays"), F.col("stays")))
     is_one = (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key))
     kept = docs.join(losers, is_one, "left_anti")
     if repeated.isEmpty():

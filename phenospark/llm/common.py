@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a side of a join is broadcast.
+SIDE_BYTES = 16 << 20
+
+
+def side(table: DataFrame) -> DataFrame:
+    """Rows of a written table, as the side of a join with whole texts: broadcast if they take SIDE_BYTES at most,
+    so that the texts stay where they are; beyond it Spark deals both sides by the key."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType.typeName() == "string"]
+    size = table.agg(F.sum(sum(texts, F.lit(64)).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= SIDE_BYTES else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

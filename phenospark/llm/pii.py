@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenospark.llm.common import free_name, written
+from phenospark.llm.common import free_name, side, written
 from phenospark.llm.textkernel import IS_BREAK, Slice, Words, mix, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -349,7 +349,7 @@ def sanitise(docs: DataFrame, remove: bool = False, tolerance: float = TOLERANCE
     listed = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("terms") != "", F.col("terms")))
     # a table of its own, so that the plan that moves the texts has one join
     got = written(got.where(listed != "").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.max(listed).alias(found)), "listed")
-    joined = docs.join(got, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    joined = docs.join(side(got), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
 
     @F.arrow_udf("string")
     def rewrite(text: pa.Array, listed: pa.Array) -> pa.Array:
