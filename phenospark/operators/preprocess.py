@@ -140,17 +140,37 @@ def pca(scaled: DataFrame, genes: DataFrame, k: int = 50, zeros: DataFrame | Non
 PACKED = "block int, cells binary, dims int, data binary"
 
 
-def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096, metric: str = "inner") -> DataFrame:
+def foremost_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k highest scores, ties to the smaller column; minus infinity takes no part.
+
+    The k-th highest of the maxima of groups of columns is a lower bound, so that only a few entries a row are sorted.
+    """
+    n, m = score.shape
+    width = m // (4 * k)
+    bound = np.full(n, -np.inf)
+    if width > 1:
+        top = score[:, : m // width * width].reshape(n, -1, width).max(2)
+        bound = np.partition(top, top.shape[1] - k, 1)[:, -k]
+    r, c = np.nonzero(score >= bound[:, None])
+    order = np.lexsort((c, -score[r, c], r))
+    r, c = r[order], c[order]
+    keep = (np.arange(len(r)) - np.searchsorted(r, r, "left") < k) & (score[r, c] > -np.inf)
+    return r[keep], c[keep]
+
+
+def knn_graph(vectors: DataFrame, k: int = 20, block: int | None = None, metric: str = "inner") -> DataFrame:
     """src, rank, dst, score: each cell's k best other cells, ties to the smaller cell.
 
     score: the inner product, or minus the squared distance (metric="euclidean").
     vectors: cell, v. Blocks of cells meet as packed rows; NumPy takes each pair
-    of blocks and keeps k a cell; Spark merges the blocks. Every block meets every
-    other: see :mod:`neighbours` for an index. Vectors that are null or hold null, NaN or
+    of blocks and keeps k a cell; Spark merges the blocks. Blocks grow with the table within
+    4096 and 16,384 rows, unless they are given. Every block meets every other: see :mod:`neighbours` for an index. Vectors that are null or hold null, NaN or
     infinite entries are left out, shorter ones count as filled with 0.
     """
     vectors = usable(vectors)
-    n = max(1, -(-vectors.count() // block))
+    count = vectors.count()
+    block = block or min(16_384, max(4096, count // 32))
+    n = max(1, -(-count // block))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,16 +191,14 @@ def knn_graph(vectors: DataFrame, k: int = 20, block: int = 4096, metric: str =
                 own, other = (np.frombuffer(t[s]["data"]).reshape(-1, t[s]["dims"]) for s in ("l", "r"))
                 by = np.argsort(ids[1])
                 ids[1], other = ids[1][by], other[by]
-                for lo in range(0, len(own), 512):
-                    score = own[lo : lo + 512] @ other.T
+                step = max(1, (1 << 21) // max(1, len(other)))  # scores of 16 MB
+                for lo in range(0, len(own), step):
+                    score = own[lo : lo + step] @ other.T
                     if metric == "euclidean":
-                        score = 2 * score - (own[lo : lo + 512] ** 2).sum(1)[:, None] - (other**2).sum(1)[None, :]
-                    score[ids[0][lo : lo + 512, None] == ids[1][None, :]] = -np.inf
-                    top = np.argsort(-score, 1, kind="stable")[:, :k]
-                    value = np.take_along_axis(score, top, 1)
-                    keep = value > -np.inf
-                    src = np.broadcast_to(ids[0][lo : lo + 512, None], top.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(ids[1][top][keep]), pa.array(value[keep])], ["src", "dst", "score"])
+                        score = 2 * score - (own[lo : lo + step] ** 2).sum(1)[:, None] - (other**2).sum(1)[None, :]
+                    score[ids[0][lo : lo + step, None] == ids[1][None, :]] = -np.inf
+                    r, c = foremost_of(score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[0][lo + r]), pa.array(ids[1][c]), pa.array(score[r, c])], ["src", "dst", "score"])
 
     found = left.join(right, ["a", "b"]).select("l", "r").mapInArrow(run, "src long, dst long, score double")
     best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
