@@ -32,3 +32,12 @@ def test_assigned_rows_go_on_in_bounded_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(v.tolist())], ["cell", "v"])
     got = list(neighbours.assigned(Frame(), np.random.default_rng(1).normal(size=(700, 3)), "inner", 700).run([batch]))
     assert max(b.num_rows for b in got) <= 1 << 16 and sum(b.num_rows for b in got) == 2000 * 700
+
+
+def test_an_index_that_does_not_pay_is_passed_over(spark, monkeypatch):
+    """Vectors without structure need most cells: then all pairs are compared, and every edge is a true one."""
+    v = np.random.default_rng(4).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "cell long, v array<double>")
+    monkeypatch.setattr(neighbours, "search", lambda *_: 1 / 0)
+    got = {(r.src, r["rank"], r.dst) for r in neighbours.approx_knn_graph(df, 5).collect()}
+    assert got == {(r.src, r["rank"], r.dst) for r in preprocess.knn_graph(df, 5).collect()} and len(got) == 2000
