@@ -87,3 +87,19 @@ def test_ranks_without_a_target_give_zeros(spark):
     assert got == {(0, 1): (6.5, 0.0), (1, 1): (3.0, 0.0), (2, 1): (-1.5, 0.0), (0, 2): (6.5, 0.0), (1, 2): (3.0, 0.0), (2, 2): (-1.5, 0.0)}
     plan = ex.quantile_normalize(columns, target, 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(" not in plan  # a window over all genes is one task
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_views_of_parts_make_only_their_samples(spark, monkeypatch, dense):
+    bulk, cells = sides(spark, genes=3, samples=7, cells=9) if dense else sides(spark, genes=120, samples=11, cells=13, share=0.15)
+    if not dense:
+        monkeypatch.setattr(ex, "BLOCK_ENTRIES", 150)
+    parts = create.parts(bulk, cells)
+    assert (parts.blocks[0].value.dense is not None) == dense
+    rows = tables.cut(parts.frame())
+    for outer, inner in (([0, 2, 4, 6], [0, 2]), ([1, 5], None), ([3, 1], [0, 0])):  # the last descends: rows of X
+        one, two = (tables.row_view(tables.row_view(x, outer, 2.0), inner, 0.25) for x in (parts, rows))
+        assert isinstance(one, ex.Similarity) == (outer[0] < outer[1])
+        assert not isinstance(one, ex.Similarity) or sum(len(b.value.zero) for b in one.blocks) == one.samples == len(inner or outer)
+        got, want = ({r.cell: r.x for r in (x.frame() if isinstance(x, ex.Similarity) else x).collect()} for x in (one, two))
+        assert got.keys() == want.keys() and all(np.allclose(got[c], want[c], atol=1e-12) for c in want)
