@@ -103,3 +103,9 @@ def test_views_of_parts_make_only_their_samples(spark, monkeypatch, dense):
         assert not isinstance(one, ex.Similarity) or sum(len(b.value.zero) for b in one.blocks) == one.samples == len(inner or outer)
         got, want = ({r.cell: r.x for r in (x.frame() if isinstance(x, ex.Similarity) else x).collect()} for x in (one, two))
         assert got.keys() == want.keys() and all(np.allclose(got[c], want[c], atol=1e-12) for c in want)
+
+
+def test_the_driver_carries_parts_and_not_x(spark):
+    parts = create.parts(*sides(spark, samples=300, cells=100))
+    cells, values, look = selection.carried(parts)
+    assert values.nbytes < 300 * 100 * 8 / 10 and look(values).shape == (100, 300)
