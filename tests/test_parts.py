@@ -109,3 +109,9 @@ def test_the_driver_carries_parts_and_not_x(spark):
     parts = create.parts(*sides(spark, samples=300, cells=100))
     cells, values, look = selection.carried(parts)
     assert values.nbytes < 300 * 100 * 8 / 10 and look(values).shape == (100, 300)
+
+
+def test_ranks_from_a_fixed_start_share_their_passes(spark, monkeypatch):
+    passes, real = [], queries.many.square_sums
+    monkeypatch.setattr(queries.many, "square_sums", lambda *a: passes.append(1) or real(*a))
+    assert [r.k for r in queries.select_k_far(spark, "/root/testdata/sf0.001").orderBy("k").collect()] == [2, 3] and len(passes) == 1
