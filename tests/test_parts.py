@@ -111,6 +111,28 @@ def test_the_driver_carries_parts_and_not_x(spark):
     assert values.nbytes < 300 * 100 * 8 / 10 and look(values).shape == (100, 300)
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_a_sink_of_parts_writes_no_rows_of_x(spark, tmp_path, monkeypatch, dense):
+    bulk, cells = sides(spark, genes=3, samples=7, cells=9) if dense else sides(spark, genes=40, samples=60, cells=13, share=0.05)
+    if not dense:
+        monkeypatch.setattr(ex, "BLOCK_ENTRIES", 150)
+    monkeypatch.setattr(ex.Similarity, "short", True)
+    parts = ex.normalized(create.parts(bulk, cells))
+    x = tables.row_view(parts, list(range(1, parts.samples, 2)), 2.0)
+    x.clip = True
+    assert (x.blocks[0].value.dense is not None) == dense
+    tables.write_x(x, f"{tmp_path}/x", files=3)
+    assert "x:array" not in spark.read.parquet(f"{tmp_path}/x").schema.simpleString()
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.write_x(x, f"{tmp_path}/x")
+    back = tables.read_x(spark, f"{tmp_path}/x")
+    assert isinstance(back, ex.Similarity) and tuple(tables.x_dim(back).first()) == tuple(tables.x_dim(x).first())
+    want, got = ({r.cell: r.x for r in s.frame().collect()} for s in (x, back))
+    assert got.keys() == want.keys() and all(np.allclose(got[c], want[c], atol=1e-12) for c in want)
+    block = tables.x_block(back, 2, 4)
+    assert {r.cell for r in block.frame().collect()} == {2, 3, 4} & want.keys() and "PushedFilters: [IsNotNull(cell)" in block.rows._jdf.queryExecution().toString()
+
+
 def test_ranks_from_a_fixed_start_share_their_passes(spark, monkeypatch):
     passes, real = [], queries.many.square_sums
     monkeypatch.setattr(queries.many, "square_sums", lambda *a: passes.append(1) or real(*a))
