@@ -133,6 +133,21 @@ def test_a_sink_of_parts_writes_no_rows_of_x(spark, tmp_path, monkeypatch, dense
     assert {r.cell for r in block.frame().collect()} == {2, 3, 4} & want.keys() and "PushedFilters: [IsNotNull(cell)" in block.rows._jdf.queryExecution().toString()
 
 
+def test_names_of_samples_go_to_the_entries(spark):
+    """Without a broadcast by Spark's own estimate too, no entry of X is shuffled."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        bulk, cells = sides(spark)
+        parts = create.parts(bulk, cells)
+        for x in (parts, tables.cut(parts.frame())):
+            long = ex.long_x(x, create.samples_of(bulk))
+            assert long.count() == 63 and "SortMergeJoin" not in long._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ranks_from_a_fixed_start_share_their_passes(spark, monkeypatch):
     passes, real = [], queries.many.square_sums
     monkeypatch.setattr(queries.many, "square_sums", lambda *a: passes.append(1) or real(*a))
