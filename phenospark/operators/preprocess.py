@@ -158,18 +158,27 @@ def foremost_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[keep], c[keep]
 
 
+#: Blocks into which cells are dealt, while these have 4096 to 32,768 rows: every cell is sent to each block, on either side.
+BLOCKS = 12
+
+
+def block_rows(count: int) -> int:
+    """The rows of a block: the number of blocks stays the same as cells become more, so what is sent grows as the cells do."""
+    return min(32_768, max(4096, -(-count // BLOCKS)))
+
+
 def knn_graph(vectors: DataFrame, k: int = 20, block: int | None = None, metric: str = "inner") -> DataFrame:
     """src, rank, dst, score: each cell's k best other cells, ties to the smaller cell.
 
     score: the inner product, or minus the squared distance (metric="euclidean").
     vectors: cell, v. Blocks of cells meet as packed rows; NumPy takes each pair
-    of blocks and keeps k a cell; Spark merges the blocks. Blocks grow with the table within
-    4096 and 16,384 rows, unless they are given. Every block meets every other: see :mod:`neighbours` for an index. Vectors that are null or hold null, NaN or
+    of blocks and keeps k a cell; Spark merges the blocks. Their size is that of
+    :func:`block_rows`, unless it is given. Every block meets every other: see :mod:`neighbours` for an index. Vectors that are null or hold null, NaN or
     infinite entries are left out, shorter ones count as filled with 0.
     """
     vectors = usable(vectors)
     count = vectors.count()
-    block = block or min(16_384, max(4096, count // 32))
+    block = block or block_rows(count)
     n = max(1, -(-count // block))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,10 @@ def test_odd_rows(spark):
     assert neighbours.approx_knn_graph(df.where("cell = 5")).count() == 0
     with pytest.raises(ValueError, match="metric"):
         neighbours.build(df, metric="other")
+
+
+def test_cells_are_sent_to_as_many_blocks_however_many_they_are():
+    from phenospark.operators.preprocess import block_rows
+
+    assert block_rows(100) == block_rows(40_000) == 4096
+    assert all(-(-n // block_rows(n)) <= 12 for n in (50_000, 92_307, 390_000)) and block_rows(10_000_000) == 32_768
