@@ -43,6 +43,18 @@ def side(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if size <= SIDE_BYTES else table
 
 
+#: Python workers give back at once what a batch took: arrays of 1 MB or more are mapped each for itself, Arrow's too.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Workers started from now on have WORKER_ENV, but for what the session names itself. Idle workers of earlier
+    steps count as an executor's memory too."""
+    env = spark.sparkContext.environment
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
