@@ -17,12 +17,16 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
 
     Nodes of more than ``hub`` neighbours, of which there are two links / hub at
     most, are few and are sent to all links; so no task meets all links of a hub.
+    The smallest neighbours and the links are written, each by a plan of a few
+    shuffles: left to one plan, every use of the links makes them again, and the
+    driver holds a plan of dozens of shuffles for each round.
     """
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"), "degree")
+    least = written(least, "least")
     at = F.col("u") == F.col("n")
     hubs = F.broadcast(least.where(F.col("degree") > hub))
     joined = both.join(hubs, at).unionByName(both.join(hubs, at, "left_anti").join(least.where(F.col("degree") <= hub), at))
@@ -30,7 +34,7 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return written(out.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark, hub = None, max(LEAST_HUB, 2 * now.count() // MOST_HUBS)
     while True:
         # a small star's links are at most as many as a large one's, and twice these
-        now = written(_star(_star(now, True, hub), False, hub), "edges")
+        now = _star(_star(now, True, hub), False, hub)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             break
