@@ -31,6 +31,8 @@ PARTS = {
     "w": f"SELECT cell AS sample, k, ((cell * 13 + k * 29) % 89 + 1) / 90.0::DOUBLE AS v FROM vec, range(0, {K}) t(k) WHERE cell % 10 = 0",
     "dots": "SELECT a.cell AS src, b.cell AS dst, list_dot_product(a.v, b.v) AS score FROM vec a JOIN vec b ON a.cell <> b.cell WHERE a.cell % 10 <> 0 AND b.cell % 10 <> 0",
     "near": "SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM dots QUALIFY rank <= 20",
+    "all_dots": "SELECT a.cell AS src, b.cell AS dst, list_dot_product(a.v, b.v) AS score FROM vec a JOIN vec b ON a.cell <> b.cell",
+    "all_near": "SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM all_dots QUALIFY rank <= 20",
     "directed": "SELECT src, dst, 1.0::DOUBLE AS w FROM near WHERE rank <= 5",
     "links": "SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT src, dst FROM directed UNION SELECT dst, src FROM directed)",
     "degs": "SELECT src AS cell, sum(w) AS deg FROM links GROUP BY src",
@@ -249,7 +251,7 @@ ORACLE = {
     "graph_symmetry": sql("SELECT round(sqrt(sum(d * d)), 6) AS sym_fro, sqrt(sum(d * d)) <= 1e-12 AS is_symmetric FROM (SELECT coalesce(a.w, 0) - coalesce(b.w, 0) AS d FROM directed a FULL JOIN directed b ON a.src = b.dst AND a.dst = b.src)", "directed"),
     "graph_spmm": sql("SELECT cell, CAST(k AS INTEGER) AS k, round(v, 6) + 0.0 AS value FROM hat", "hat"),
     "graph_quadratic": sql("SELECT round(sum(hat.v * h.v), 6) AS quadratic FROM hat JOIN h USING (cell, k)", "hat", "h"),
-    "knn_graph": sql("SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(score, 6) + 0.0 AS score FROM near", "near"),
+    "knn_graph": sql("SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(score, 6) + 0.0 AS score FROM all_near", "all_near"),
     "approx_knn_recall": sql("SELECT count(*) AS n_pairs, true AS reached FROM (SELECT row_number() OVER (PARTITION BY a.cell ORDER BY list_dot_product(a.v, b.v) DESC, b.cell) AS rank FROM vec a JOIN vec b ON a.cell <> b.cell WHERE a.cell % 50 = 0) WHERE rank <= 20", "vec"),
     "snn_graph": sql(
         "SELECT p.src, p.dst, round(c / (a.n + b.n - c), 6) AS w FROM p JOIN sz a ON a.src = p.src JOIN sz b ON b.src = p.dst WHERE c / (a.n + b.n - c) >= 1 / 15.0::DOUBLE", "near",

@@ -33,3 +33,8 @@ def test_approx_knn_graph(spark, folder, v):
     assert {r.src for r in got} == {r.dst for r in got} | set(range(N)) == set(range(N)) and len(got) == 20 * N
     true = {(i, int(j)) for i, row in enumerate(nearest(v, 20)) for j in row}
     assert len(true & {(r.src, r.dst) for r in got}) >= 0.9 * len(true)
+
+
+def test_knn_graph(spark, folder, v):
+    got = {(r.src, r["rank"], r.dst) for r in QUERIES["knn_graph"](spark, folder).collect()}
+    assert got == {(i, at, int(j)) for i, row in enumerate(nearest(v, 20)) for at, j in enumerate(row, 1)}
