@@ -254,8 +254,8 @@ ORACLE = {
     "knn_graph": sql("SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(score, 6) + 0.0 AS score FROM all_near", "all_near"),
     "approx_knn_recall": sql("SELECT count(*) AS n_pairs, true AS reached FROM (SELECT row_number() OVER (PARTITION BY a.cell ORDER BY list_dot_product(a.v, b.v) DESC, b.cell) AS rank FROM vec a JOIN vec b ON a.cell <> b.cell WHERE a.cell % 50 = 0) WHERE rank <= 20", "vec"),
     "snn_graph": sql(
-        "SELECT p.src, p.dst, round(c / (a.n + b.n - c), 6) AS w FROM p JOIN sz a ON a.src = p.src JOIN sz b ON b.src = p.dst WHERE c / (a.n + b.n - c) >= 1 / 15.0::DOUBLE", "near",
-        more="own AS MATERIALIZED (SELECT src, dst FROM near UNION SELECT src, src FROM near), sz AS MATERIALIZED (SELECT src, count(*) AS n FROM own GROUP BY src), p AS MATERIALIZED (SELECT a.src, b.src AS dst, count(*) AS c FROM own a JOIN own b ON a.dst = b.dst AND a.src <> b.src GROUP BY ALL)",
+        "SELECT p.src, p.dst, round(c / (a.n + b.n - c), 6) AS w FROM p JOIN sz a ON a.src = p.src JOIN sz b ON b.src = p.dst WHERE c / (a.n + b.n - c) >= 1 / 15.0::DOUBLE", "all_near",
+        more="own AS MATERIALIZED (SELECT src, dst FROM all_near UNION SELECT src, src FROM all_near), sz AS MATERIALIZED (SELECT src, count(*) AS n FROM own GROUP BY src), p AS MATERIALIZED (SELECT a.src, b.src AS dst, count(*) AS c FROM own a JOIN own b ON a.dst = b.dst AND a.src <> b.src GROUP BY ALL)",
     ),
     "km_curve": sql("SELECT col, time, status, round(r, 6) AS survival_rate FROM km", "customers_of", more=km("customers_of")),
     "future_time": sql("SELECT col, round(future_time, 6) + 0.0 AS future_time FROM fut", "patients", more=km("patients") + ", " + ELF),

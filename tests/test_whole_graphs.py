@@ -38,3 +38,10 @@ def test_approx_knn_graph(spark, folder, v):
 def test_knn_graph(spark, folder, v):
     got = {(r.src, r["rank"], r.dst) for r in QUERIES["knn_graph"](spark, folder).collect()}
     assert got == {(i, at, int(j)) for i, row in enumerate(nearest(v, 20)) for at, j in enumerate(row, 1)}
+
+
+def test_snn_graph(spark, folder, v):
+    own = [{i, *map(int, row)} for i, row in enumerate(nearest(v, 20))]
+    jaccard = {(i, j): len(own[i] & own[j]) / len(own[i] | own[j]) for i in range(N) for j in range(N) if i != j}
+    got = {(r.src, r.dst): r.w for r in QUERIES["snn_graph"](spark, folder).collect()}
+    assert got == pytest.approx({pair: w for pair, w in jaccard.items() if w >= 1 / 15}, abs=1e-6)
