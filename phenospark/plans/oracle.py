@@ -33,6 +33,7 @@ PARTS = {
     "near": "SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM dots QUALIFY rank <= 20",
     "all_dots": "SELECT a.cell AS src, b.cell AS dst, list_dot_product(a.v, b.v) AS score FROM vec a JOIN vec b ON a.cell <> b.cell",
     "all_near": "SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM all_dots QUALIFY rank <= 20",
+    "all_directed": "SELECT src, dst, 1.0::DOUBLE AS w FROM all_near WHERE rank <= 5",
     "directed": "SELECT src, dst, 1.0::DOUBLE AS w FROM near WHERE rank <= 5",
     "links": "SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT src, dst FROM directed UNION SELECT dst, src FROM directed)",
     "degs": "SELECT src AS cell, sum(w) AS deg FROM links GROUP BY src",
@@ -248,7 +249,7 @@ ORACLE = {
     "graph_normalize": sql("SELECT src, dst, round(w, 6) AS w FROM normal", "normal"),
     "graph_laplacian": sql("SELECT cell AS src, cell AS dst, d AS w FROM degree WHERE d > 0 UNION ALL SELECT src, dst, round(-w, 6) FROM normal", "normal", "degree"),
     "graph_symmetrize": sql("SELECT src, dst, sum(w) / 2 AS w FROM (FROM directed UNION ALL SELECT dst, src, w FROM directed) GROUP BY src, dst", "directed"),
-    "graph_symmetry": sql("SELECT round(sqrt(sum(d * d)), 6) AS sym_fro, sqrt(sum(d * d)) <= 1e-12 AS is_symmetric FROM (SELECT coalesce(a.w, 0) - coalesce(b.w, 0) AS d FROM directed a FULL JOIN directed b ON a.src = b.dst AND a.dst = b.src)", "directed"),
+    "graph_symmetry": sql("SELECT round(sqrt(sum(d * d)), 6) AS sym_fro, sqrt(sum(d * d)) <= 1e-12 AS is_symmetric FROM (SELECT coalesce(a.w, 0) - coalesce(b.w, 0) AS d FROM all_directed a FULL JOIN all_directed b ON a.src = b.dst AND a.dst = b.src)", "all_directed"),
     "graph_spmm": sql("SELECT cell, CAST(k AS INTEGER) AS k, round(v, 6) + 0.0 AS value FROM hat", "hat"),
     "graph_quadratic": sql("SELECT round(sum(hat.v * h.v), 6) AS quadratic FROM hat JOIN h USING (cell, k)", "hat", "h"),
     "knn_graph": sql("SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(score, 6) + 0.0 AS score FROM all_near", "all_near"),

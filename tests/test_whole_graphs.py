@@ -45,3 +45,10 @@ def test_snn_graph(spark, folder, v):
     jaccard = {(i, j): len(own[i] & own[j]) / len(own[i] | own[j]) for i in range(N) for j in range(N) if i != j}
     got = {(r.src, r.dst): r.w for r in QUERIES["snn_graph"](spark, folder).collect()}
     assert got == pytest.approx({pair: w for pair, w in jaccard.items() if w >= 1 / 15}, abs=1e-6)
+
+
+def test_graph_symmetry(spark, folder, v):
+    a = np.zeros((N, N))
+    a[np.repeat(np.arange(N), 5), nearest(v, 5).ravel()] = 1
+    (got,) = QUERIES["graph_symmetry"](spark, folder).collect()
+    assert got.sym_fro == pytest.approx(np.linalg.norm(a - a.T), abs=1e-6) and not got.is_symmetric
