@@ -39,6 +39,11 @@ PARTS = {
     "degs": "SELECT src AS cell, sum(w) AS deg FROM links GROUP BY src",
     "e": "SELECT l.src, l.dst, l.w / sqrt(a.deg * b.deg) AS w FROM links l JOIN degs a ON a.cell = l.src JOIN degs b ON b.cell = l.dst",
     "hat": "SELECT e.src AS cell, h.k, sum(e.w * h.v) AS v FROM e JOIN h ON h.cell = e.dst GROUP BY ALL",
+    "all_h": f"SELECT cell, k, ((cell * 31 + k * 17) % 97 + 1) / 98.0::DOUBLE AS v FROM vec, range(0, {K}) t(k)",
+    "all_links": "SELECT src, dst, 1.0::DOUBLE AS w FROM (SELECT src, dst FROM all_directed UNION SELECT dst, src FROM all_directed)",
+    "all_degs": "SELECT src AS cell, sum(w) AS deg FROM all_links GROUP BY src",
+    "all_e": "SELECT l.src, l.dst, l.w / sqrt(a.deg * b.deg) AS w FROM all_links l JOIN all_degs a ON a.cell = l.src JOIN all_degs b ON b.cell = l.dst",
+    "all_hat": "SELECT e.src AS cell, h.k, sum(e.w * h.v) AS v FROM all_e e JOIN all_h h ON h.cell = e.dst GROUP BY ALL",
     "edges": "SELECT a.l_partkey AS src, b.l_partkey AS dst, 1.0::DOUBLE AS w FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY ALL",
     "degree": "SELECT p_partkey AS cell, coalesce(deg, 0.0) AS deg, CASE WHEN deg > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d FROM part LEFT JOIN (SELECT src, sum(w) AS deg FROM edges GROUP BY src) ON src = p_partkey",
     "normal": "SELECT src, dst, w / sqrt(a.deg * b.deg) AS w FROM edges JOIN degree a ON a.cell = src JOIN degree b ON b.cell = dst",
@@ -251,7 +256,7 @@ ORACLE = {
     "graph_symmetrize": sql("SELECT src, dst, sum(w) / 2 AS w FROM (FROM directed UNION ALL SELECT dst, src, w FROM directed) GROUP BY src, dst", "directed"),
     "graph_symmetry": sql("SELECT round(sqrt(sum(d * d)), 6) AS sym_fro, sqrt(sum(d * d)) <= 1e-12 AS is_symmetric FROM (SELECT coalesce(a.w, 0) - coalesce(b.w, 0) AS d FROM all_directed a FULL JOIN all_directed b ON a.src = b.dst AND a.dst = b.src)", "all_directed"),
     "graph_spmm": sql("SELECT cell, CAST(k AS INTEGER) AS k, round(v, 6) + 0.0 AS value FROM hat", "hat"),
-    "graph_quadratic": sql("SELECT round(sum(hat.v * h.v), 6) AS quadratic FROM hat JOIN h USING (cell, k)", "hat", "h"),
+    "graph_quadratic": sql("SELECT round(sum(g.v * h.v), 6) AS quadratic FROM all_hat g JOIN all_h h USING (cell, k)", "all_hat", "all_h"),
     "knn_graph": sql("SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(score, 6) + 0.0 AS score FROM all_near", "all_near"),
     "approx_knn_recall": sql("SELECT count(*) AS n_pairs, true AS reached FROM (SELECT row_number() OVER (PARTITION BY a.cell ORDER BY list_dot_product(a.v, b.v) DESC, b.cell) AS rank FROM vec a JOIN vec b ON a.cell <> b.cell WHERE a.cell % 50 = 0) WHERE rank <= 20", "vec"),
     "snn_graph": sql(

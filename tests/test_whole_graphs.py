@@ -52,3 +52,12 @@ def test_graph_symmetry(spark, folder, v):
     a[np.repeat(np.arange(N), 5), nearest(v, 5).ravel()] = 1
     (got,) = QUERIES["graph_symmetry"](spark, folder).collect()
     assert got.sym_fro == pytest.approx(np.linalg.norm(a - a.T), abs=1e-6) and not got.is_symmetric
+
+
+def test_graph_quadratic(spark, folder, v):
+    a = np.zeros((N, N))
+    a[np.repeat(np.arange(N), 5), nearest(v, 5).ravel()] = 1
+    a = np.maximum(a, a.T)
+    a /= np.sqrt(np.outer(a.sum(1), a.sum(0)))
+    h = (((np.arange(N) * 31)[None, :] + (np.arange(3) * 17)[:, None]) % 97 + 1) / 98
+    assert QUERIES["graph_quadratic"](spark, folder).first().quadratic == pytest.approx((h * (h @ a.T)).sum(), abs=1e-6)
