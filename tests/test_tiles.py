@@ -49,3 +49,8 @@ def folder(spark, tmp_path_factory):
 def test_no_list_is_taken_apart_and_no_name_joined(spark, folder, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001" if "sparse" in name else folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_a_block_of_stored_entries_is_not_copied():
+    block = ex._Tile(ex.Block(3, np.zeros(2), np.zeros(2), None, np.array([0, 1, 1, 2], np.int32), np.array([0, 1], np.int32), np.ones(2)))
+    assert ex._tile_of(block, np.arange(2)) is block and len(ex._tile_of(block, np.array([1])).value.zero) == 1
